@@ -38,12 +38,12 @@ def has_bad_escape(text: Column, separator: str = " ") -> Column:
 
 
 def allowed_options(rule_type: Column) -> Column:
-    """Option names of a list, as an array."""
+    """Option names of a list, as an array; empty for an unknown list."""
     allowed = None
     for name, options in OPTIONS.items():
         names = F.array(*map(F.lit, options))
         allowed = F.when(rule_type == name, names) if allowed is None else allowed.when(rule_type == name, names)
-    return allowed
+    return allowed.otherwise(F.array().cast("array<string>"))
 
 
 def parse_options(tokens: Column, allowed: Column) -> Column:

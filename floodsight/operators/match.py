@@ -50,6 +50,9 @@ class RuleSet:
 
     rows: list[Row]
 
+    def only(self, rule_type: str) -> "RuleSet":
+        return RuleSet([row for row in self.rows if row["rule_type"] == rule_type])
+
     def of_type(self, rule_type: str) -> list[tuple[int, Row]]:
         first = TYPE_ORDER.index(rule_type) * LIST_SIZE
         return [(first + row["rule_no"], row) for row in self.rows if row["rule_type"] == rule_type]
@@ -113,6 +116,12 @@ def _reachable(ruleset: RuleSet) -> Column:
     return result
 
 
+def route_proto(packets: DataFrame) -> DataFrame:
+    """Add `rule_type`, the list a packet goes to; packets of other protocols go to none and are dropped."""
+    rule_type = _by_proto({name: F.lit(name) for name in TYPE_ORDER})
+    return packets.filter(F.col("proto").isin(list(PROTO.values()))).withColumn("rule_type", rule_type)
+
+
 def with_stop(packets: DataFrame, ruleset: RuleSet) -> DataFrame:
     """Add `stop_rule`: the id of the terminal rule that took the packet, or NULL."""
     return packets.withColumn("stop_rule", _stop(ruleset))
