@@ -17,7 +17,9 @@ from floodsight.schemas import PROTO, RULE_TESTS, TYPE_ORDER
 
 # rule_id = position of the list * LIST_SIZE + rule_no, so that ids sort as the lists do.
 LIST_SIZE = 1_000_000
-COMPILED_RULES = 128
+COMPILED_RULES = 256
+# Rules per generated projection.
+CHUNK = 32
 INDEX_ENTRIES = 200_000
 # Addresses per block of the index, and the widest destination range that is put into blocks.
 BLOCK = 256
@@ -86,18 +88,22 @@ def _chain(items: list[tuple[Column, Column]]) -> Column | None:
 _ZERO_FOR_NULL = ["src_ip", "dst_ip", "sport", "dport"]
 
 
+def _with_plain(packets: DataFrame) -> DataFrame:
+    return packets.withColumns({f"_{name}": F.coalesce(F.col(name), F.lit(0)) for name in _ZERO_FOR_NULL})
+
+
+def _without_plain(df: DataFrame) -> DataFrame:
+    return df.drop(*[f"_{name}" for name in _ZERO_FOR_NULL])
+
+
 def _packet_field(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0)) if name in _ZERO_FOR_NULL else F.col(name)
+    return F.col(f"_{name}") if name in _ZERO_FOR_NULL else F.col(name)
 
 
-def _stop(ruleset: RuleSet) -> Column:
-    """Id of the rule that ends the packet's walk, or NULL."""
-    chains = {}
-    for rule_type in TYPE_ORDER:
-        ends = [(i, row) for i, row in ruleset.of_type(rule_type) if not row["next_rule"]]
-        chains[rule_type] = _chain([(compiled_match(row, _packet_field), F.lit(i)) for i, row in ends])
-    stop = _by_proto(chains)
-    return (F.lit(None) if stop is None else stop).cast("int")
+def _chunks(tests: dict[str, list], size: int = CHUNK) -> list[dict[str, list]]:
+    """The n-th chunk of every list side by side."""
+    longest = max(map(len, tests.values()), default=0)
+    return [{name: items[at : at + size] for name, items in tests.items()} for at in range(0, longest, size)]
 
 
 def _reachable(ruleset: RuleSet) -> Column:
@@ -124,48 +130,90 @@ def route_proto(packets: DataFrame) -> DataFrame:
 
 def with_stop(packets: DataFrame, ruleset: RuleSet) -> DataFrame:
     """Add `stop_rule`: the id of the terminal rule that took the packet, or NULL."""
-    return packets.withColumn("stop_rule", _stop(ruleset))
+    return _without_plain(_stop_column(_with_plain(packets), ruleset))
+
+
+def _stop_column(df: DataFrame, ruleset: RuleSet) -> DataFrame:
+    ends = {
+        name: [
+            (compiled_match(row, _packet_field), F.lit(i))
+            for i, row in ruleset.of_type(name)
+            if not row["next_rule"]
+        ]
+        for name in TYPE_ORDER
+    }
+    chunks = _chunks(ends)
+    if not chunks:
+        return df.withColumn("stop_rule", F.lit(None).cast("int"))
+    for step, chunk in enumerate(chunks):
+        found = _by_proto({name: _chain(items) for name, items in chunk.items()}).cast("int")
+        if step:
+            found = F.when(F.col("stop_rule").isNotNull(), F.col("stop_rule")).otherwise(found)
+        df = _own_method(df, {"stop_rule": found}) if len(chunks) > 1 else df.withColumn("stop_rule", found)
+    return df
+
+
+def _own_method(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns in a projection that ends in a one-row generator.
+
+    Whole-stage code puts what follows a generator into a method of its own. Without that, a list
+    of more than about 60 rules becomes one method above the size that the JVM compiles (8,000
+    bytes), and matching slows down several times.
+    """
+    if len(columns) == 1:
+        return df.withColumns({name: F.explode(F.array(value)) for name, value in columns.items()})
+    packed = F.struct(*[value.alias(name) for name, value in columns.items()])
+    df = df.withColumn("_packed", F.explode(F.array(packed)))
+    return df.withColumns({name: F.col(f"_packed.{name}") for name in columns}).drop("_packed")
+
+
+def _with_slots(df: DataFrame, tests: dict[str, list[Column]]) -> tuple[DataFrame, list[str]]:
+    """Add a column per place in the lists, holding the rule id where the test of the packet's list holds.
+
+    A packet has one protocol, so the lists share the places.
+    """
+    places = max(map(len, tests.values()), default=0)
+    names = [f"_slot{place}" for place in range(places)]
+    for at in range(0, places, CHUNK):
+        columns = {}
+        for place in range(at, min(at + CHUNK, places)):
+            choices = {name: items[place] for name, items in tests.items() if place < len(items)}
+            columns[names[place]] = _by_proto(choices).cast("int")
+        df = _own_method(df, columns) if places > CHUNK else df.withColumns(columns)
+    return df, names
+
+
+def _explode_hits(df: DataFrame, columns: list[str]) -> DataFrame:
+    hits = df.withColumn("rule_id", F.explode(F.array(*columns))).filter("rule_id IS NOT NULL")
+    return _without_plain(hits.drop(*columns))
 
 
 def first_match(packets: DataFrame, ruleset: RuleSet) -> DataFrame:
     """One row per (packet, rule that counts it), as `rule_id` next to the packet's columns."""
-    df = with_stop(packets.filter(_reachable(ruleset)), ruleset)
+    df = _stop_column(_with_plain(packets.filter(_reachable(ruleset))), ruleset)
     stop = F.col("stop_rule")
     passed = {
-        rule_type: [
-            F.when(compiled_match(row, _packet_field) & (stop.isNull() | (stop > i)), F.lit(i))
-            for i, row in ruleset.of_type(rule_type)
+        name: [
+            F.when((stop.isNull() | (stop > i)) & compiled_match(row, _packet_field), F.lit(i))
+            for i, row in ruleset.of_type(name)
             if row["next_rule"]
         ]
-        for rule_type in TYPE_ORDER
+        for name in TYPE_ORDER
     }
-    # A packet has one protocol, so the lists share their places in the array.
-    places = max(len(tests) for tests in passed.values())
-    if not places:
-        return df.filter(stop.isNotNull()).withColumnRenamed("stop_rule", "rule_id")
-    slots = [
-        _by_proto({name: tests[place] for name, tests in passed.items() if place < len(tests)}).cast("int")
-        for place in range(places)
-    ]
-    hits = df.withColumn("rule_id", F.explode(F.array(stop, *slots)))
-    return hits.filter("rule_id IS NOT NULL").drop("stop_rule")
+    df, slots = _with_slots(df, passed)
+    if not slots:
+        return _without_plain(df.filter(stop.isNotNull()).withColumnRenamed("stop_rule", "rule_id"))
+    return _explode_hits(df, ["stop_rule", *slots])
 
 
 def all_matches(packets: DataFrame, ruleset: RuleSet) -> DataFrame:
     """One row per (packet, matching rule), as if every rule had `next`."""
     tests = {
-        rule_type: [
-            F.when(compiled_match(row, _packet_field), F.lit(i)) for i, row in ruleset.of_type(rule_type)
-        ]
-        for rule_type in TYPE_ORDER
+        name: [F.when(compiled_match(row, _packet_field), F.lit(i)) for i, row in ruleset.of_type(name)]
+        for name in TYPE_ORDER
     }
-    places = max(len(items) for items in tests.values())
-    slots = [
-        _by_proto({name: items[place] for name, items in tests.items() if place < len(items)}).cast("int")
-        for place in range(places)
-    ]
-    hits = packets.filter(_reachable(ruleset)).withColumn("rule_id", F.explode(F.array(*slots)))
-    return hits.filter("rule_id IS NOT NULL")
+    df, slots = _with_slots(_with_plain(packets.filter(_reachable(ruleset))), tests)
+    return _explode_hits(df, slots)
 
 
 def captured(packets: DataFrame, ruleset: RuleSet) -> DataFrame:
@@ -183,14 +231,16 @@ def unmatched(packets: DataFrame, ruleset: RuleSet) -> DataFrame:
 
 
 def _candidates(rules: DataFrame) -> DataFrame:
-    """Rules with `proto`, `rule_id`, and `blocks`: the destination blocks of a narrow rule, else NULL."""
+    """Rules with `proto`, `rule_id`, and where the index keeps them: at one `host`, in `blocks` of
+    destinations when narrow, or nowhere."""
     df = with_rule_id(rules)
     proto = F.lit(None).cast("int")
     for name, number in PROTO.items():
         proto = F.when(F.col("rule_type") == name, F.lit(number)).otherwise(proto)
-    narrow = (F.col("dst_hi") - F.col("dst_lo") < WIDEST) & (F.col("dst_hi") >= F.col("dst_lo"))
+    host = F.when(F.col("dst_lo") == F.col("dst_hi"), F.col("dst_lo"))
+    narrow = (F.col("dst_hi") - F.col("dst_lo")).between(1, WIDEST - 1)
     blocks = F.when(narrow, F.sequence(F.shiftright("dst_lo", 8), F.shiftright("dst_hi", 8)))
-    return df.withColumns({"proto": proto, "blocks": blocks})
+    return df.withColumns({"proto": proto, "host": host, "blocks": blocks})
 
 
 def index_entries(rules: DataFrame) -> int:
@@ -205,17 +255,18 @@ _RULE_FIELDS = ["rule_id", "next_rule", *[f.name for f in RULE_TESTS.fields]]
 def first_match_indexed(packets: DataFrame, rules: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """`first_match` against a rule table of at most `INDEX_ENTRIES` index entries.
 
-    With `keys` (say, `ruleset_id`) each packet meets the rules that agree with it on them.
+    With `keys` (say, `version`) each packet meets the rules that agree with it on them.
     """
     keys = [*(keys or []), "proto"]
     df = _candidates(rules).withColumn("_rule", F.struct(*_RULE_FIELDS))
-    by_block = df.filter("blocks IS NOT NULL").select(*keys, "_rule", F.explode("blocks").alias("_block"))
-    by_block = by_block.groupBy(*keys, "_block").agg(F.collect_list("_rule").alias("_near"))
-    anywhere = df.filter("blocks IS NULL").groupBy(*keys).agg(F.collect_list("_rule").alias("_far"))
-
+    by_host = df.filter("host IS NOT NULL").withColumnRenamed("host", "dst_ip")
+    by_block = df.filter("blocks IS NOT NULL").withColumn("_block", F.explode("blocks"))
+    anywhere = df.filter("host IS NULL AND blocks IS NULL")
     found = packets.withColumn("_block", F.shiftright("dst_ip", 8))
-    found = found.join(F.broadcast(by_block), [*keys, "_block"], "left")
-    found = found.join(F.broadcast(anywhere), keys, "left")
+    levels = {"_at_host": (by_host, ["dst_ip"]), "_in_block": (by_block, ["_block"]), "_anywhere": (anywhere, [])}
+    for name, (level, place) in levels.items():
+        listed = level.groupBy(*keys, *place).agg(F.collect_list("_rule").alias(name))
+        found = found.join(F.broadcast(listed), [*keys, *place], "left")
 
     def hits(candidates: str):
         def matches(rule):
@@ -230,7 +281,7 @@ def first_match_indexed(packets: DataFrame, rules: DataFrame, keys: list[str] |
         )
         return F.coalesce(short, F.array().cast("array<struct<id:int,next:boolean>>"))
 
-    found = found.withColumn("_hits", F.concat(hits("_near"), hits("_far")))
+    found = found.withColumn("_hits", F.concat(*[hits(name) for name in levels]))
     ends = F.transform(F.filter("_hits", lambda hit: ~hit["next"]), lambda hit: hit["id"])
     found = found.withColumn("_stop", F.array_min(ends))
     counted = F.filter("_hits", lambda hit: F.col("_stop").isNull() | (hit["id"] <= F.col("_stop")))
@@ -241,22 +292,27 @@ def first_match_indexed(packets: DataFrame, rules: DataFrame, keys: list[str] |
 def first_match_joined(packets: DataFrame, rules: DataFrame) -> DataFrame:
     """`first_match` for rule tables of any size; `pkt_id` is unique.
 
-    Narrow rules meet packets by (protocol, destination block). The few wide ones are compared
-    with all packets of their protocol. Packets that met a rule are then grouped by `pkt_id`,
-    which no flood can skew.
+    Rules of one host meet packets by (protocol, destination), other narrow rules by (protocol,
+    destination block), and the few wide ones by protocol. Packets that met a rule are then grouped
+    by `pkt_id`, which no flood can skew.
     """
-    fields = _candidates(rules).select("proto", "rule_type", "blocks", *_RULE_FIELDS)
+    fields = _candidates(rules).select("proto", "rule_type", "host", "blocks", *_RULE_FIELDS)
     renamed = fields.select(*[F.col(name).alias(f"r_{name}") for name in fields.columns])
     condition = any_type_matches(F.col, lambda name: F.col(f"r_{name}"))
-    near = renamed.filter("r_blocks IS NOT NULL").withColumn("r_block", F.explode("r_blocks"))
-    by_block = (F.col("proto") == F.col("r_proto")) & (F.shiftright("dst_ip", 8) == F.col("r_block"))
-    far = renamed.filter("r_blocks IS NULL")
-    met = packets.join(near, by_block & condition).select(*packets.columns, "r_rule_id", "r_next_rule")
-    met = met.unionByName(
-        packets.join(far, (F.col("proto") == F.col("r_proto")) & condition).select(
-            *packets.columns, "r_rule_id", "r_next_rule"
-        )
-    )
+    same_proto = F.col("proto") == F.col("r_proto")
+    places = [
+        (renamed.filter("r_host IS NOT NULL"), F.col("dst_ip") == F.col("r_host")),
+        (
+            renamed.filter("r_blocks IS NOT NULL").withColumn("r_block", F.explode("r_blocks")),
+            F.shiftright("dst_ip", 8) == F.col("r_block"),
+        ),
+        (renamed.filter("r_host IS NULL AND r_blocks IS NULL"), F.lit(True)),
+    ]
+    met = None
+    for level, here in places:
+        pairs = packets.join(level, same_proto & here & condition)
+        pairs = pairs.select(*packets.columns, "r_rule_id", "r_next_rule")
+        met = pairs if met is None else met.unionByName(pairs)
     stop = F.min(F.when(~F.col("r_next_rule"), F.col("r_rule_id"))).over(Window.partitionBy("pkt_id"))
     met = met.withColumn("_stop", stop).filter("_stop IS NULL OR r_rule_id <= _stop")
     return met.select(*packets.columns, F.col("r_rule_id").alias("rule_id"))
