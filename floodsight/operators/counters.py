@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from floodsight.functions.addresses import ip_text
 from floodsight.operators.match import with_rule_id
 from floodsight.operators.segments import SEGMENT_WIDTH, running_sum
+from floodsight.session import broadcast_if_small
 ADDRESSES = 2**32
 
 
@@ -46,7 +47,7 @@ def merge_partials(partials: list[DataFrame], keys: list[str], rules: DataFrame)
     for part in partials[1:]:
         merged = merged.unionByName(part)
     merged = merged.groupBy(*keys).agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
-    known = with_rule_id(rules).select("rule_id", F.lit(True).alias("_known"))
+    known = broadcast_if_small(with_rule_id(rules).select("rule_id", F.lit(True).alias("_known")))
     checked = merged.join(known, "rule_id", "left")
     unknown = F.raise_error(F.concat(F.lit("partial counters of an unknown rule: "), F.col("rule_id").cast("string")))
     # The check sits inside a result column, so that it cannot be pruned away.

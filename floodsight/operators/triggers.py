@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from floodsight.operators import byte_walk
 from floodsight.operators.match import with_rule_id
 from floodsight.operators.segments import SEGMENT_WIDTH, island_start, segment_of
+from floodsight.session import broadcast_if_small
 
 _LIMITS = ["pps_th", "bps_th", "pps_period", "bps_period", "first_tick"]
 
@@ -26,7 +27,9 @@ def with_limits(rates: DataFrame, rules: DataFrame, first_tick: int = 0) -> Data
     limits = with_rule_id(rules)
     if "first_tick" not in rules.columns:
         limits = limits.withColumn("first_tick", F.lit(first_tick).cast("bigint"))
-    joined = rates.join(limits.select("rule_id", *_LIMITS), "rule_id")
+    # By rule id alone a busy rule would be one task, so the rules come to the rates.
+    limits = broadcast_if_small(limits.select("rule_id", *_LIMITS))
+    joined = rates.join(limits, "rule_id")
     return joined.filter(F.col("tick") >= F.col("first_tick"))
 
 
@@ -42,35 +45,48 @@ def above(rates: DataFrame, rules: DataFrame, first_tick: int = 0) -> DataFrame:
     return df.filter("pps_above OR bps_above")
 
 
-def _due(runs: DataFrame, period: str, width: int) -> DataFrame:
-    """Rows of one threshold's runs at which it is due, by the closed form."""
-    df = island_start(runs, ["rule_id"], "tick", width)
+def _due(rows: DataFrame, width: int) -> DataFrame:
+    """Rows above each threshold with `kind` (pps or bps) and `due`, by the closed form.
+
+    Runs of both kinds go through one set of windows. Bytes of rules with two thresholds are left
+    out: their test depends on the packet alarms.
+    """
+    kinds = F.array(
+        F.struct(F.lit("pps").alias("kind"), F.col("pps_above").alias("over"), F.col("pps_period").alias("period")),
+        F.struct(
+            F.lit("bps").alias("kind"),
+            (F.col("bps_above") & (F.col("pps_th") == 0)).alias("over"),
+            F.col("bps_period").alias("period"),
+        ),
+    )
+    runs = rows.select("*", F.inline(kinds)).filter("over").drop("over")
+    runs = island_start(runs, ["rule_id", "kind"], "tick", width)
     waited = F.col("tick") - F.col("island_start")
     # A run from the very first tick has no good tick before it and is due at once.
     waited = F.when(F.col("island_start") == F.col("first_tick"), waited).otherwise(waited + 1)
-    return df.withColumn("due", waited % (F.col(period) + 1) == 0).drop("island_start")
+    return runs.withColumn("due", waited % (F.col("period") + 1) == 0).drop("island_start", "period")
+
+
+_ONE = "pps_th = 0 OR bps_th = 0"
+_BOTH = "pps_th > 0 AND bps_th > 0"
 
 
 def single_alarms(
     rates: DataFrame, rules: DataFrame, first_tick: int = 0, width: int = SEGMENT_WIDTH
 ) -> DataFrame:
     """Due ticks of rules with one threshold; `trigger` is pps or bps."""
-    rows = above(rates, rules, first_tick)
-    packets = _due(rows.filter("pps_above AND bps_th = 0"), "pps_period", width)
-    sizes = _due(rows.filter("bps_above AND pps_th = 0"), "bps_period", width)
-    due = packets.withColumn("trigger", F.lit("pps")).unionByName(sizes.withColumn("trigger", F.lit("bps")))
-    return due.filter("due").select(*rates.columns, "trigger")
+    due = _due(above(rates, rules, first_tick).filter(_ONE), width).filter("due")
+    return due.select(*rates.columns, F.col("kind").alias("trigger"))
 
 
 def dual_alarms(
     rates: DataFrame, rules: DataFrame, first_tick: int = 0, width: int = SEGMENT_WIDTH
 ) -> DataFrame:
     """Due ticks of rules with both thresholds; at most one alarm per rule and tick."""
-    rows = above(rates, rules, first_tick).filter("pps_th > 0 AND bps_th > 0")
+    rows = above(rates, rules, first_tick).filter(_BOTH)
     counted = F.col("dst_ip").isNotNull() if "dst_ip" in rates.columns else F.lit(True)
     # Packets first: they do not depend on the byte test. A swallowed alarm hides nothing.
-    packets = _due(rows.filter("pps_above"), "pps_period", width)
-    packets = packets.withColumn("pps_fired", F.col("due") & counted).drop("due")
+    packets = _due(rows, width).withColumn("pps_fired", F.col("due") & counted).drop("due", "kind")
     rest = rows.filter("NOT pps_above").withColumn("pps_fired", F.lit(False))
     both = packets.unionByName(rest).withColumn("_segment", segment_of("tick", width))
     walked = _walk_bytes(both, width)

@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodsight.operators.match import RuleSet, collect_rules
-from floodsight.schemas import PACKETS, RULE_TEXTS, RULES
+from floodsight.schemas import PACKETS, RULE_TEXTS
+from floodsight.session import settle
 from floodsight.sources.rules import load_rules
 
 # Unix time of tick 0, and the first tick at which triggers are looked at.
@@ -91,17 +92,20 @@ def rule_texts(spark: SparkSession, lines: list[str], ruleset: str = "main") ->
 _loaded: dict = {}
 
 
-def ruleset(spark: SparkSession, lines: list[str] = RULE_LINES) -> RuleSet:
-    """The rules of some lines, loaded once per session."""
+def rules(spark: SparkSession, lines: list[str] = RULE_LINES) -> DataFrame:
+    """The rules of some lines as a stored table, loaded once per session."""
     key = (spark.sparkContext.applicationId, tuple(lines))
     if key not in _loaded:
         accepted, _ = load_rules(rule_texts(spark, lines))
-        _loaded[key] = collect_rules(accepted)
-    return _loaded[key]
+        stored = settle(accepted, "rules")
+        _loaded[key] = (stored, collect_rules(stored))
+    return _loaded[key][0]
 
 
-def rules(spark: SparkSession, lines: list[str] = RULE_LINES) -> DataFrame:
-    return spark.createDataFrame(ruleset(spark, lines).rows, RULES)
+def ruleset(spark: SparkSession, lines: list[str] = RULE_LINES) -> RuleSet:
+    """The same rules on the driver."""
+    rules(spark, lines)
+    return _loaded[(spark.sparkContext.applicationId, tuple(lines))][1]
 
 
 def frames_of(packets: DataFrame) -> DataFrame:

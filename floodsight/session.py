@@ -34,5 +34,6 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 
 def broadcast_if_small(stored: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a stored table for broadcast if it has at most `rows` rows; else leave the join to Spark."""
+    """Mark a stored table for broadcast if it has at most `rows` rows; else leave the join to Spark,
+    whose adaptive joins split skewed keys. The count is a job over the (small, stored) table."""
     return F.broadcast(stored) if stored.limit(rows + 1).count() <= rows else stored
