@@ -1,7 +1,8 @@
 """Streaming counters per one-second tick.
 
-Rows later than the watermark are dropped by Spark, which counts them in each batch's
-``numRowsDroppedByWatermark``. A tick comes out once, when the watermark has passed it.
+Rows later than the watermark of the batch before are dropped by Spark, which counts them in each
+batch's ``numRowsDroppedByWatermark``. A tick comes out once, when the watermark has passed it, so
+give a `delay` that covers how late packets may come.
 """
 
 from pyspark.sql import DataFrame
