@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from floodsight.functions.predicates import any_type_matches, compiled_match, rule_columns_match
+from floodsight.operators.generated import own_method
 from floodsight.schemas import PROTO, RULE_TESTS, TYPE_ORDER
 
 # rule_id = position of the list * LIST_SIZE + rule_no, so that ids sort as the lists do.
@@ -149,24 +150,10 @@ def _stop_column(df: DataFrame, ruleset: RuleSet) -> DataFrame:
         found = _by_proto({name: _chain(items) for name, items in chunk.items()}).cast("int")
         if step:
             found = F.when(F.col("stop_rule").isNotNull(), F.col("stop_rule")).otherwise(found)
-        df = _own_method(df, {"stop_rule": found}) if len(chunks) > 1 else df.withColumn("stop_rule", found)
+        df = own_method(df, {"stop_rule": found}) if len(chunks) > 1 else df.withColumn("stop_rule", found)
     return df
 
 
-def _own_method(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns in a projection that ends in a one-row generator.
-
-    Whole-stage code puts what follows a generator into a method of its own. Without that, a list
-    of more than about 60 rules becomes one method above the size that the JVM compiles (8,000
-    bytes), and matching slows down several times.
-    """
-    if len(columns) == 1:
-        return df.withColumns({name: F.explode(F.array(value)) for name, value in columns.items()})
-    packed = F.struct(*[value.alias(name) for name, value in columns.items()])
-    df = df.withColumn("_packed", F.explode(F.array(packed)))
-    return df.withColumns({name: F.col(f"_packed.{name}") for name in columns}).drop("_packed")
-
-
 def _with_slots(df: DataFrame, tests: dict[str, list[Column]]) -> tuple[DataFrame, list[str]]:
     """Add a column per place in the lists, holding the rule id where the test of the packet's list holds.
 
@@ -179,7 +166,7 @@ def _with_slots(df: DataFrame, tests: dict[str, list[Column]]) -> tuple[DataFram
         for place in range(at, min(at + CHUNK, places)):
             choices = {name: items[place] for name, items in tests.items() if place < len(items)}
             columns[names[place]] = _by_proto(choices).cast("int")
-        df = _own_method(df, columns) if places > CHUNK else df.withColumns(columns)
+        df = own_method(df, columns) if places > CHUNK else df.withColumns(columns)
     return df, names
 
 

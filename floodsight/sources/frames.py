@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from floodsight.operators.generated import own_method
 from floodsight.schemas import PACKETS
 
 # Fixed values of the wire formats: byte offsets from 0, sizes, and flag bits of the TCP header.
@@ -27,16 +28,12 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     not looked at: ports are read where the IP header ends.
     """
     size = F.octet_length("frame")
-    enough_ip = size >= ETHERNET_BYTES + IPV4_BYTES
-    # EtherType, version and header length side by side: one conversion for both.
-    head = F.when(enough_ip, _uint(12, 3))
-    df = frames.withColumn("_head", head).withColumn("_size", size)
-    df = df.withColumns(
-        {
-            "_l4": (ETHERNET_BYTES + F.col("_head").bitwiseAND(F.lit(15)) * 4).cast("int"),
-            "proto": F.when(F.shiftright("_head", 8) == ETHERTYPE_IPV4, _uint(23, 1)).cast("int"),
-        }
-    )
+    # EtherType, version and header length side by side: one conversion for all of them.
+    head = F.when(size >= ETHERNET_BYTES + IPV4_BYTES, _uint(12, 3))
+    df = own_method(frames, {"_head": head, "_size": size})
+    is_ip = F.shiftright("_head", 8) == ETHERTYPE_IPV4
+    header = (ETHERNET_BYTES + F.col("_head").bitwiseAND(F.lit(15)) * 4).cast("int")
+    df = own_method(df, {"proto": F.when(is_ip, _uint(23, 1)).cast("int"), "_l4": header})
     l4_size = F.when(F.col("proto") == 6, L4_BYTES[6]).when(F.col("proto") == 17, L4_BYTES[17])
     l4_size = l4_size.when(F.col("proto") == 1, L4_BYTES[1])
     reject = (
@@ -45,39 +42,42 @@ def decode_frames(frames: DataFrame) -> DataFrame:
         .when(l4_size.isNull(), F.lit("other protocol"))
         .when(F.col("_size") < F.col("_l4") + l4_size, F.lit("short frame"))
     )
-    df = df.withColumn("reject", reject)
+    df = own_method(df, {"reject": reject})
     good = F.col("reject").isNull()
     tcp, udp, icmp = (good & (F.col("proto") == number) for number in (6, 17, 1))
     l4 = F.col("_l4")
-    df = df.withColumns(
+    df = own_method(
+        df,
         {
             "src_ip": F.when(good, _uint(26, 4)),
             "dst_ip": F.when(good, _uint(30, 4)),
             "_ports": F.when(tcp | udp, _uint(l4, 4)),
-            "_offset_win": F.when(tcp, _uint(l4 + 12, 4)),
-            "_icmp": F.when(icmp, _uint(l4, 2)),
-        }
+            # The first bytes that mean something else in each protocol.
+            "_rest": F.when(tcp, _uint(l4 + 12, 4)).when(udp, _uint(l4 + 4, 2)).when(icmp, _uint(l4, 2)),
+        },
     )
-    wire = F.shiftright("_offset_win", 16)
+    df = own_method(df, {"seq": F.when(tcp, _uint(l4 + 4, 4)), "ack": F.when(tcp, _uint(l4 + 8, 4))})
+    rest = F.col("_rest")
+    wire = F.shiftright("_rest", 16)
     flags = F.lit(0).cast("bigint")
     for position, bit in enumerate(TCP_WIRE_BITS):
         flags = flags + F.when(wire.bitwiseAND(F.lit(bit)) != 0, F.lit(1 << position)).otherwise(F.lit(0))
-    df = df.withColumns(
+    df = own_method(
+        df,
         {
             "sport": F.shiftright("_ports", 16).cast("int"),
             "dport": F.col("_ports").bitwiseAND(F.lit(65535)).cast("int"),
-            "seq": F.when(tcp, _uint(l4 + 4, 4)),
-            "ack": F.when(tcp, _uint(l4 + 8, 4)),
-            "win": F.col("_offset_win").bitwiseAND(F.lit(65535)).cast("int"),
-            "tcp_hlen": (F.shiftright("_offset_win", 28) * 4).cast("int"),
-            "tcp_flags": F.when(tcp, flags.cast("int")),
-            "udp_len": F.when(udp, _uint(l4 + 4, 2)).cast("int"),
-            "icmp_type": F.shiftright("_icmp", 8).cast("int"),
-            "icmp_code": F.col("_icmp").bitwiseAND(F.lit(255)).cast("int"),
-            "frame_len": F.col("frame_len").cast("bigint"),
-        }
+            "win": F.when(tcp, rest.bitwiseAND(F.lit(65535))).cast("int"),
+            "tcp_hlen": F.when(tcp, F.shiftright("_rest", 28) * 4).cast("int"),
+            "tcp_flags": F.when(tcp, flags).cast("int"),
+            "udp_len": F.when(udp, rest).cast("int"),
+            "icmp_type": F.when(icmp, F.shiftright("_rest", 8)).cast("int"),
+            "icmp_code": F.when(icmp, rest.bitwiseAND(F.lit(255))).cast("int"),
+        },
+    )
+    return df.withColumn("frame_len", F.col("frame_len").cast("bigint")).drop(
+        "_head", "_size", "_l4", "_ports", "_rest"
     )
-    return df.drop("_head", "_size", "_l4", "_ports", "_offset_win", "_icmp")
 
 
 def frame_packets(frames: DataFrame) -> DataFrame:
