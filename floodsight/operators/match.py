@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from floodsight.functions.predicates import any_type_matches, compiled_match, rule_columns_match
 from floodsight.operators.generated import own_method
 from floodsight.schemas import PROTO, RULE_TESTS, TYPE_ORDER
+from floodsight.session import broadcast_if_small
 
 # rule_id = position of the list * LIST_SIZE + rule_no, so that ids sort as the lists do.
 LIST_SIZE = 1_000_000
@@ -240,10 +241,13 @@ _RULE_FIELDS = ["rule_id", "next_rule", *[f.name for f in RULE_TESTS.fields]]
 
 
 def first_match_indexed(packets: DataFrame, rules: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """`first_match` against a rule table of at most `INDEX_ENTRIES` index entries.
+    """`first_match` against a rule table of at most `INDEX_ENTRIES` index entries (checked).
 
     With `keys` (say, `version`) each packet meets the rules that agree with it on them.
     """
+    entries = index_entries(rules)
+    if entries > INDEX_ENTRIES:
+        raise ValueError(f"{entries} index entries are too many to broadcast; use first_match_joined")
     keys = [*(keys or []), "proto"]
     df = _candidates(rules).withColumn("_rule", F.struct(*_RULE_FIELDS))
     by_host = df.filter("host IS NOT NULL").withColumnRenamed("host", "dst_ip")
@@ -281,7 +285,8 @@ def first_match_joined(packets: DataFrame, rules: DataFrame) -> DataFrame:
 
     Rules of one host meet packets by (protocol, destination), other narrow rules by (protocol,
     destination block), and the few wide ones by protocol. Packets that met a rule are then grouped
-    by `pkt_id`, which no flood can skew.
+    by `pkt_id`, which no flood can skew. Levels of a checked size are broadcast; joins with larger
+    ones are left to Spark, whose adaptive joins split a flooded destination.
     """
     fields = _candidates(rules).select("proto", "rule_type", "host", "blocks", *_RULE_FIELDS)
     renamed = fields.select(*[F.col(name).alias(f"r_{name}") for name in fields.columns])
@@ -297,7 +302,7 @@ def first_match_joined(packets: DataFrame, rules: DataFrame) -> DataFrame:
     ]
     met = None
     for level, here in places:
-        pairs = packets.join(level, same_proto & here & condition)
+        pairs = packets.join(broadcast_if_small(level), same_proto & here & condition)
         pairs = pairs.select(*packets.columns, "r_rule_id", "r_next_rule")
         met = pairs if met is None else met.unionByName(pairs)
     stop = F.min(F.when(~F.col("r_next_rule"), F.col("r_rule_id"))).over(Window.partitionBy("pkt_id"))
@@ -310,6 +315,7 @@ def match_packets(packets: DataFrame, rules: DataFrame) -> DataFrame:
     ruleset = collect_rules(rules)
     if ruleset is not None:
         return first_match(packets, ruleset)
-    if index_entries(rules) <= INDEX_ENTRIES:
+    try:
         return first_match_indexed(packets, rules)
-    return first_match_joined(packets, rules)
+    except ValueError:
+        return first_match_joined(packets, rules)

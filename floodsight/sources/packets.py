@@ -12,23 +12,23 @@ def with_tick(packets: DataFrame) -> DataFrame:
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
-    return with_tick(spark.read.schema(PACKETS).parquet(path))
+    return with_tick(spark.read.schema(PACKETS).parquet(path).select(PACKETS.fieldNames()))
 
 
 def stream_packets(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(PACKETS)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return with_tick(reader.parquet(path))
+    return with_tick(reader.parquet(path).select(PACKETS.fieldNames()))
 
 
 def store_packets(packets: DataFrame, path: str, partitions: int | None = None) -> None:
     """Write packets by day and protocol, range-sorted by time so that row groups hold short spans.
 
-    The split is on (ts, pkt_id), never on an address, so a flooded host spreads over many files.
+    A list of rules then reads the folders of its own protocol only. The split is on (ts, pkt_id),
+    never on an address, so a flooded host spreads over many files.
     """
-    day = packets.select([f.name for f in PACKETS.fields]).withColumn("day", F.to_date("ts"))
+    day = packets.select(PACKETS.fieldNames()).withColumn("day", F.to_date("ts"))
     order = ["day", "proto", "ts", "pkt_id"]
     spread = day.repartitionByRange(partitions, *order) if partitions else day.repartitionByRange(*order)
-    spread = spread.withColumn("proto_list", F.col("proto"))
-    spread.sortWithinPartitions(*order).write.partitionBy("day", "proto_list").mode("append").parquet(path)
+    spread.sortWithinPartitions(*order).write.partitionBy("day", "proto").mode("append").parquet(path)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,9 @@ from pyspark.sql import functions as F
 import walks
 from floodsight.operators import match
 from floodsight.operators.match import with_rule_names
+from floodsight.plans import fixtures
 from floodsight.schemas import PACKETS, RULES
+from floodsight.sources.packets import read_packets, store_packets
 
 
 def random_rule(rng, kind, number):
@@ -112,6 +115,8 @@ def test_match_packets_falls_back_by_size(spark, monkeypatch):
     monkeypatch.setattr(match, "collect_rules", lambda table: None)
     assert pairs(match.match_packets(traffic, rules)) == compiled
     monkeypatch.setattr(match, "INDEX_ENTRIES", 0)
+    with pytest.raises(ValueError, match="too many"):
+        match.first_match_indexed(traffic, rules)
     assert pairs(match.match_packets(traffic, rules)) == compiled
 
 
@@ -123,6 +128,17 @@ def test_compiled_match_neither_shuffles_nor_leaves_the_jvm(spark):
     assert "Exchange" not in text and "Join" not in text and "Python" not in text
 
 
+def test_a_list_reads_only_the_folders_of_its_protocol(spark, tmp_path):
+    ruleset = match.RuleSet(
+        [row for row in fixtures.ruleset(spark).rows if row["rule_type"] == "udp"]
+    )
+    store_packets(fixtures.packets(spark, "/root/testdata/sf0.001"), str(tmp_path / "p"))
+    stored = read_packets(spark, str(tmp_path / "p"))
+    plan = match.first_match(stored, ruleset)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*\(proto#\d+ = 17\)", plan), plan
+    assert stored.count() == 1000
+
+
 def test_no_rules_match_nothing(spark):
     traffic = frame(spark, [random_packet(random.Random(8), n) for n in range(20)], PACKETS)
     assert match.first_match(traffic, match.RuleSet([])).count() == 0
