@@ -13,8 +13,8 @@ from floodsight.functions.predicates import compare, flags_match, in_range
 from floodsight.operators import capture, counters, match, rates, rulesets, timeseries, triggers
 from floodsight.operators.match import with_rule_names
 from floodsight.plans import fixtures, reports
-from floodsight.schemas import PACKETS, PROTO, RULE_TEXTS, TYPE_ORDER
-from floodsight.session import broadcast_if_small, scratch_path, settle
+from floodsight.schemas import PACKETS, RULE_TEXTS, TYPE_ORDER
+from floodsight.session import scratch_path, settle
 from floodsight.sinks import alarm_log, line_protocol
 from floodsight.sinks.capture import write_capture
 from floodsight.sources import frames
@@ -169,16 +169,10 @@ def sink_event_lp(spark, sf_dir):
 
 def _captured(spark, sf_dir):
     """Packets after alarms. The alarm table is stored, so its size is known before it is broadcast."""
-    report = triggers.alarms(_rates(spark, sf_dir), fixtures.rules(spark), fixtures.FIRST_TICK)
-    about = match.with_rule_id(fixtures.rules(spark)).select("rule_id", "rule_type")
-    proto = F.lit(None).cast("int")
-    for name in TYPE_ORDER:
-        proto = F.when(F.col("rule_type") == name, PROTO[name]).otherwise(proto)
-    alarms = report.join(about, "rule_id").select(
-        "rule_id", proto.alias("proto"), "dst_ip", F.timestamp_seconds(F.col("tick") + fixtures.EPOCH).alias("ts")
-    )
-    alarms = broadcast_if_small(settle(alarms, "alarms"))
-    return capture.interval_capture(_packets(spark, sf_dir), alarms)
+    rules = fixtures.rules(spark)
+    due = triggers.alarms(_rates(spark, sf_dir), rules, fixtures.FIRST_TICK)
+    targets = settle(reports.alarm_targets(due, rules, fixtures.EPOCH), "alarms")
+    return reports.captured_packets(_packets(spark, sf_dir), targets)
 
 
 def _capture_columns(captured):

@@ -4,17 +4,20 @@ Packets are read once: they become counts by (rule, tick, destination), these a
 that is stored. All later steps work on that small table.
 """
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodsight.functions.rule_text import alarm_text
 from floodsight.functions.sizes import size_text
+from floodsight.operators.capture import CAPTURE_SECONDS, interval_capture
 from floodsight.operators.counters import dst_counts, tick_profile, with_dst_text, with_totals
 from floodsight.operators.match import match_packets, with_rule_id, with_rule_names
 from floodsight.operators.rates import tick_rates
 from floodsight.operators.triggers import alarms
-from floodsight.schemas import TYPE_ORDER
-from floodsight.session import settle
+from floodsight.schemas import PROTO, TYPE_ORDER
+from floodsight.session import broadcast_if_small, settle
 
 
 def rule_tick_rates(packets: DataFrame, rules: DataFrame) -> DataFrame:
@@ -50,6 +53,31 @@ def traffic_alarms(packets: DataFrame, rules: DataFrame, first_tick: int = 0, ep
     return alarm_report(rates, rules, first_tick, epoch)
 
 
+def alarm_targets(due: DataFrame, rules: DataFrame, epoch: int = 0) -> DataFrame:
+    """Alarms as captures need them: (rule_id, proto, dst_ip, ts). `due` has rule_id, tick and dst_ip."""
+    proto = F.lit(None).cast("int")
+    for name, number in PROTO.items():
+        proto = F.when(F.col("rule_type") == name, F.lit(number)).otherwise(proto)
+    about = with_rule_id(rules).select("rule_id", proto.alias("proto"))
+    ts = F.timestamp_seconds(F.col("tick") + epoch).alias("ts")
+    return due.join(about, "rule_id").select("rule_id", "proto", "dst_ip", ts)
+
+
+def captured_packets(packets: DataFrame, targets: DataFrame, seconds: int = CAPTURE_SECONDS) -> DataFrame:
+    """Packets to attacked hosts within `seconds` of their alarms.
+
+    `targets` is a stored table: its time span is looked up and limits the packet scan, and it is
+    broadcast if it is small.
+    """
+    span = targets.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    if span["first"] is None:
+        packets = packets.limit(0)
+    else:
+        last = span["last"] + timedelta(seconds=seconds)
+        packets = packets.filter(F.col("ts").between(F.lit(span["first"]), F.lit(last)))
+    return interval_capture(packets, broadcast_if_small(targets), seconds)
+
+
 def list_rank(rule_type: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, TYPE_ORDER)), rule_type).cast("int")
 

@@ -155,6 +155,9 @@ def test_capture_takes_the_first_packets_within_the_span(spark, tmp_path):
         if n % 3 and n % 5 and 0 <= (500 * n - 2000) - 1000 * at <= 60_000
     )
     assert sorted((r.alarm_rule_id, r.pkt_id) for r in got.collect()) == want
+    narrowed = reports.captured_packets(packets, settle(alarms, "alarms"))
+    assert sorted((r.alarm_rule_id, r.pkt_id) for r in narrowed.collect()) == want
+    assert reports.captured_packets(packets, settle(alarms.limit(0), "alarms")).count() == 0
     limited = capture.limit_capture(got, 10)
     firsts = [[p for r, p in want if r == rule][:10] for rule in (0, 1)]
     assert sorted((r.alarm_rule_id, r.pkt_id) for r in limited.collect()) == [(r, p) for r in (0, 1) for p in firsts[r]]
