@@ -77,49 +77,49 @@ def leaf_quotas(leaves: DataFrame, budget: Column, epochs: int, weights: dict[st
 
 
 def mix(docs: DataFrame, budget: Column, epochs: int = EPOCHS, seed: int = SEED, weights: dict | None = None) -> DataFrame:
-    """The rows taken, all columns of `docs`, with `_tokens`, `_epochs` (full passes) and `_taken` (passes it is in).
+    """(doc, domain, n_tokens, full, taken) for each row that is taken: `doc` holds all columns of the row, `full` counts
+    the whole passes over its leaf, `taken` the passes it is in.
 
-    `docs(doc_id, text, lang, source)`. Tokens are the words of the text: runs of other characters than space and
+    `docs(doc_id, text, lang, source, ...)`. Tokens are the words of the text: runs of other characters than space and
     0x09-0x0D. `budget` is an expression over `all_tokens`. Null lang or source counts as ''. Texts without words take no
-    budget and are in with the first epoch's whole passes, or where the cut comes after them. Rows that agree in doc_id and
-    text have the same place in the order and stay or go together. An empty table gives no rows.
+    budget; they are in wherever the cut comes after them. Rows that agree in doc_id and text have the same place in the
+    order and stay or go together. An empty table gives no rows.
     """
     weights = {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS} if weights is None else weights
-    keyed = docs.withColumns({"_tokens": words_in(F.col("text")), "_lang": F.coalesce("lang", F.lit("")), "_source": F.coalesce("source", F.lit(""))})
-    keyed = keyed.withColumn("_domain", domain_of(F.col("_source")))
-    keyed = keyed.withColumn("_row", F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
-    narrow = settle(keyed.select("_domain", "_lang", "_source", "_tokens", "_row"), "tokens")
-    leaf = ["_domain", "_lang", "_source"]
-    leaves = narrow.groupBy(*leaf).agg(F.sum("_tokens").alias("tokens")).toDF(*LEVELS, "tokens")
-    quotas = leaf_quotas(settle(leaves, "leaves"), budget, epochs, weights)
-    quotas = quotas.select(*LEVELS, F.expr("CASE WHEN tokens = 0 THEN 0L ELSE quota div tokens END").alias("full"), "tokens", "quota")
-    quotas = settle(quotas.select(*LEVELS, "full", (F.col("quota") - F.col("full") * F.col("tokens")).alias("rest")).toDF(*leaf, "_full", "_rest"), "quotas")
-    order = F.md5(F.concat_ws("-", F.lit(seed), "_full", "_row"))
-    placed = narrow.join(broadcast_checked(quotas), leaf).withColumn("_order", order).withColumn("_slice", F.substring("_order", 1, SLICE))
-
-    # tokens before each slice; a leaf has at most 16^SLICE of them
-    slices = placed.groupBy(*leaf, "_slice", "_rest").agg(F.sum("_tokens").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*leaf).orderBy("_slice"))
-    slices = slices.withColumn("upto", upto)
-    cut = slices.where("upto > _rest").groupBy(*leaf).agg(F.min(F.struct("_slice", F.expr("upto - n").alias("base"))).alias("cut"))
-    cut = settle(cut.select(*leaf, F.col("cut._slice").alias("_at"), F.col("cut.base").alias("_base")), "cuts")
-    edge = placed.select(*leaf, "_slice", "_order", "_tokens", "_rest").join(broadcast_checked(cut), leaf).where("_slice = _at")
-    edge = edge.groupBy(*leaf, "_order", "_base", "_rest").agg(F.sum("_tokens").alias("n"))
-    reach = F.col("_base") + F.sum("n").over(Window.partitionBy(*leaf).orderBy("_order"))
-    last = edge.withColumn("reach", reach).where("reach <= _rest").groupBy(*leaf).agg(F.max("_order").alias("_last"))
-    bounds = settle(cut.join(last, leaf, "left").select(*leaf, F.coalesce("_last", "_at").alias("_last")), "bounds")
-    placed = keyed.join(broadcast_checked(quotas), leaf).withColumn("_order", order).join(broadcast_checked(bounds), leaf, "left")
-    # below the first order string of its slice nothing of the slice is taken
-    within = F.col("_last").isNull() | (F.col("_order") <= F.col("_last"))
-    taken = placed.withColumn("_taken", F.col("_full") + within.cast("long")).where("_taken > 0")
-    return taken.select(*docs.columns, F.col("_domain"), "_tokens", F.col("_full").alias("_epochs"), "_taken")
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    row = F.concat_ws("-", empty("doc_id"), F.md5(empty("text")))
+    keyed = docs.select(
+        F.struct("*").alias("doc"), domain_of(empty("source")).alias("domain"), empty("lang").alias("lang"), empty("source").alias("source"), words_in(F.col("text")).alias("n_tokens"), row.alias("row")
+    )
+    leaf = list(LEVELS)
+    narrow = settle(keyed.select(*leaf, "n_tokens", "row"), "tokens")
+    leaves = settle(narrow.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens")), "leaves")
+    quotas = leaf_quotas(leaves, budget, epochs, weights).withColumn("full", F.expr("CASE WHEN tokens = 0 THEN 0L ELSE quota div tokens END"))
+    quotas = settle(quotas.select(*leaf, "full", F.expr("quota - full * tokens").alias("rest")), "quotas")
+    order = F.md5(F.concat_ws("-", F.lit(seed), "full", "row"))
+    placed = narrow.join(broadcast_checked(quotas), leaf).withColumn("place", order).withColumn("slice", F.substring("place", 1, SLICE))
+
+    # tokens before each slice of the order; a leaf has at most 16^SLICE of them
+    slices = placed.groupBy(*leaf, "slice", "rest").agg(F.sum("n_tokens").alias("n"))
+    slices = slices.withColumn("upto", F.sum("n").over(Window.partitionBy(*leaf).orderBy("slice")))
+    cut = slices.where("upto > rest").groupBy(*leaf).agg(F.min(F.struct("slice", F.expr("upto - n").alias("base"))).alias("cut"))
+    cut = settle(cut.select(*leaf, F.col("cut.slice").alias("at"), F.col("cut.base").alias("base")), "cuts")
+    edge = placed.join(broadcast_checked(cut), leaf).where("slice = at")
+    edge = edge.groupBy(*leaf, "place", "base", "rest").agg(F.sum("n_tokens").alias("n"))
+    reach = F.col("base") + F.sum("n").over(Window.partitionBy(*leaf).orderBy("place"))
+    last = edge.withColumn("reach", reach).where("reach <= rest").groupBy(*leaf).agg(F.max("place").alias("last"))
+    # where nothing of the cut slice is taken, the slice's own name is below all places in it
+    bounds = settle(cut.join(last, leaf, "left").select(*leaf, F.coalesce("last", "at").alias("last")), "bounds")
+    rows = keyed.join(broadcast_checked(quotas), leaf).withColumn("place", order).join(broadcast_checked(bounds), leaf, "left")
+    taken = F.col("full") + (F.col("last").isNull() | (F.col("place") <= F.col("last"))).cast("long")
+    return rows.withColumn("taken", taken).where("taken > 0").select("doc", "domain", "n_tokens", "full", "taken")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     """Half of the corpus by weight: a row for each text and pass it is taken in."""
     taken = mix(documents(spark, sf_dir), F.expr("all_tokens div 2"))
-    rows = taken.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_taken") - 1)))
-    return rows.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_tokens").alias("n_tokens"), "epoch")
+    rows = taken.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("taken") - 1)))
+    return rows.select("doc.doc_id", "domain", "doc.lang", "doc.source", "n_tokens", "epoch")
 
 
 def _case(column: str, weights: dict[str, int]) -> str:
