@@ -25,7 +25,7 @@ from floodsight.session import settle
 
 TOP, TAIL, SIDE, HIDDEN, STRIDE = 192, 64, 3, 24, 8
 SYMBOLS = TOP + TAIL
-BATCH, RATE = 2048, 0.05
+BATCH, RATE = 1024, 0.05
 CHUNK = 1 << 11
 LARGEST = 2.5
 HELD = 2_000_000
@@ -97,7 +97,7 @@ class Net:
         self.parts = [
             random.normal(0, 0.3, (2 * SIDE, SYMBOLS + 1, HIDDEN)).astype(np.float32),
             np.zeros(HIDDEN, np.float32),
-            random.normal(0, 0.1, (HIDDEN, SYMBOLS)).astype(np.float32),
+            np.zeros((HIDDEN, SYMBOLS), np.float32),  # so that it starts from the frequencies
             np.log(share).astype(np.float32),
         ]
 
