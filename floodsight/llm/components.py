@@ -32,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
         if before == mark:
             break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    return settle(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -1,23 +1,24 @@
 """N-gram Jaccard join by grouped prefixes.
 
-A text's set holds its distinct shingles of `size` words, as 64-bit fingerprints. Two sets of sizes
-n and m that reach the similarity share a shingle among the first n - ceil(t n) + 1 of each, in any
-order common to all sets. The order puts frequent shingles last: shingles are counted over all
-texts, and the most frequent ones (a table of bounded size) go behind all others by their count.
-The table changes only how many candidates come up, never the result.
-
-Texts with the same prefix and size are one group, so exact copies and most near copies of equal
-length are looked up once. Groups that share a shingle of their prefixes are candidates. They are
-first compared in stars, each shared shingle comparing its groups with one of them, which links a
-cluster of copies in a number of comparisons that grows with its size, not with its square. What
-the stars linked needs no further comparison inside; the remaining pairs between unlinked groups
-are then compared in full, so no link between components is lost. Members of a group are expanded
-and verified by the same rule. Every link is verified on the whole sets.
+A text's set holds its distinct shingles of `size` words, as 64-bit fingerprints. Two sets that reach the similarity t
+share at least ceil(t n) shingles, n being the larger size, and so share `common` of the first n - ceil(t n) + common
+of each, in any order that all sets follow; of the smaller set fewer are enough, as it has to be matched more fully. The order puts frequent shingles last: shingles are counted over all
+texts, first those that a prefix is likely to have, then all of texts that have many frequent ones among these. The
+most frequent (a table of bounded size) go behind all others by their count. The table changes only how many
+candidates come up, never the result.
+
+Texts with the same prefix and size are one group, so exact copies and most near copies of equal length are looked
+up once. Groups whose prefixes share `common` shingles are candidates. Where a shingle is shared by CROWD groups or
+more, they are first compared in two stars, each with one of them picked at random, which links a cluster of copies
+in a number of comparisons that grows with its size, not with its square. What the stars linked needs no further comparison inside; all
+remaining pairs between unlinked groups are then looked at, so no link between components is lost. Members of a group
+are expanded and verified by the same rule. Every link is verified on the whole sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,9 @@ from floodsight.llm.frames import broadcast_checked, documents, map_texts
 from floodsight.llm.text import find_words, hash_runs, hash_spans, inside, mix, signed, text_bytes
 from floodsight.session import settle
 
-SIZE, PERCENT = 4, 85
-HOT_COUNT, HOT_TOKENS = 6, 500_000
+SIZE, PERCENT, COMMON = 4, 85, 4
+HOT_COUNT, HOT_TOKENS = 4, 500_000
+CROWD = 8
 
 
 def text_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +57,8 @@ def _whole(words: np.ndarray) -> int:
 
 
 def _prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+    least = (percent * n + 99) // 100
+    return n - least + np.minimum(least, COMMON)
 
 
 def _take(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -77,6 +80,25 @@ def _first_shingles(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return map_texts(docs, work, "token long, n long")
 
 
+def _crowded_shingles(docs: DataFrame, crowded, size: int, percent: int) -> DataFrame:
+    """All shingles of the texts whose first shingles are mostly frequent ones: members of large groups of copies.
+
+    Only their whole sets tell the shingles that the group has in common from those of one member.
+    """
+
+    def work(batch):
+        sets, at = text_sets(batch.column(1), size)
+        n = np.diff(at)
+        wide = np.minimum(n, _prefix_sizes(n, percent) * 5 // 4 + 2)
+        text = np.repeat(np.arange(len(n)), n)
+        place = _take(at, wide)
+        known = np.bincount(text[place], weights=np.isin(sets[place], crowded.value), minlength=len(n))
+        token, count = np.unique(sets[(known * 4 > wide)[text]], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(count)], ["token", "n"])
+
+    return map_texts(docs, work, "token long, n long")
+
+
 def _prefixes(docs: DataFrame, hot, size: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, prefix_id, prefix, set_a, set_b): equal set_a, set_b and size mean equal sets."""
 
@@ -139,55 +161,83 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT,
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    counted = _first_shingles(docs, size, percent).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_count)
-    top = counted.orderBy(F.desc("n"), "token").limit(hot_tokens).toPandas()
+    def most_frequent(counted: DataFrame):
+        top = counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_count)
+        return top.orderBy(F.desc("n"), "token").limit(hot_tokens).toPandas()
+
+    top = most_frequent(_first_shingles(docs, size, percent))
+    crowded = spark.sparkContext.broadcast(np.sort(top.token[top.n >= CROWD].to_numpy(np.int64).view(np.uint64)))
+    top = pd.concat([top, most_frequent(_crowded_shingles(docs, crowded, size, percent))]).groupby("token", as_index=False).n.max()
     tokens = top.token.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     hot = spark.sparkContext.broadcast((tokens[order], top.n.to_numpy(np.int64)[order]))
-    rows = settle(_prefixes(docs, hot, size, percent), "prefixes")
+    prefixes = _prefixes(docs, hot, size, percent)
+    rows = settle(prefixes.drop("prefix"), "sets")
+
+    def least(n):  # shingles that a set of n has in common with any larger one it reaches the similarity with
+        return F.expr(f"({percent} * {n} + 99) div 100")
+
+    def common(n):
+        return F.least(F.lit(COMMON), least(n))
+
+    def low(n):
+        return F.col(n) - F.expr(f"(2 * {percent} * {n} + {99 + percent}) div {100 + percent}") + common(n)
 
+    both_need = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
     linked = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     key = ["n_shingles", "prefix_id"]
-    classes = linked.groupBy(*key, "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    classes = settle(classes, "classes")
-    groups = classes.groupBy(*key).agg(F.min("rep").alias("g"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    entries = groups.select(F.explode("prefix").alias("token"), "g", F.col("n_shingles").alias("n"))
-    turn = F.struct(F.xxhash64("token", "g").alias("h"), F.col("g").alias("c"), F.col("n").alias("cn"))
-    shared = entries.groupBy("token").agg(F.count("*").alias("k"), F.min(turn).alias("star")).where("k > 1")
-    entries = settle(entries.join(shared, "token").select("token", "g", "n", "star.c", "star.cn"), "entries")
-
-    fits = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    stars = entries.where((F.col("g") != F.col("c")) & fits(F.col("n"), F.col("cn"))).select(F.col("c").alias("g"), F.col("g").alias("h"))
-    stars = stars.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
-    several = groups.where("members > 1").select(F.col("g").alias("one"), F.col("n_shingles").alias("n"), "prefix_id")
-    members = settle(
-        classes.join(several, (classes.n_shingles == several.n) & (classes.prefix_id == several.prefix_id)).select("one", "rep"), "members"
-    )
-    live = settle(entries.select(F.col("g").alias("doc_id")).union(members.select("rep")).distinct(), "live")
-    sets = settle(_whole_sets(docs.join(broadcast_checked(live), "doc_id", "left_semi"), size), "sets").dropDuplicates(["doc_id"])
-
-    # members of a group, and of two groups, stand for the group pair
-    spread = members.select(F.col("one").alias("g"), "rep")
+    classes = settle(linked.groupBy(*key, "set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
+    groups = prefixes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("g"), F.first("prefix").alias("prefix"))
+    # the smaller or equal set of a pair is found by its first `low` shingles
+    entries = groups.select(F.posexplode("prefix").alias("pos", "token"), "g", F.col("n_shingles").alias("n"))
+    entries = entries.select("token", "g", "n", (F.col("pos") < low("n")).alias("lower"))
+    turn = F.when(F.col("lower"), F.struct(F.xxhash64("token", "g").alias("turn"), F.col("g").alias("c"), F.col("n").alias("cn")))
+    shared = entries.groupBy("token").agg(F.count("*").alias("k"), F.count(turn).alias("lows"), F.array(F.min(turn), F.max(turn)).alias("stars"))
+    shared = shared.where("k > 1 AND lows > 0").select("token", F.when(F.col("lows") >= CROWD, F.col("stars")).alias("stars"))
+    entries = settle(entries.join(shared, "token").select("token", "g", "n", "lower", "stars"), "entries")
+    repeated = classes.groupBy(*key).agg(F.min("rep").alias("g"), F.count("*").alias("k")).where("k > 1")
+    spread = settle(classes.join(repeated, key).select("g", "rep"), "members")  # of the groups with several
+
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Of rows (g, h, n, m), n <= m, one for each shingle shared by the prefixes, the pairs that share enough of them:
+        what they share in all is no more than that and the longer of the two rests."""
+        beyond = F.greatest(F.col("n") - low("n"), least("m") - common("m"))
+        enough = F.greatest(F.least(common("n"), common("m")), both_need - beyond)
+        return pairs.where(fits).groupBy("g", "h", "n", "m").agg(F.count("*").alias("k")).where(F.col("k") >= enough).select("g", "h")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = settle(pairs, "pairs")
+        live = settle(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "live")
+        if not live.take(1):
+            return pairs
+        sets = _whole_sets(docs.join(broadcast_checked(live), "doc_id", "left_semi"), size).dropDuplicates(["doc_id"])
+        return settle(_verified(pairs, settle(sets, "sets"), percent), "edges")
+
+    stars = entries.where("lower").select("g", "n", F.explode("stars").alias("s")).select("g", F.col("s.c").alias("h"), "n", F.col("s.cn").alias("m"))
+    stars = stars.where((F.col("g") != F.col("h")) & fits).select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h"))
     own = spread.where("g <> rep").select(F.col("g").alias("a"), F.col("rep").alias("b"))
-    first = settle(_verified(_members(stars, spread).union(own).distinct(), sets, percent), "edges")
+    first = verified(_members(stars, spread).union(own).distinct())
     label = components(first)
-    named = entries.select("token", "g", "n").join(label.withColumnRenamed("node", "g"), "g", "left")
-    named = settle(named.select("token", "g", "n", F.coalesce("component", "g").alias("comp")), "named")
+    named = entries.select("token", "g", "n", "lower").join(broadcast_checked(label).withColumnRenamed("node", "g"), "g", "left")
+    named = settle(named.select("token", "g", "n", "lower", F.coalesce("component", "g").alias("comp")), "named")
     open_tokens = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
     rest = named.join(open_tokens, "token", "left_semi")
-    other = rest.select("token", F.col("g").alias("h"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
-    pairs = rest.join(other, "token").where((F.col("g") < F.col("h")) & (F.col("comp") != F.col("comp2")) & fits(F.col("n"), F.col("m")))
-    pairs = pairs.select("g", "h").distinct().join(stars, ["g", "h"], "left_anti")
+    other = rest.select("token", F.col("g").alias("h"), F.col("n").alias("m"), F.col("comp").alias("comp2"), F.col("lower").alias("also"))
+    smaller = "lower AND comp <> comp2 AND (n < m OR n = m AND g < h AND also)"
+    pairs = likely(rest.where("lower").join(other, "token").where(smaller).select("g", "h", "n", "m"))
     within = spread.alias("s").join(spread.alias("t"), "g").where("s.rep < t.rep").select(F.col("s.rep").alias("a"), F.col("t.rep").alias("b"))
-    linked_now = label.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    within = within.join(linked_now, "a", "left").join(linked_now.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b", "left")
-    within = within.where("NOT coalesce(ca, a) <=> coalesce(cb, b)").select("a", "b")
-    more = settle(_verified(_members(pairs, spread).union(within).distinct(), sets, percent), "edges")
+    more = _members(pairs, spread).union(within).distinct()
+    for side in ("a", "b"):
+        more = more.join(broadcast_checked(label).select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+    more = more.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+    more = verified(more)
     if more.take(1):
         label = components(first.union(more))
     final = classes.select(*key, "set_a", "set_b", F.col("rep").alias("node")).join(label, "node", "left")
     final = final.select(*key, "set_a", "set_b", F.coalesce("component", "node").alias("component_id"))
-    out = linked.drop("prefix").join(final, [*key, "set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
+    out = linked.join(final, [*key, "set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
     alone = rows.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.union(alone)
 

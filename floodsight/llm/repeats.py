@@ -81,38 +81,34 @@ def _anchors_by_text(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return map_texts(docs, work, "row_id long, anchor long")
 
 
-def _live_segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """The segments whose anchors are in the row's lists `cool` or `hot`.
-
-    A cool one is a row with its words; of a hot one every suffix is a row, its key the fingerprint of the window.
+def _live_segments(docs: DataFrame, window: int, gram: int, cool: bool = True) -> DataFrame:
+    """The segments whose anchors are in the row's list `cool`, with their words; or else the suffixes of those in
+    its list `hot`, the fingerprint of the window being the key.
     """
+    take_cool = cool
 
     def keys(column) -> np.ndarray:
         return np.sort(column.combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64)) if len(column) else np.zeros(0, np.uint64)
 
     def work(batch):
+        wanted = np.unique(keys(pa.table(batch)["cool" if take_cool else "hot"]))
+        if not len(wanted):
+            return
         words, first, (anchor, text, start, count, place) = _batch(batch, window, gram)
-        table = pa.table(batch)
-        ids = batch.column(0)
-        cool = _member(anchor, np.unique(keys(table["cool"])))
-        hot = _member(anchor, np.unique(keys(table["hot"])))
-        a, t, s, n, p = (x[cool] for x in (anchor, text, start, count, place))
-        lengths = n + window - 1
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        picked = words[np.arange(ends[-1]) - np.repeat(ends[:-1], lengths) + np.repeat(s, lengths)]
-        blob = pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer((ends * 8).astype(np.int64).tobytes()), pa.py_buffer(picked.tobytes())])
-        names = ["key", "row_id", "start", "n", "place", "words"]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(signed(a)), ids.take(pa.array(t)), pa.array(s - first[:-1][t]), pa.array(n.astype(np.int32)), pa.array((p - s).astype(np.int32)), blob.cast(pa.binary())], names
-        )
-        if hot.any():
-            t, s, n = np.repeat(text[hot], count[hot]), np.repeat(start[hot], count[hot]), count[hot]
-            s = s + np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
-            whole = hash_runs(words, window)[s]
-            none = pa.nulls(len(s), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(whole)), ids.take(pa.array(t)), pa.array(s - first[:-1][t]), pa.array(np.ones(len(s), np.int32)), pa.array(np.zeros(len(s), np.int32)), none], names
-            )
+        ids, names = batch.column(0), ["key", "row_id", "start", "n", "place", "words"]
+        live = _member(anchor, wanted)
+        a, t, s, n, p = (x[live] for x in (anchor, text, start, count, place))
+        if take_cool:
+            lengths = n + window - 1
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            picked = words[np.arange(ends[-1]) - np.repeat(ends[:-1], lengths) + np.repeat(s, lengths)]
+            blob = pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer((ends * 8).astype(np.int64).tobytes()), pa.py_buffer(picked.tobytes())])
+            columns = [pa.array(signed(a)), ids.take(pa.array(t)), pa.array(s - first[:-1][t]), pa.array(n.astype(np.int32)), pa.array((p - s).astype(np.int32)), blob.cast(pa.binary())]
+        else:
+            t, s = np.repeat(t, n), np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            one = np.ones(len(s), np.int32)
+            columns = [pa.array(signed(hash_runs(words, window)[s])), ids.take(pa.array(t)), pa.array(s - first[:-1][t]), pa.array(one), pa.array(one - 1), pa.nulls(len(s), pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names)
 
     return map_texts(docs, work, "key long, row_id long, start long, n int, place int, words binary")
 
@@ -154,9 +150,10 @@ def _trees(rows: DataFrame, window: int) -> DataFrame:
     """Stretches of repeat starts (row_id, start, n) of the cool segments; each partition is one group."""
 
     def run(parts):
-        table = pa.Table.from_batches(list(parts))
-        if not table.num_rows:
+        held = [part for part in parts if len(part)]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         key, row, start, n, place = (table[x].combine_chunks().to_numpy(zero_copy_only=False) for x in ("key", "row_id", "start", "n", "place"))
         words = np.concatenate([np.frombuffer(c.buffers()[2], np.uint8, c_size(c), c_start(c)).view(np.uint64) for c in table["words"].chunks if len(c)])
         segment, offset = deep_leaves(key.view(np.uint64), place, n, words, window)
@@ -194,14 +191,14 @@ def repeated_stretches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     lists = live.groupBy("row_id").agg(
         F.collect_set(F.when(F.col("n") <= hot, F.col("anchor"))).alias("cool"), F.collect_set(F.when(F.col("n") > hot, F.col("anchor"))).alias("hot")
     )
-    rows = _live_segments(docs.join(lists, "row_id").select("row_id", "text", "cool", "hot"), window, gram)
+    # the left join over all rows is the same shuffle of the texts that later puts the result together
+    rows = docs.join(lists, "row_id", "left").select("row_id", "text", "cool", "hot")
+    trees = _trees(_live_segments(rows, window, gram).where("words IS NOT NULL").repartition(groups, "key"), window)
     if not counts.where(F.col("n") > hot).take(1):
-        return _trees(rows.repartition(groups, "key"), window)
-    rows = settle(rows, "segments")
-    long = rows.where("words IS NULL").select("key", "row_id", "start")
+        return trees
+    long = _live_segments(rows, window, gram, cool=False).select("key", "row_id", "start")
     deep = long.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    known = long.join(deep, "key").select("row_id", "start", F.lit(1).cast("long").alias("n"))
-    return _trees(rows.where("words IS NOT NULL").repartition(groups, "key"), window).union(known)
+    return trees.union(long.join(deep, "key").select("row_id", "start", F.lit(1).cast("long").alias("n")))
 
 
 def strip_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -212,10 +209,11 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     equal or null doc_id are texts of their own. Other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    name = "row_id"
     if docs.where("doc_id IS NULL").take(1) or docs.groupBy("doc_id").count().where("count > 1").take(1):
-        docs = settle(docs.withColumn("row_id", F.monotonically_increasing_id()), "rows")
+        docs, name = settle(docs.withColumn("row_id", F.monotonically_increasing_id()), "rows"), "doc_id"
     else:
-        docs = docs.withColumn("row_id", F.col("doc_id"))
+        docs = docs.withColumnRenamed("doc_id", "row_id")
     stretches = repeated_stretches(docs.select("row_id", "text"), window, gram, hot)
     lists = stretches.groupBy("row_id").agg(F.collect_list(F.struct("start", "n")).alias("stretches"))
 
@@ -241,7 +239,7 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
             ["doc_id", "n_words", "n_removed", "kept"],
         )
 
-    joined = docs.join(lists, "row_id", "left").select("doc_id", "text", "stretches")
+    joined = docs.join(lists, "row_id", "left").select(F.col(name).alias("doc_id"), "text", "stretches")
     return map_texts(joined, work, "doc_id long, n_words long, n_removed long, kept string")
 
 
