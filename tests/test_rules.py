@@ -64,11 +64,11 @@ def test_size_parse(spark):
 
 
 def test_size_text(spark):
-    bits = {"0": "0.00b/s", "60": "480.00b/s", "360": "2.88Kb/s", "985391222": "7.88Gb/s", "963750000": "7.71Gb/s",
+    bits = {"0": "0.00b/s", "31": "248.00b/s", "4096": "32.77Kb/s", "70000000": "560.00Mb/s",
             "125": "1.00Kb/s", "124": "992.00b/s", "125000000000000000": "1000.00Pb/s"}
     assert column_values(spark, bits, lambda t: sizes.size_text(t.cast("long"), True)) == list(bits.values())
     # Ties of two decimals go to the even digit.
-    packets = {"6": "6.00p/s", "1120000": "1.12Mp/s", "1986": "1.99Kp/s", "1125": "1.12Kp/s", "1375": "1.38Kp/s",
+    packets = {"31": "31.00p/s", "4096000": "4.10Mp/s", "1125": "1.12Kp/s", "1375": "1.38Kp/s",
                "1005": "1.00Kp/s", "999999": "1000.00Kp/s"}
     assert column_values(spark, packets, lambda t: sizes.size_text(t.cast("long"), False)) == list(packets.values())
 
@@ -82,7 +82,7 @@ def test_compare_parse(spark):
 
 def test_flags_parse(spark):
     # U, A, P, R, S, F are bits 1, 2, 4, 8, 16, 32.
-    cases = {"U:0,S:1,F:0": (16, 49), "S:1,A:0": (16, 18), "S:1,S:0": (0, 16), "S:0,S:1": (16, 16), "R:1": (8, 8),
+    cases = {"P:1,R:0,A:1": (6, 14), "S:1,A:0": (16, 18), "S:1,S:0": (0, 16), "S:0,S:1": (16, 16), "R:1": (8, 8),
              "X:1": None, "S:2": None, "S": None, "": None, "S:1,,A:1": (18, 18)}
     got = column_values(spark, cases, rule_text.flags_parse)
     assert [None if v is None else tuple(v) for v in got] == list(cases.values())
@@ -117,23 +117,16 @@ def test_alarm_text(spark):
     assert got == ["tcp|1.2.3.4", "udp|1.2.3.4|dns"]
 
 
-def test_sample_shaped_file(spark, tmp_path):
-    lines = fixtures.wide_rule_lines()
-    lines = lines[:56] + ["# name servers"] + lines[56:] + ["", "# debugging rules", "nonsense more words", "TCP no option here"]
-    (tmp_path / "edge.rules").write_text("\n".join(lines) + "\n")
-    texts = read_rule_files(spark, str(tmp_path))
-    accepted, rejected = load_rules(texts)
-    counts = {r.rule_type: r["count"] for r in accepted.groupBy("rule_type").count().collect()}
-    assert counts == {"tcp": 56, "udp": 1, "icmp": 2}
-    assert {r.ruleset_id for r in accepted.collect()} == {"edge.rules"}
-    assert sorted((r.line_no, r.reason) for r in rejected.collect()) == [
-        (62, "unknown rule type: nonsense"),
-        (63, "bad option: no"),
-    ]
-    numbers = sorted(r.rule_no for r in accepted.filter("rule_type = 'tcp'").collect())
-    assert numbers == list(range(56))
-    last = accepted.filter("rule_type = 'tcp' AND rule_no = 55").first()
-    assert (last.dst_lo, last.dst_hi, last.bps_th, last.action_type) == (0, 4294967295, 12_500_000, "syslog")
+def test_rule_folder(spark, tmp_path):
+    (tmp_path / "a.rules").write_text("\n".join(["# all kinds", *fixtures.wide_rule_lines()]))
+    (tmp_path / "b.rules").write_text("\nSCTP -d 203.0.113.1 --pps-th 1p\nUDP -d 203.0.113.2 --pps-th 4p\n\nUDP --bogus 3\n")
+    accepted, rejected = load_rules(read_rule_files(spark, str(tmp_path)))
+    counts = {(r.ruleset_id, r.rule_type): r["count"] for r in accepted.groupBy("ruleset_id", "rule_type").count().collect()}
+    assert counts == {("a.rules", "tcp"): 36, ("a.rules", "udp"): 14, ("a.rules", "icmp"): 9, ("b.rules", "udp"): 1}
+    assert sorted((r.ruleset_id, r.reason.split(":")[0]) for r in rejected.collect()) == [("b.rules", "unknown option"), ("b.rules", "unknown rule type")]
+    for kind, count in (("tcp", 36), ("udp", 14), ("icmp", 9)):
+        found = accepted.where((F.col("ruleset_id") == "a.rules") & (F.col("rule_type") == kind)).collect()
+        assert sorted(r.rule_no for r in found) == list(range(count))
 
 
 def test_defaults_and_every_option(spark):
