@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodsight.llm.frames import documents
-from floodsight.llm.text import SPACE, text_bytes
+from floodsight.llm.text import SPACE, SPAN, batches, text_bytes
 from floodsight.session import scratch_path
 
 MAGIC = b"TOKBITS1"
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 18
 END_ID = 2
-CACHED = 400_000
+CACHED = 50_000
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -157,8 +157,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(parts: Iterator[pa.RecordBatch]):
-        from floodsight.llm.text import batches
-
         own, number, shard = encoder(tokenizer), 0, TaskContext.get().partitionId()
         names, ids, sizes, held = [], [], [], 0
 
@@ -172,7 +170,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
         bits = max(own.bits, int(end_id).bit_length())
         for part in parts:
-            for piece in batches(part):
+            for piece in batches(part, most=SPAN):
                 code, at = own.encode(piece.column(1))
                 names.append(piece.column(0))
                 ids.append(np.insert(code, at[1:], end_id))
