@@ -28,7 +28,7 @@ from floodsight.llm.frames import broadcast_checked, documents, map_texts
 from floodsight.llm.text import find_words, hash_runs, hash_spans, inside, mix, signed, text_bytes
 from floodsight.session import settle
 
-SIZE, PERCENT, COMMON = 4, 85, 4
+SIZE, PERCENT, COMMON = 4, 85, 2
 HOT_COUNT, HOT_TOKENS = 4, 500_000
 CROWD = 8
 
@@ -190,11 +190,11 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT,
     groups = prefixes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("g"), F.first("prefix").alias("prefix"))
     # the smaller or equal set of a pair is found by its first `low` shingles
     entries = groups.select(F.posexplode("prefix").alias("pos", "token"), "g", F.col("n_shingles").alias("n"))
-    entries = entries.select("token", "g", "n", (F.col("pos") < low("n")).alias("lower"))
+    entries = entries.select("token", "g", "n", "pos", (F.col("pos") < low("n")).alias("lower"))
     turn = F.when(F.col("lower"), F.struct(F.xxhash64("token", "g").alias("turn"), F.col("g").alias("c"), F.col("n").alias("cn")))
     shared = entries.groupBy("token").agg(F.count("*").alias("k"), F.count(turn).alias("lows"), F.array(F.min(turn), F.max(turn)).alias("stars"))
     shared = shared.where("k > 1 AND lows > 0").select("token", F.when(F.col("lows") >= CROWD, F.col("stars")).alias("stars"))
-    entries = settle(entries.join(shared, "token").select("token", "g", "n", "lower", "stars"), "entries")
+    entries = settle(entries.join(shared, "token").select("token", "g", "n", "pos", "lower", "stars"), "entries")
     repeated = classes.groupBy(*key).agg(F.min("rep").alias("g"), F.count("*").alias("k")).where("k > 1")
     spread = settle(classes.join(repeated, key).select("g", "rep"), "members")  # of the groups with several
 
@@ -220,13 +220,15 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT,
     own = spread.where("g <> rep").select(F.col("g").alias("a"), F.col("rep").alias("b"))
     first = verified(_members(stars, spread).union(own).distinct())
     label = components(first)
-    named = entries.select("token", "g", "n", "lower").join(broadcast_checked(label).withColumnRenamed("node", "g"), "g", "left")
-    named = settle(named.select("token", "g", "n", "lower", F.coalesce("component", "g").alias("comp")), "named")
+    named = entries.select("token", "g", "n", "pos", "lower").join(broadcast_checked(label).withColumnRenamed("node", "g"), "g", "left")
+    named = settle(named.select("token", "g", "n", "pos", "lower", F.coalesce("component", "g").alias("comp")), "named")
     open_tokens = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
     rest = named.join(open_tokens, "token", "left_semi")
-    other = rest.select("token", F.col("g").alias("h"), F.col("n").alias("m"), F.col("comp").alias("comp2"), F.col("lower").alias("also"))
+    other = rest.select("token", F.col("g").alias("h"), F.col("n").alias("m"), F.col("comp").alias("comp2"), F.col("lower").alias("also"), F.col("pos").alias("pos2"))
     smaller = "lower AND comp <> comp2 AND (n < m OR n = m AND g < h AND also)"
-    pairs = likely(rest.where("lower").join(other, "token").where(smaller).select("g", "h", "n", "m"))
+    # of what stands before a shared shingle, the other set lacks at least the difference of the places
+    near = (F.col("m") - F.greatest(F.col("pos2") - F.col("pos"), F.lit(0)) >= both_need) & (F.col("n") - F.greatest(F.col("pos") - F.col("pos2"), F.lit(0)) >= both_need)
+    pairs = likely(rest.where("lower").join(other, "token").where(smaller).where(near & fits).select("g", "h", "n", "m"))
     within = spread.alias("s").join(spread.alias("t"), "g").where("s.rep < t.rep").select(F.col("s.rep").alias("a"), F.col("t.rep").alias("b"))
     more = _members(pairs, spread).union(within).distinct()
     for side in ("a", "b"):
