@@ -30,14 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodsight.llm.frames import documents
-from floodsight.llm.text import SPACE, SPAN, batches, text_bytes
+from floodsight.llm.text import SPACE, batches, text_bytes
 from floodsight.session import scratch_path
 
 MAGIC = b"TOKBITS1"
 BLOCK_TOKENS = 1 << 18
 END_ID = 2
 CACHED = 50_000
-_ENCODERS: dict[str, Encoder] = {}
 
 
 def pack(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -139,13 +138,6 @@ class Encoder:
         return ids, ends[np.searchsorted(cuts, body.at)]
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
     """Write the ids of all texts, `end_id` after each, in ascending doc_id order as a table of blocks at `path`.
 
@@ -157,7 +149,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(parts: Iterator[pa.RecordBatch]):
-        own, number, shard = encoder(tokenizer), 0, TaskContext.get().partitionId()
+        own, number, shard = Encoder(tokenizer), 0, TaskContext.get().partitionId()
         names, ids, sizes, held = [], [], [], 0
 
         def block():
@@ -170,7 +162,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
         bits = max(own.bits, int(end_id).bit_length())
         for part in parts:
-            for piece in batches(part, most=SPAN):
+            for piece in batches(part):
                 code, at = own.encode(piece.column(1))
                 names.append(piece.column(0))
                 ids.append(np.insert(code, at[1:], end_id))

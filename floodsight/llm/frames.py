@@ -18,12 +18,13 @@ def documents(spark, sf_dir: str) -> DataFrame:
 
 
 def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """`work` on slices of a few MB of text. `df` has a column `text`."""
+    """`work` on slices of about a MB of text; the memory they took is given back after each Arrow batch."""
 
     def run(parts):
         for part in parts:
             for piece in batches(part):
                 yield from work(piece)
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

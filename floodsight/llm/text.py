@@ -72,7 +72,7 @@ def text_bytes(texts: pa.Array) -> Bytes:
     return Bytes(data, at - at[0])
 
 
-def batches(batch: pa.RecordBatch, column: str = "text", most: int = 4 * SPAN) -> Iterator[pa.RecordBatch]:
+def batches(batch: pa.RecordBatch, column: str = "text", most: int = SPAN) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of text each, one row at least."""
     at = text_bytes(batch.column(batch.schema.get_field_index(column))).at
     first = 0
