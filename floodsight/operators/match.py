@@ -233,7 +233,7 @@ def _candidates(rules: DataFrame) -> DataFrame:
 
 def index_entries(rules: DataFrame) -> int:
     """Entries the broadcast index would hold."""
-    total = _candidates(rules).agg(F.sum(F.coalesce(F.size("blocks"), F.lit(1)))).first()[0]
+    total = _candidates(rules).agg(F.sum(F.when(F.col("blocks").isNull(), 1).otherwise(F.size("blocks")))).first()[0]
     return total or 0
 
 

@@ -11,10 +11,12 @@ _LOG = _struct(line=StringType, action_type=StringType, action_param=StringType)
 
 
 def write_alarm_log(alarms: DataFrame, path: str, mode: str = "append") -> None:
-    """Append ``trigger alarm: <text>`` per alarm under ``action_type=../action_param=..``."""
-    lines = alarms.select(
-        F.concat(F.lit(PREFIX), F.col("text")).alias("line"), "action_type", "action_param"
-    )
+    """Append ``trigger alarm: <text>`` per alarm under ``action_type=../action_param=..``.
+
+    A line break in a text is written as ``\\n`` or ``\\r``, so an alarm stays one line.
+    """
+    text = F.replace(F.replace(F.col("text"), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    lines = alarms.select(F.concat(F.lit(PREFIX), text).alias("line"), "action_type", "action_param")
     lines.write.partitionBy("action_type", "action_param").mode(mode).text(path)
 
 
