@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from floodsight.llm.frames import documents
+from floodsight.llm.frames import documents, small_arrow_batches
 from floodsight.llm.text import SPACE, batches, text_bytes
 from floodsight.session import scratch_path
 
@@ -144,6 +144,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     Null text: only the end id. Null doc_id: first. Rows with equal doc_id stand together, in the order of a
     fingerprint of their text. Other columns are left out. An empty table gives a table without blocks.
     """
+    small_arrow_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")

@@ -11,18 +11,28 @@ from pyspark.sql import functions as F
 from floodsight.llm.text import batches
 
 BROADCAST_ROWS = 1_000_000
+ARROW_BYTES = 4 << 20
+_ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """`work` on slices of about a MB of text; the memory they took is given back after each Arrow batch."""
+def small_arrow_batches(spark) -> None:
+    """Have Spark send Python at most ARROW_BYTES (or one row) at once: ten thousand texts, the usual batch, can be any size."""
+    now = spark.conf.get(_ARROW_SETTING, None) or ""
+    if not now.isdigit() or not 0 < int(now) <= ARROW_BYTES:
+        spark.conf.set(_ARROW_SETTING, str(ARROW_BYTES))
+
+
+def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, rows: int = 4096) -> DataFrame:
+    """`work` on slices of about a MB of text and `rows` rows at most; the memory they took is given back after each Arrow batch."""
+    small_arrow_batches(df.sparkSession)
 
     def run(parts):
         for part in parts:
-            for piece in batches(part):
+            for piece in batches(part, rows=rows):
                 yield from work(piece)
             pa.default_memory_pool().release_unused()
 

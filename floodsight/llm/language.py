@@ -24,6 +24,7 @@ DIM = 4096
 PER_LANG, CENTROIDS, LANGS = 300, 3, 200
 NEAR = 0.5  # of the lowest cosine among the learned texts of that length
 UNKNOWN = "und"
+ROWS = 256  # texts at once, each with DIM counts
 
 _PLACE = np.full(256, 32, np.uint64)  # all that is no letter counts as a space
 _PLACE[[*range(65, 91), *range(97, 123), *range(128, 256)]] = [*range(65, 91), *range(97, 123), *range(128, 256)]
@@ -122,7 +123,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
         counts = gram_counts(batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in counts.astype(np.float32)], pa.binary())], ["lang", "counts"])
 
-    found = map_texts(rows, work, "lang string, counts binary").toArrow()
+    found = map_texts(rows, work, "lang string, counts binary", ROWS).toArrow()
     sample = sorted(zip(found["lang"].to_pylist(), found["counts"].to_pylist()))
     return fit([(lang, np.frombuffer(row, np.float32)) for lang, row in sample])
 
@@ -156,7 +157,7 @@ def predictions(docs: DataFrame, model: Model) -> DataFrame:
             [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score), pa.array(far)], ["doc_id", "held_out", "lang_pred", "score", "rejected"]
         )
 
-    return map_texts(rows, work, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return map_texts(rows, work, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean", ROWS)
 
 
 def known_language(docs: DataFrame, model: Model) -> DataFrame:
@@ -167,7 +168,7 @@ def known_language(docs: DataFrame, model: Model) -> DataFrame:
     def work(batch):
         yield batch.filter(pa.array(~_predict(batch.column(at), shared.value)[2]))
 
-    return map_texts(docs, work, docs.schema)
+    return map_texts(docs, work, docs.schema, ROWS)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

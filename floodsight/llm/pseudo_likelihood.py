@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floodsight.llm.frames import documents, map_texts
+from floodsight.llm.frames import documents, map_texts, small_arrow_batches
 from floodsight.llm.text import batches, find_words, hash_spans, signed, text_bytes
 from floodsight.session import settle
 
@@ -223,6 +223,7 @@ def scores(docs: DataFrame, words: Vocabulary, net: Net) -> DataFrame:
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
+    small_arrow_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     words = vocabulary(docs)
     return scores(docs, words, train(docs, words))

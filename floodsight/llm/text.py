@@ -72,12 +72,12 @@ def text_bytes(texts: pa.Array) -> Bytes:
     return Bytes(data, at - at[0])
 
 
-def batches(batch: pa.RecordBatch, column: str = "text", most: int = SPAN) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about `most` bytes of text each, one row at least."""
+def batches(batch: pa.RecordBatch, column: str = "text", most: int = SPAN, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `most` bytes of text and at most `rows` rows each, one row at least."""
     at = text_bytes(batch.column(batch.schema.get_field_index(column))).at
     first = 0
     while first < len(at) - 1:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + most, side="right")) - 1)
+        last = max(first + 1, min(first + rows, int(np.searchsorted(at, at[first] + most, side="right")) - 1))
         yield batch.slice(first, last - first)
         first = last
 
