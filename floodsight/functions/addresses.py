@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 # One octet, decimal without leading zeros.
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _CIDR = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?:/(3[0-2]|[12]?[0-9]))?$"
-_PORTS = r"^([0-9]{1,5})(?:-([0-9]{1,5}))?$"
+_PORTS = r"^0*([0-9]{1,5})(?:-0*([0-9]{1,5}))?$"
 
 ALL_ADDRESSES = 4294967295
 MAX_PORT = 65535

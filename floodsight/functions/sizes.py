@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 PREFIXES = ["", "K", "M", "G", "T", "P"]
 MAX_LONG = 2**63 - 1
 
-_COMPARE = r"^([=<>])([0-9]{1,10})$"
+_COMPARE = r"^([=<>])0*([0-9]{1,10})$"
 
 
 def size_parse(text: Column, bits: bool) -> Column:
     """``10Kp`` to packets, or ``100Mb`` (bits) to whole bytes. NULL when wrong or above LONG."""
-    pattern = rf"^([0-9]{{1,18}})([KMGTP]?){'b' if bits else 'p'}$"
+    pattern = rf"^0*([0-9]{{1,18}})([KMGTP]?){'b' if bits else 'p'}$"
     number = F.regexp_extract(text, pattern, 1).try_cast("bigint")
     prefix = F.regexp_extract(text, pattern, 2)
     size = F.when(prefix == "", number)

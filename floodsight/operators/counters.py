@@ -64,11 +64,12 @@ def running_totals(ticks: DataFrame, width: int = SEGMENT_WIDTH) -> DataFrame:
 def tick_profile(counts: DataFrame, keys: tuple[str, ...] = ("rule_id", "tick")) -> DataFrame:
     """Per rule and tick: packets, bytes and the busiest destination, from counts by destination.
 
-    Ties go to the lowest address. Count and address are packed into one LONG (a destination
-    stays far below 2^31 packets a second; more would raise an overflow), which keeps this a hash
-    aggregate with map-side combine.
+    Ties go to the lowest address. Count and address are packed into one LONG, which keeps this a hash
+    aggregate with map-side combine. A destination with 2^31 packets or more at one key fails the job.
     """
-    packed = F.col("packets") * ADDRESSES + (ADDRESSES - 1 - F.col("dst_ip"))
+    beyond = F.raise_error(F.lit("2^31 packets or more to one destination at one key")).cast("bigint")
+    count = F.when(F.col("packets") < 2**31, F.col("packets")).otherwise(beyond)
+    packed = count * ADDRESSES + (ADDRESSES - 1 - F.col("dst_ip"))
     busiest = ADDRESSES - 1 - F.pmod(F.max(packed), F.lit(ADDRESSES))
     return counts.groupBy(*keys).agg(
         F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), busiest.alias("dst_ip")

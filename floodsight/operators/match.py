@@ -4,7 +4,7 @@ Three ways with one answer, by size of the rule table:
 
 * compiled: rules become constants in generated code; row-local, no join, no shuffle;
 * indexed: rules lie in a broadcast index by destination block; row-local, no packet shuffle;
-* joined: for rule tables past the broadcast bound; shuffles by destination block and by packet.
+* joined: for rule tables past the broadcast bound; shuffles by destination, block or salt, and by packet.
 """
 
 from dataclasses import dataclass
@@ -26,13 +26,17 @@ INDEX_ENTRIES = 200_000
 # Addresses per block of the index, and the widest destination range that is put into blocks.
 BLOCK = 256
 WIDEST = 256 * BLOCK
+# Keys per protocol over which the packets are spread that meet the rules without a place.
+SALTS = 64
 
 
 def rule_id_of(rule_type: Column, rule_no: Column) -> Column:
     rank = F.lit(None).cast("int")
     for position, name in enumerate(TYPE_ORDER):
         rank = F.when(rule_type == name, F.lit(position)).otherwise(rank)
-    return (rank * LIST_SIZE + rule_no).cast("int")
+    beyond = F.raise_error(F.concat(F.lit("rule number above the largest of a list: "), rule_no.cast("string")))
+    number = F.when(rule_no >= LIST_SIZE, beyond.cast("int")).otherwise(rule_no)
+    return (rank * LIST_SIZE + number).cast("int")
 
 
 def with_rule_id(rules: DataFrame) -> DataFrame:
@@ -281,31 +285,28 @@ def first_match_indexed(packets: DataFrame, rules: DataFrame, keys: list[str] |
 
 
 def first_match_joined(packets: DataFrame, rules: DataFrame) -> DataFrame:
-    """`first_match` for rule tables of any size; `pkt_id` is unique.
+    """`first_match` for rule tables of any size.
 
-    Rules of one host meet packets by (protocol, destination), other narrow rules by (protocol,
-    destination block), and the few wide ones by protocol. Packets that met a rule are then grouped
-    by `pkt_id`, which no flood can skew. Levels of a checked size are broadcast; joins with larger
-    ones are left to Spark, whose adaptive joins split a flooded destination.
+    Packets are read once and meet rules in one join: those of one host by (protocol, destination),
+    other narrow ones by (protocol, destination block), and the few wide ones by protocol and salt.
+    Packets that met a rule are then grouped by a row number made for this, so `pkt_id` may repeat
+    or be absent, and no flood can skew it. Rules of a checked size are broadcast; the join with more
+    is left to Spark, whose adaptive joins split a flooded destination.
     """
     fields = _candidates(rules).select("proto", "rule_type", "host", "blocks", *_RULE_FIELDS)
     renamed = fields.select(*[F.col(name).alias(f"r_{name}") for name in fields.columns])
     condition = any_type_matches(F.col, lambda name: F.col(f"r_{name}"))
-    same_proto = F.col("proto") == F.col("r_proto")
-    places = [
-        (renamed.filter("r_host IS NOT NULL"), F.col("dst_ip") == F.col("r_host")),
-        (
-            renamed.filter("r_blocks IS NOT NULL").withColumn("r_block", F.explode("r_blocks")),
-            F.shiftright("dst_ip", 8) == F.col("r_block"),
-        ),
-        (renamed.filter("r_host IS NULL AND r_blocks IS NULL"), F.lit(True)),
-    ]
-    met = None
-    for level, here in places:
-        pairs = packets.join(broadcast_if_small(level), same_proto & here & condition)
-        pairs = pairs.select(*packets.columns, "r_rule_id", "r_next_rule")
-        met = pairs if met is None else met.unionByName(pairs)
-    stop = F.min(F.when(~F.col("r_next_rule"), F.col("r_rule_id"))).over(Window.partitionBy("pkt_id"))
+    at = lambda level, place: F.struct(F.lit(level).alias("level"), place.cast("long").alias("place"))
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    where = F.when(F.col("r_host").isNotNull(), F.array(at(0, F.col("r_host"))))
+    where = where.when(F.col("r_blocks").isNotNull(), F.transform("r_blocks", lambda block: at(1, block)))
+    where = where.otherwise(F.transform(salts, lambda salt: at(2, salt)))
+    listed = broadcast_if_small(renamed.withColumn("r_at", F.explode(where)).drop("r_host", "r_blocks"))
+    numbered = packets.withColumn("_row", F.monotonically_increasing_id())
+    block, salt = F.shiftright("dst_ip", 8), F.pmod(F.xxhash64("_row"), F.lit(SALTS))
+    found = numbered.withColumn("_at", F.explode(F.array(at(0, F.col("dst_ip")), at(1, block), at(2, salt))))
+    met = found.join(listed, (F.col("proto") == F.col("r_proto")) & (F.col("_at") == F.col("r_at")) & condition)
+    stop = F.min(F.when(~F.col("r_next_rule"), F.col("r_rule_id"))).over(Window.partitionBy("_row"))
     met = met.withColumn("_stop", stop).filter("_stop IS NULL OR r_rule_id <= _stop")
     return met.select(*packets.columns, F.col("r_rule_id").alias("rule_id"))
 
@@ -315,7 +316,6 @@ def match_packets(packets: DataFrame, rules: DataFrame) -> DataFrame:
     ruleset = collect_rules(rules)
     if ruleset is not None:
         return first_match(packets, ruleset)
-    try:
+    if index_entries(rules) <= INDEX_ENTRIES:
         return first_match_indexed(packets, rules)
-    except ValueError:
-        return first_match_joined(packets, rules)
+    return first_match_joined(packets, rules)

@@ -4,8 +4,6 @@ Packets are read once: they become counts by (rule, tick, destination), these a
 that is stored. All later steps work on that small table.
 """
 
-from datetime import timedelta
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,12 +67,13 @@ def captured_packets(packets: DataFrame, targets: DataFrame, seconds: int = CAPT
     `targets` is a stored table: its time span is looked up and limits the packet scan, and it is
     broadcast if it is small.
     """
-    span = targets.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    micros = F.unix_micros("ts")  # a collected timestamp would pass through the driver's time zone
+    span = targets.agg(F.min(micros).alias("first"), F.max(micros).alias("last")).first()
     if span["first"] is None:
         packets = packets.limit(0)
     else:
-        last = span["last"] + timedelta(seconds=seconds)
-        packets = packets.filter(F.col("ts").between(F.lit(span["first"]), F.lit(last)))
+        first, last = (F.timestamp_micros(F.lit(x)) for x in (span["first"], span["last"] + seconds * 1_000_000))
+        packets = packets.filter(F.col("ts").between(first, last))
     return interval_capture(packets, broadcast_if_small(targets), seconds)
 
 
