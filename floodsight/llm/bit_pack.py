@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from floodsight.llm.frames import documents, small_arrow_batches
+from floodsight.llm.frames import documents, give_back, small_arrow_batches
 from floodsight.llm.text import SPACE, batches, text_bytes
 from floodsight.session import scratch_path
 
@@ -37,6 +37,7 @@ MAGIC = b"TOKBITS1"
 BLOCK_TOKENS = 1 << 18
 END_ID = 2
 CACHED = 50_000
+PIECES = 4096  # encoded at once
 
 
 def pack(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -123,8 +124,10 @@ class Encoder:
         kinds = coded.dictionary.to_pylist()
         found = [self.known.get(x) for x in kinds]
         new = [i for i, x in enumerate(found) if x is None]
-        for i, code in zip(new, self.tokenizer.encode_batch([kinds[i] for i in new], add_special_tokens=False)):
-            found[i] = code.ids
+        for k in range(0, len(new), PIECES):
+            some = new[k : k + PIECES]
+            for i, code in zip(some, self.tokenizer.encode_batch_fast([kinds[i] for i in some], add_special_tokens=False)):
+                found[i] = code.ids
         if len(self.known) + len(new) > CACHED:
             self.known = {}
         self.known.update((kinds[i], found[i]) for i in new if len(kinds[i]) <= 40)
@@ -173,6 +176,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                     yield block()
                     number += 1
                     names, ids, sizes, held = [], [], [], 0
+            give_back()
         if names:
             yield block()
 
@@ -208,6 +212,7 @@ def read_digests(spark, path: str) -> DataFrame:
                     pa.array(crc, pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "shard", "block", "at", "n_tokens", "ids_crc32"])
+            give_back()
 
     schema = "doc_id long, shard long, block long, at long, n_tokens long, ids_crc32 long"
     texts = blocks.select("shard", "block", "doc_ids", "data").mapInArrow(run, schema)

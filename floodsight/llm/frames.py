@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from floodsight.llm.text import batches
 
 BROADCAST_ROWS = 1_000_000
 ARROW_BYTES = 4 << 20
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
 _ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -26,6 +28,13 @@ def small_arrow_batches(spark) -> None:
         spark.conf.set(_ARROW_SETTING, str(ARROW_BYTES))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps its Python workers, each of a size of its own otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, rows: int = 4096) -> DataFrame:
     """`work` on slices of about a MB of text and `rows` rows at most; the memory they took is given back after each Arrow batch."""
     small_arrow_batches(df.sparkSession)
@@ -34,7 +43,7 @@ def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Record
         for part in parts:
             for piece in batches(part, rows=rows):
                 yield from work(piece)
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return df.mapInArrow(run, schema)
 
