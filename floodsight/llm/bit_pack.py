@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,12 @@ from floodsight.session import scratch_path
 MAGIC = b"TOKBITS1"
 BLOCK_TOKENS = 1 << 18
 END_ID = 2
-CACHED = 50_000
+CACHED = 150_000  # pieces remembered; twice as many while old ones are let go
 PIECES = 4096  # encoded at once
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b"!#$%&()*+,./:;=?@[]^{}")] = True
 
 
 def pack(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -91,9 +96,10 @@ class Block:
 class Encoder:
     """Whole texts to ids with the tokenizers library.
 
-    A byte-level pre-tokenizer never joins a character to the white space after it, so a text may be cut
-    before any white space that follows other characters and its pieces encoded by themselves. Equal pieces
-    are encoded once for each slice of texts, and frequent ones are remembered.
+    A byte-level pre-tokenizer never joins a character to the white space after it, nor a letter to the mark
+    after it, so a text may be cut before any white space that follows other characters and between letters
+    and marks, and its pieces encoded by themselves. Equal pieces are encoded once for each slice of texts,
+    and those seen lately are remembered. If an added token would itself be cut, texts are encoded uncut.
     """
 
     def __init__(self, path: str):
@@ -101,38 +107,54 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as uint32
+        self.older: dict[str, bytes] = {}
         self.bits = max(1, max(self.tokenizer.get_vocab(with_added_tokens=True).values()).bit_length())
+        added = text_bytes(pa.array([x.content for x in self.tokenizer.get_added_tokens_decoder().values()], pa.string()))
+        self.whole = bool(self._inner_cuts(added.data, added.at).any())
 
-    def _cuts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _inner_cuts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """True where a text may be cut between its ends `at`."""
         cut = np.zeros(len(data) + 1, bool)
         if len(data) > 2:
+            letter = _LETTER[data]
+            latin = (data[1:] >= 0x80) & (data[:-1] == 0xC3)  # U+00C0 to U+00FF, no white space among them
+            letter[1:] |= latin & (data[1:] != 0x97) & (data[1:] != 0xB7)  # signs of multiplication and division
             plain = (data > 0x20) & (data < 0x7F)
-            plain[1:] |= (data[1:] >= 0x80) & (data[:-1] == 0xC3)  # U+00C0 to U+00FF, no white space among them
-            cut[1:-1] = SPACE[data[1:]] & plain[:-1]
-        cut[at] = True
-        return np.flatnonzero(cut)
+            plain[1:] |= latin
+            cut[1:-1] = SPACE[data[1:]] & plain[:-1] | _MARK[data[1:]] & letter[:-1]
+        cut[at] = False
+        return cut
+
+    def _encoded(self, kinds: list[str]) -> list[bytes]:
+        """uint32 ids of each piece."""
+        found = [self.known.get(x) for x in kinds]
+        missing = [i for i, x in enumerate(found) if x is None]
+        for i in missing:
+            found[i] = self.older.get(kinds[i])
+        new = [i for i in missing if found[i] is None]
+        for k in range(0, len(new), PIECES):
+            some = new[k : k + PIECES]
+            for i, code in zip(some, self.tokenizer.encode_batch_fast([kinds[i] for i in some], add_special_tokens=False)):
+                found[i] = array("I", code.ids).tobytes()
+        self.known.update((kinds[i], found[i]) for i in missing if len(kinds[i]) <= 40)
+        if len(self.known) > CACHED:
+            self.known, self.older = {}, self.known
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the place of each text's first."""
         body = text_bytes(texts)
-        cuts = self._cuts(body.data, body.at)
+        cut = np.zeros(len(body.data) + 1, bool) if self.whole else self._inner_cuts(body.data, body.at)
+        cut[body.at] = True
+        cuts = np.flatnonzero(cut)
         if len(cuts) < 2:
-            return np.zeros(0, np.int64), np.zeros(len(body.at), np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(body.at), np.int64)
         pieces = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(body.data))])
         coded = pc.dictionary_encode(pieces)
-        kinds = coded.dictionary.to_pylist()
-        found = [self.known.get(x) for x in kinds]
-        new = [i for i, x in enumerate(found) if x is None]
-        for k in range(0, len(new), PIECES):
-            some = new[k : k + PIECES]
-            for i, code in zip(some, self.tokenizer.encode_batch_fast([kinds[i] for i in some], add_special_tokens=False)):
-                found[i] = code.ids
-        if len(self.known) + len(new) > CACHED:
-            self.known = {}
-        self.known.update((kinds[i], found[i]) for i in new if len(kinds[i]) <= 40)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for ids in found for x in ids), np.int64, sizes.sum())
+        found = self._encoded(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32)
         which = coded.indices.to_numpy()
         count = sizes[which]
         ends = np.concatenate([[0], np.cumsum(count)])

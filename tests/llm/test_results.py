@@ -1,6 +1,7 @@
 """Every operator against a plain version, an exact round trip or held-out accuracy, on small tables and odd rows."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -149,6 +150,22 @@ def test_tiles_are_longest_first():
     assert decontaminate.tile(t, p, 5) == (7, 1)
 
 
+def test_encoding_of_cut_texts():
+    """Pieces give the ids that whole texts give, while remembered pieces come and go."""
+    own = bit_pack.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    parts = ["a", "Be", "é", "×", "÷", "ß", " ", "  ", "\n", "\u00a0", "'s", "'", ".", ",", "!!", "*", "|", "<|endoftext|>", "<|", "12", "中", "😀", "\u0301", "(", "\r\n"]
+    pick = random.Random(5)
+    kept, bit_pack.CACHED = bit_pack.CACHED, 200
+    try:
+        for _ in range(5):
+            texts = ["".join(pick.choices(parts, k=pick.randint(0, 30))) for _ in range(400)] + [None, ""]
+            ids, at = own.encode(pa.array(texts, pa.string()))
+            for i, code in enumerate(own.tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)):
+                assert ids[at[i] : at[i + 1]].tolist() == code.ids
+    finally:
+        bit_pack.CACHED = kept
+
+
 def test_bit_packing():
     random = np.random.default_rng(1)
     for bits in (1, 7, 16, 17, 31):
