@@ -22,6 +22,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -163,6 +164,12 @@ class Encoder:
         return ids, ends[np.searchsorted(cuts, body.at)]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker, so that what is remembered serves the next task too."""
+    return Encoder(path)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
     """Write the ids of all texts, `end_id` after each, in ascending doc_id order as a table of blocks at `path`.
 
@@ -175,7 +182,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(parts: Iterator[pa.RecordBatch]):
-        own, number, shard = Encoder(tokenizer), 0, TaskContext.get().partitionId()
+        own, number, shard = _encoder(tokenizer), 0, TaskContext.get().partitionId()
         names, ids, sizes, held = [], [], [], 0
 
         def block():
