@@ -45,8 +45,16 @@ def alarm_report(rates: DataFrame, rules: DataFrame, first_tick: int = 0, epoch:
     )
 
 
-def traffic_alarms(packets: DataFrame, rules: DataFrame, first_tick: int = 0, epoch: int = 0) -> DataFrame:
-    """Packets to the alarm report."""
+def traffic_alarms(packets: DataFrame, rules: DataFrame, first_tick: int | None = None, epoch: int = 0) -> DataFrame:
+    """Packets to the alarm report. Without `first_tick`, rules are evaluated from the second tick of the packets on.
+
+    A table with several rulesets raises ValueError: rules are known by list and number, which those would share.
+    """
+    if len(rules.select("ruleset_id").distinct().take(2)) > 1:
+        raise ValueError("give the rules of one ruleset at a time")
+    if first_tick is None:
+        earliest = packets.agg(F.min("tick")).first()[0]
+        first_tick = 0 if earliest is None else earliest + 1
     rates = settle(rule_tick_rates(packets, rules), "rule-ticks")
     return alarm_report(rates, rules, first_tick, epoch)
 

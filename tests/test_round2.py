@@ -1,4 +1,8 @@
+import pytest
+from pyspark.sql import functions as F
+
 from floodsight.operators.match import index_entries
+from floodsight.plans import fixtures, reports
 from floodsight.sinks import alarm_log
 from floodsight.sources.rules import load_rules
 
@@ -18,3 +22,20 @@ def test_index_entries_without_ansi_mode(spark):
         assert index_entries(rules) == 5
     finally:
         spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_rules_are_evaluated_from_the_second_tick_on(spark):
+    rules = fixtures.rules(spark, ["TCP -d 203.0.113.1/32 --pps-th 1p --pps-th-period 3"])
+    start = 1704067200
+    values = {"tick": F.lit(start) + F.col("id") % 10, "proto": F.lit(6), "dst_ip": F.lit(3405803777), "src_ip": F.lit(1), "frame_len": F.lit(60)}
+    types = {f.name: f.dataType for f in fixtures.PACKETS.fields} | {"tick": "bigint"}
+    packets = spark.range(40).select([values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in types.items()])
+    ticks = sorted(r.tick - start for r in reports.traffic_alarms(packets, rules).collect())
+    assert ticks == [1, 5, 9]
+    assert reports.traffic_alarms(packets.limit(0), rules).count() == 0
+
+
+def test_several_rulesets_are_refused(spark):
+    rules = fixtures.rules(spark)
+    with pytest.raises(ValueError):
+        reports.traffic_alarms(None, rules.union(rules.withColumn("ruleset_id", F.lit("other"))))
