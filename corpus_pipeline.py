@@ -23,8 +23,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id. Of rows with one doc_id one stays."""
-    found = ngram_components(docs).where("doc_id = component_id")
+    """One document of each group of near copies (five-word shingles, similarity 0.8): that with the smallest doc_id. Of rows
+    with one doc_id one stays."""
+    found = ngram_components(docs, size=5, percent=80).where("doc_id = component_id")
     kept = settle(found.select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
     out = docs.join(broadcast_checked(kept), docs.doc_id == F.col("kept_id"), "left_semi")
     if docs.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").take(1):

@@ -318,5 +318,14 @@ def test_pipeline(spark, odd, docs, benchmark):
         assert stage(spark, odd.where("false"), SF).count() == 0
 
 
+def test_pipeline_compares_five_words_at_four_fifths(spark):
+    """49 words, one changed: 40 of 50 shingles of five words, but 42 of 50 of four."""
+    words = [f"w{k}" for k in range(49)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:24], "x", *words[25:]]), 3: " ".join([*words[:24], "y", *words[25:39], "z", *words[40:]])}
+    kept = corpus_pipeline.near_duplicate_stage(spark, table(spark, list(texts.items())), SF)
+    assert {r.doc_id for r in kept.collect()} == {1, 3} == {d for d, (_, c) in plain.components(texts, 5, 80).items() if c == d}
+    assert plain.components(texts, 4, 85)[2] == (46, 2)
+
+
 def test_catalogue():
     assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
