@@ -2,13 +2,15 @@
 
 A text becomes a vector of TF-IDF weights of its byte 2-, 3- and 4-grams, hashed into DIM places, with unit
 length. Learning takes at most `per_lang` labelled texts of each language, clusters their vectors into a few
-centroids by cosine, and keeps the lowest cosine that its own texts reach, by length of text. A text gets
-the language of the nearest centroid; it is rejected if even that one is much further away than
-texts of its length are.
+centroids by cosine. Then pieces of 1, 2, 4, ... words of the same texts and the whole texts are held against
+them, which gives each centroid a limit for each length, from a low quantile of the cosines there. A text gets the
+language of the nearest centroid; it is rejected if it is further away than that centroid's limit for its
+length. Length is the number of different n-grams, so one word said a thousand times counts as a short text.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +21,13 @@ from pyspark.sql import functions as F
 
 from floodsight.llm.frames import documents, map_texts
 from floodsight.llm.text import text_bytes
+from floodsight.session import settle
 
 DIM = 4096
 PER_LANG, CENTROIDS, LANGS = 300, 3, 200
-NEAR = 0.5  # of the lowest cosine among the learned texts of that length
+QUANTILE, NEAR = 0.02, 0.8  # the limit is NEAR of this quantile of the learned pieces' cosines
+FEW = 50  # pieces; with fewer, a centroid's limit comes from all of its language, or else from all languages
+LENGTHS = 26  # half powers of two up to DIM
 UNKNOWN = "und"
 ROWS = 256  # texts at once, each with DIM counts
 
@@ -61,18 +66,37 @@ class Model:
     lang_of: np.ndarray  # of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    lowest: np.ndarray  # cosine by length, the power of two of the number of n-grams
+    limit: np.ndarray  # the lowest cosine that isn't rejected, by centroid and length
 
     def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language number, cosine, and whether it is too far away."""
+        best, value = best_of(unit(np.log1p(counts) * self.idf) @ self.centroids.T)
+        return self.lang_of[best], value, value < self.limit[best, length_of(counts)]
+
+    def nearest_own(self, counts: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centroid of the language given by number, and its cosine."""
         cosine = unit(np.log1p(counts) * self.idf) @ self.centroids.T
-        best = cosine.argmax(axis=1)
-        value = np.clip(cosine[np.arange(len(best)), best], 0, 1)
-        return self.lang_of[best], value, value < NEAR * self.lowest[length_of(counts)]
+        return best_of(np.where(self.lang_of[None, :] == lang[:, None], cosine, -1))
+
+
+def best_of(cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    best = cosine.argmax(axis=1)
+    return best, np.clip(cosine[np.arange(len(best)), best], 0, 1)
 
 
 def length_of(counts: np.ndarray) -> np.ndarray:
-    return np.log2(1 + counts.sum(axis=1)).astype(np.int64).clip(0, 63)
+    return (2 * np.log2(1 + np.count_nonzero(counts, axis=1))).astype(np.int64).clip(0, LENGTHS - 1)
+
+
+def pieces(text: str) -> list[str]:
+    """Runs of 1, 2, 4, ... words from places spread over the text, and all of it."""
+    words = text.split()
+    out, size = [text], 1
+    while size < len(words):
+        at = zlib.crc32(f"{size} {len(text)}".encode()) % (len(words) - size + 1)
+        out.append(" ".join(words[at : at + size]))
+        size *= 2
+    return out
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -96,19 +120,25 @@ def fit(sample: list[tuple[str, np.ndarray]]) -> Model:
     sample = [(lang, row) for lang, row in sample if row.any()]
     langs = sorted({lang for lang, _ in sample})
     if not langs:
-        return Model([], np.zeros(0, np.int64), np.zeros((0, DIM), np.float32), np.ones(DIM, np.float32), np.zeros(64, np.float32))
+        return Model([], np.zeros(0, np.int64), np.zeros((0, DIM), np.float32), np.ones(DIM, np.float32), np.zeros((0, LENGTHS), np.float32))
     rows, lang = np.stack([row for _, row in sample]), np.array([langs.index(x) for x, _ in sample])
     idf = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 1).astype(np.float32)
     vectors = unit(np.log1p(rows) * idf)
     parts = [clusters(vectors[lang == k], CENTROIDS) for k in range(len(langs))]
     centroids, lang_of = np.concatenate(parts), np.repeat(np.arange(len(langs)), [len(x) for x in parts])
-    own = np.where(lang_of[None, :] == lang[:, None], vectors @ centroids.T, -1).max(axis=1)
-    lowest, length = np.full(64, np.inf), length_of(rows)
-    np.minimum.at(lowest, length, own)
-    for k in range(62, -1, -1):  # a shorter text is no nearer than a longer one
-        lowest[k] = min(lowest[k], lowest[k + 1])
-    lowest[np.isinf(lowest)] = own.min()
-    return Model(langs, lang_of, centroids.astype(np.float32), idf, lowest.astype(np.float32))
+    return Model(langs, lang_of, centroids.astype(np.float32), idf, np.zeros((len(centroids), LENGTHS), np.float32))
+
+
+def limits(lang_of: np.ndarray, centroid: np.ndarray, length: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    """By centroid and length, from the learned pieces. A length that none has gets the limit of the next shorter one."""
+    out = np.zeros((len(lang_of), LENGTHS), np.float32)
+    for k in range(len(lang_of)):
+        wider = (centroid == k, lang_of[centroid] == lang_of[k], np.ones(len(centroid), bool))
+        for n in range(LENGTHS):
+            found = [cosine[of & (length == n)] for of in wider]
+            enough = [x for x in found if len(x) >= FEW]
+            out[k, n] = NEAR * np.quantile(enough[0], QUANTILE) if enough else out[k, n - 1] if n else 0
+    return out
 
 
 def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
@@ -118,6 +148,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     picked = labelled.select("doc_id", "lang").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= per_lang)
     picked = picked.orderBy("turn", "lang").limit(per_lang * LANGS).select("doc_id", "lang")
     rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    rows = settle(rows, "learned")
 
     def work(batch):
         counts = gram_counts(batch.column(1))
@@ -125,7 +156,28 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
 
     found = map_texts(rows, work, "lang string, counts binary", ROWS).toArrow()
     sample = sorted(zip(found["lang"].to_pylist(), found["counts"].to_pylist()))
-    return fit([(lang, np.frombuffer(row, np.float32)) for lang, row in sample])
+    model = fit([(lang, np.frombuffer(row, np.float32)) for lang, row in sample])
+    if model.langs:
+        model.limit = limits(model.lang_of, *own_cosines(rows, model))
+    return model
+
+
+def own_cosines(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centroid, length and cosine of the pieces of `rows(lang, text)`."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def work(batch):
+        known = shared.value
+        for lang, text in zip(*(x.to_pylist() for x in batch.columns)):
+            if lang not in known.langs:
+                continue
+            counts = gram_counts(pa.array(pieces(text)))
+            counts = counts[counts.any(axis=1)]
+            best, value = known.nearest_own(counts, np.full(len(counts), known.langs.index(lang)))
+            yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(length_of(counts)), pa.array(value.astype(np.float64))], ["centroid", "length", "cosine"])
+
+    found = map_texts(rows, work, "centroid long, length long, cosine double", ROWS).toArrow()
+    return tuple(found[name].to_numpy() for name in ("centroid", "length", "cosine"))
 
 
 def held_out(doc_id):

@@ -213,6 +213,21 @@ def test_language(spark, docs, odd, nothing):
     assert {r.lang_pred for r in language.predictions(odd, unlearned).collect()} == {"und"} and language.predictions(nothing, model).count() == 0
 
 
+def test_language_rejects_what_is_far(spark):
+    """Foreign letters and gibberish go at any length; short pieces of held-out texts stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, pick = language.learn(docs), random.Random(3)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", *("".join(map(chr, range(a, b))) for a, b in ((0x430, 0x450), (0x3B1, 0x3CA), (0x4E00, 0x5E00)))]
+    word = lambda letters: "".join(pick.choices(letters, k=pick.randint(2, 9)))
+    foreign = [" ".join(word(x) for _ in range(n)) for n in (10, 30, 100, 300, 1000, 5000) for x in alphabets for _ in range(3)]
+    held = docs.where(language.held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("text").collect()
+    short = [" ".join(r.text.split()[:n]) for r in held for n in (1, 2, 3, 5, 10)]
+    ids = {r.doc_id: r.rejected for r in language.predictions(table(spark, list(enumerate(foreign + short))), model).collect()}
+    assert all(ids[k] for k in range(len(foreign)))
+    assert np.mean([ids[k] for k in range(len(foreign), len(ids))]) <= 0.02
+    assert language.known_language(table(spark, list(enumerate(foreign))), model).count() == 0
+
+
 def test_line_quality(spark, docs, odd, nothing):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = line_crf.learn(docs, labels)
