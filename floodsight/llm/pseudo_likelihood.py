@@ -3,7 +3,11 @@
 A network in numpy predicts each word from the SIDE words before and after it, the word itself being hidden: one embedding
 table for each place of the window, a hidden layer, and a softmax over symbols. A text's score is the sum of the log
 probabilities of all its words. Symbols are the `TOP` most frequent words of the corpus, counted over all texts, and
-TAIL buckets for the others by their fingerprint, so every word is predicted.
+TAIL buckets for the others by their fingerprint. A word of a bucket has the bucket's probability times its own share of the
+bucket's words, from the counts of all words of the corpus: n / (N + 1), and 1 / (N + 1) for a word that wasn't counted.
+
+The table of shares grows with the corpus. Words counted twice or more go to the tasks as arrays, the most frequent ones up to
+HELD_WORDS; what is left of them is joined by fingerprint. Any other word was counted once or not at all, which is the same share.
 
 Training reads all texts: each task trains its own copy of the starting weights on its texts, every STRIDE-th word being a
 target and the words around it its context; the copies are averaged, weighted by their targets, first on the executors and
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floodsight.llm.frames import documents, map_texts, small_arrow_batches
+from floodsight.llm.frames import BROADCAST_ROWS, documents, map_texts, small_arrow_batches
 from floodsight.llm.text import batches, find_words, hash_spans, signed, text_bytes
 from floodsight.session import settle
 
@@ -29,6 +33,7 @@ BATCH, RATE = 1024, 0.05
 CHUNK = 1 << 11
 LARGEST = 2.5
 HELD = 2_000_000
+HELD_WORDS = BROADCAST_ROWS
 
 
 @dataclass
@@ -38,9 +43,8 @@ class Vocabulary:
     counts: np.ndarray  # of each symbol over the corpus
 
     def symbols(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        body = text_bytes(texts)
-        found = find_words(body)
-        return self.of(hash_spans(body.data, found.start, found.end)), found.first
+        hashes, first = fingerprints(texts)
+        return self.of(hashes), first
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         out = TOP + (hashes % np.uint64(TAIL)).astype(np.int64)
@@ -52,8 +56,34 @@ class Vocabulary:
         return out
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    """The most frequent words of all texts, and how often each symbol occurs."""
+@dataclass
+class Shares:
+    """Of each word in its bucket, as logarithms."""
+
+    words: np.ndarray  # fingerprints in ascending order, of the held words
+    counts: np.ndarray
+    base: np.ndarray  # log(N + 1) of each bucket
+    rest: DataFrame | None  # (word, n) of the words counted twice or more that aren't held
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log share of each word by the held ones, others counting as seen once; and which aren't held."""
+        n, other = np.ones(len(hashes)), np.ones(len(hashes), bool)
+        if len(self.words):
+            at = np.searchsorted(self.words, hashes)
+            at[at == len(self.words)] = 0
+            other = self.words[at] != hashes
+            n = np.where(other, 1, self.counts[at])
+        return np.log(n) - self.base[(hashes % np.uint64(TAIL)).astype(np.int64)], other
+
+
+def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    body = text_bytes(texts)
+    found = find_words(body)
+    return hash_spans(body.data, found.start, found.end), found.first
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each word of all texts occurs."""
 
     def run(parts):
         held, size = [], 0
@@ -78,7 +108,12 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
             words, n = counted()
             yield pa.RecordBatch.from_arrays([pa.array(signed(words)), pa.array(n)], ["word", "n"])
 
-    counts = settle(docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    return settle(docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
+    """The most frequent words of all texts, and how often each symbol occurs."""
+    counts = word_counts(docs) if counts is None else counts
     top = counts.orderBy(F.desc("n"), "word").limit(TOP).toPandas()
     words = top.word.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
@@ -88,6 +123,25 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return Vocabulary(words[order], order, tally)
 
 
+def shares(counts: DataFrame, words: Vocabulary, most: int = HELD_WORDS) -> Shares:
+    """The shares of the words that aren't among the most frequent ones of `words`."""
+    bucket, total = F.pmod("word", F.lit(TAIL)), np.zeros(TAIL)
+    for row in counts.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        total[row.bucket] = row.n
+    np.subtract.at(total, (words.words % np.uint64(TAIL)).astype(np.int64), words.counts[words.symbol])
+    again, least, size = counts.where("n > 1"), 2, 0
+    steps = again.groupBy("n").agg(F.count("*").alias("k")).toPandas().sort_values("n", ascending=False)
+    for n, k in zip(steps.n.tolist(), steps.k.tolist()):
+        size += k
+        if size > most:
+            least = n + 1
+            break
+    held = again.where(F.col("n") >= least).toArrow()
+    hashes = held["word"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return Shares(hashes[order], held["n"].to_numpy()[order], np.log(total + 1), again.where(F.col("n") < least) if size > most else None)
+
+
 class Net:
     """place: [2 SIDE, SYMBOLS + 1, HIDDEN], the last symbol standing for what is beyond the text."""
 
@@ -198,35 +252,54 @@ def train(docs: DataFrame, words: Vocabulary) -> Net:
     return Net(words.counts).load(total / n) if n else Net(words.counts)
 
 
-def scores(docs: DataFrame, words: Vocabulary, net: Net) -> DataFrame:
+def scores(docs: DataFrame, words: Vocabulary, net: Net, within: Shares | None = None) -> DataFrame:
     """(doc_id, n_tokens, log_prob, mean_log_prob) for each row of `docs(doc_id, text, ...)`.
 
     Words are runs of characters other than space and 0x09-0x0D. Null, empty and blank texts have 0 tokens, a log_prob of 0 and
-    a null mean. Repeated rows come back as often; null doc_ids stay null; other columns are ignored.
+    a null mean. Repeated rows come back as often; null doc_ids stay null; other columns are ignored. Without `within` the
+    log probabilities are those of the symbols alone.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((words, net))
+    joined = within is not None and within.rest is not None
+    held = within and Shares(within.words, within.counts, within.base, None)
+    shared = docs.sparkSession.sparkContext.broadcast((words, net, held))
 
     def work(batch):
-        known, model = shared.value
-        symbols, first = known.symbols(batch.column(1))
+        known, model, share = shared.value
+        hashes, first = fingerprints(batch.column(1))
+        symbols = known.of(hashes)
         each = np.empty(len(symbols))
         for a in range(0, len(symbols), CHUNK):
             target = np.arange(a, min(a + CHUNK, len(symbols)))
             each[target] = model.log_probability(contexts(symbols, first, target), symbols[target])
+        other = np.zeros(len(symbols), bool)
+        if share:
+            tail = np.flatnonzero(symbols >= TOP)
+            own, other[tail] = share.of(hashes[tail])
+            each[tail] += own
         sums = np.concatenate([[0.0], np.cumsum(each)])
         total, n = sums[first[1:]] - sums[first[:-1]], np.diff(first)
-        mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+        columns = [batch.column(0), pa.array(n), pa.array(total)]
+        if joined:
+            at = np.concatenate([[0], np.cumsum(other)])[first].astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(signed(hashes[other]))))
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "log_prob", "rare"][: len(columns)])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return map_texts(rows, work, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    out = map_texts(rows, work, "doc_id long, n_tokens long, log_prob double" + ", rare array<long>" * joined)
+    if joined:
+        out = settle(out.withColumn("row", F.monotonically_increasing_id()), "scored")
+        found = out.select("row", F.explode("rare").alias("word")).join(within.rest, "word")
+        found = found.groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+        out = out.join(found, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
     small_arrow_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    words = vocabulary(docs)
-    return scores(docs, words, train(docs, words))
+    counts = word_counts(docs)
+    words = vocabulary(docs, counts)
+    return scores(docs, words, train(docs, words), shares(counts, words))
 
 
 def op6_pseudo_likelihood(spark, sf_dir: str) -> DataFrame:

@@ -278,6 +278,34 @@ def test_pseudo_likelihood(spark, docs, odd, nothing):
     assert pseudo_likelihood.score_texts(nothing).count() == 0
 
 
+def test_words_of_one_bucket_score_by_their_counts(spark, docs):
+    """A word's log probability is its bucket's and that of the word inside it, held by the tasks or joined."""
+    counts = pseudo_likelihood.word_counts(docs)
+    words = pseudo_likelihood.vocabulary(docs, counts)
+    net = pseudo_likelihood.Net(words.counts)
+    seen = {np.uint64(r.word % 2**64): r.n for r in counts.collect()}
+    tail = [h for h in seen if h not in set(words.words)]
+    total = np.zeros(pseudo_likelihood.TAIL)
+    for h in tail:
+        total[int(h) % pseudo_likelihood.TAIL] += seen[h]
+    texts = [*(r.text for r in docs.limit(50).collect()), "neverseen1 neverseen2", None]
+    table_ = table(spark, list(enumerate(texts)))
+    plain_ = {r.doc_id: r.log_prob for r in pseudo_likelihood.scores(table_, words, net).collect()}
+    assert max(seen[h] for h in tail) > min(seen[h] for h in tail) == 1
+    for most in (10**6, 50, 0):
+        within = pseudo_likelihood.shares(counts, words, most)
+        assert (within.rest is None) == (most == 10**6) and len(within.words) <= most
+        got = {r.doc_id: r for r in pseudo_likelihood.scores(table_, words, net, within).collect()}
+        for k, text in enumerate(texts):
+            hashes = [h for h in pseudo_likelihood.fingerprints(pa.array([text], pa.string()))[0] if h not in set(words.words)]
+            more = sum(np.log(seen.get(h, 1) / (total[int(h) % pseudo_likelihood.TAIL] + 1)) for h in hashes)
+            assert got[k].log_prob == pytest.approx(plain_[k] + more, rel=1e-6)
+    text = "alpha alpha alpha " + " ".join(f"w{k} w{k} w{k} w{k}" for k in range(192))
+    own = table(spark, [(k, text) for k in range(20)] + [(20, "alpha"), (21, "neverseen")])
+    got = {r.doc_id: r.log_prob for r in pseudo_likelihood.score_texts(own).collect()}
+    assert got[20] > got[21]
+
+
 def test_mixing(spark, odd, nothing):
     got = mixing.mix(odd, F.expr("all_tokens div 2"), epochs=1)
     rows = got.select("doc.*", "n_tokens", "taken").collect()
