@@ -9,8 +9,8 @@ bucket's words, from the counts of all words of the corpus: n / (N + 1), and 1 /
 The table of shares grows with the corpus. Words counted twice or more go to the tasks as arrays, the most frequent ones up to
 HELD_WORDS; what is left of them is joined by fingerprint. Any other word was counted once or not at all, which is the same share.
 
-Training reads all texts: each task trains its own copy of the starting weights on its texts, every STRIDE-th word being a
-target and the words around it its context; the copies are averaged, weighted by their targets, first on the executors and
+Training reads all texts: each task trains its own copy of the starting weights on its texts, every word being a target and
+the words around it its context; the copies are averaged, weighted by their targets, first on the executors and
 then over one row for each shuffle partition. Weights have a fixed size, whatever the corpus.
 """
 
@@ -27,7 +27,7 @@ from floodsight.llm.frames import BROADCAST_ROWS, documents, map_texts, small_ar
 from floodsight.llm.text import batches, find_words, hash_spans, signed, text_bytes
 from floodsight.session import settle
 
-TOP, TAIL, SIDE, HIDDEN, STRIDE = 192, 64, 3, 24, 8
+TOP, TAIL, SIDE, HIDDEN = 192, 64, 3, 24
 SYMBOLS = TOP + TAIL
 BATCH, RATE = 1024, 0.05
 CHUNK = 1 << 11
@@ -193,9 +193,10 @@ class Net:
         inner = (logits @ out.T) * (1 - hidden**2)
         slope = np.zeros_like(place)
         for k in range(2 * SIDE):
-            order = np.argsort(context[k], kind="stable")
-            symbols, at = np.unique(context[k][order], return_index=True)
-            slope[k][symbols] = np.add.reduceat(inner[order], at, axis=0)
+            order = np.argsort(context[k].astype(np.int16), kind="stable")  # by radix
+            ordered = context[k][order]
+            at = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+            slope[k][ordered[at]] = np.add.reduceat(inner[order], at, axis=0)
         for value, step, sums in zip(self.parts, (slope, inner.sum(axis=0), hidden.T @ logits, logits.sum(axis=0)), seen):
             sums += step**2
             value -= RATE * step / np.sqrt(sums)
@@ -225,11 +226,10 @@ def train(docs: DataFrame, words: Vocabulary) -> Net:
         for part in parts:
             for piece in batches(part):
                 symbols, first = shared.value.symbols(piece.column(0))
-                picked = np.arange(len(symbols))[(np.arange(len(symbols)) - np.repeat(first[:-1], np.diff(first))) % STRIDE == STRIDE // 2]
-                for a in range(0, len(picked), BATCH):
-                    target = picked[a : a + BATCH]
+                for a in range(0, len(symbols), BATCH):
+                    target = np.arange(a, min(a + BATCH, len(symbols)))
                     net.learn(contexts(symbols, first, target), symbols[target], seen)
-                targets += len(picked)
+                targets += len(symbols)
         if targets:
             yield pa.RecordBatch.from_arrays([pa.array([targets], pa.int64()), pa.array([net.bytes()], pa.binary())], ["n", "weights"])
 

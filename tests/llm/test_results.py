@@ -278,6 +278,24 @@ def test_pseudo_likelihood(spark, docs, odd, nothing):
     assert pseudo_likelihood.score_texts(nothing).count() == 0
 
 
+def test_every_word_is_a_target(spark):
+    """Texts shorter than five words are learned too, and all places of longer ones."""
+    texts = ["a", "b c", "d e f g", " ".join(f"w{k % 11}" for k in range(3000)), "", None]
+    own = table(spark, list(enumerate(texts)))
+    words = pseudo_likelihood.vocabulary(own)
+    start = pseudo_likelihood.Net(words.counts)
+    short = own.where("doc_id < 3")
+    net = pseudo_likelihood.train(short, words)
+    assert any((x != y).any() for x, y in zip(net.parts, start.parts))
+    flat = np.concatenate([words.symbols(pa.array([t]))[0] for t in texts[:3]])
+    assert all(net.parts[3][x] > start.parts[3][x] for x in set(flat.tolist()))
+    # in step with 8 words: a net that learns one phase only gets worse at the others
+    cycle = table(spark, [(k, " ".join(f"c{j % 8}" for j in range(400))) for k in range(40)])
+    words = pseudo_likelihood.vocabulary(cycle)
+    before, after = (pseudo_likelihood.scores(cycle, words, x).collect() for x in (pseudo_likelihood.Net(words.counts), pseudo_likelihood.train(cycle, words)))
+    assert min(r.mean_log_prob for r in after) > max(r.mean_log_prob for r in before)
+
+
 def test_words_of_one_bucket_score_by_their_counts(spark, docs):
     """A word's log probability is its bucket's and that of the word inside it, held by the tasks or joined."""
     counts = pseudo_likelihood.word_counts(docs)
