@@ -3,7 +3,8 @@
 A turn is formatted as `<|role|>\\n`, its text, `<|end|>\\n`; a conversation is its turns in order. Every assistant turn is
 an example of its own: all turns before it are its context, and only its text is trained on. All examples of a
 conversation are prefixes of the same formatted text, so they are kept as spans over it: expanding a conversation of n
-turns costs n rows, not n^2 texts. `example_texts` writes the examples out where the whole texts are wanted.
+turns costs n rows, not n^2 texts. `op8_chat_format` stores the turns and the examples and reads the replies back by the
+examples' spans. `example_texts` writes the examples out where the whole texts are wanted, long ones in pieces.
 
 Control strings inside texts and roles are escaped: `~` becomes `~0`, and the first character of `<|`, `<s>`, `</s>`
 (`~1`) and of `[INST]`, `[/INST]` (`~2`) is replaced, in roles also every `|` (`~3`), so nothing in a text can be read
@@ -97,28 +98,40 @@ def examples(segments: DataFrame) -> DataFrame:
 
 
 def example_texts(segments: DataFrame, most: int) -> DataFrame:
-    """(conv_id, position, text, loss_start, loss_end), written out for the examples of up to `most` code points in all.
+    """(conv_id, position, text, loss_start, loss_end, piece): the examples written out, each in ordered pieces of `most` code
+    points, the last one shorter. loss_start and loss_end are places in the whole example.
 
-    This is quadratic in the length of a conversation; the bound keeps a row within memory. Longer ones stay spans.
+    This is quadratic in the length of a conversation; the bound keeps a row within memory.
     """
-    short = examples(segments).where(F.col("loss_end") <= most)
-    parts = segments.select("conv_id", F.col("position").alias("p"), "formatted")
-    both = short.join(parts, "conv_id").where("p <= position")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "formatted"))), lambda x: x["formatted"]), "")
-    return both.groupBy("conv_id", "position", "loss_start", "loss_end").agg(text.alias("text")).select("conv_id", "position", "text", "loss_start", "loss_end")
-
-
-def read_back(segments: DataFrame) -> DataFrame:
-    """Digests of each conversation from its formatted turns and their loss spans alone.
+    own = examples(segments).select(F.col("conv_id").alias("conv"), F.col("position").alias("at"), F.col("loss_start").alias("a"), F.col("loss_end").alias("b"))
+    parts = segments.select("conv_id", F.col("position").alias("p"), "formatted", "start")
+    last = F.floor((F.col("start") + F.length("formatted") - 1) / most)
+    parts = parts.withColumn("piece", F.explode(F.sequence(F.floor(F.col("start") / most), last)))
+    begin = F.greatest(F.col("piece") * most - F.col("start"), F.lit(0))
+    size = (F.col("piece") + 1) * most - F.col("start") - begin
+    parts = parts.select("conv_id", "p", "piece", F.col("formatted").substr((begin + 1).cast("int"), size.cast("int")).alias("part"))
+    both = own.join(parts, F.col("conv").eqNullSafe(F.col("conv_id")) & (F.col("p") <= F.col("at")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "part"))), lambda x: x["part"]), "")
+    rows = both.groupBy("conv_id", F.col("at").alias("position"), F.col("a").alias("loss_start"), F.col("b").alias("loss_end"), "piece").agg(text.alias("text"))
+    return rows.select("conv_id", "position", "text", "loss_start", "loss_end", "piece")
+
+
+def read_back(segments: DataFrame, made: DataFrame | None = None) -> DataFrame:
+    """Digests of each conversation from its formatted turns and the rows of its examples alone; `made` are those of
+    `examples`. An example's reply is what its loss span holds, and its context span must hold the turns before it.
 
     (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples)
     """
-    rows = segments.repartition("conv_id").sortWithinPartitions("conv_id", "position")
+    made = examples(segments) if made is None else made
+    none = F.lit(None)
+    turns = segments.select("conv_id", "position", F.lit(0).alias("kind"), "formatted", *(none.cast("long").alias(x) for x in ("n_context", "context_end", "loss_start", "loss_end")))
+    spans = made.select("conv_id", "position", F.lit(1).alias("kind"), none.cast("string").alias("formatted"), "n_context", "context_end", "loss_start", "loss_end")
+    rows = turns.union(spans).repartition("conv_id").sortWithinPartitions("conv_id", "position", "kind")
 
     def run(parts: Iterator[pa.RecordBatch]):
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"]
         kinds = {"turns_sha256": pa.string(), "loss_sha256": pa.string()}
-        current, state = None, None
+        current, state, turn = None, None, ""
 
         def row():
             n, turns, chars, loss, length, shown = state
@@ -126,26 +139,30 @@ def read_back(segments: DataFrame) -> DataFrame:
 
         for part in parts:
             done = []
-            for conv, formatted, start, a, b in zip(*(part.column(k).to_pylist() for k in range(5))):
+            for conv, formatted, before, start, a, b in zip(*(part.column(k).to_pylist() for k in range(6))):
                 if state is None or conv != current:
                     if state is not None:
                         done.append(row())
                     current, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                role, text = parse_turn(formatted)
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                state[4] += len(formatted)
-                if a is not None:
-                    trained = unescape(formatted[a - start : b - start])
-                    state[2] += len(trained)
-                    state[3].update(trained.encode())
-                    state[5] += 1
+                if formatted is not None:
+                    turn = formatted
+                    role, text = parse_turn(turn)
+                    state[0] += 1
+                    state[1].update(f"{role}\n{text}\n".encode())
+                    state[4] += len(turn)
+                    continue
+                if (before, start) != (state[0] - 1, state[4] - len(turn)) or not start <= a <= b <= state[4]:
+                    raise ValueError("an example's spans don't fit its conversation")
+                trained = unescape(turn[a - start : b - start])
+                state[2] += len(trained)
+                state[3].update(trained.encode())
+                state[5] += 1
             if done:
                 yield _batch(done, names, kinds)
         if state is not None:
             yield _batch([row()], names, kinds)
 
-    columns = rows.select("conv_id", "formatted", "start", "loss_start", "loss_end")
+    columns = rows.select("conv_id", "formatted", "n_context", "context_end", "loss_start", "loss_end")
     return columns.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
 
 
@@ -155,7 +172,8 @@ def op8_chat_format(spark, sf_dir: str) -> DataFrame:
     more = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text")
     )
-    return read_back(settle(format_conversations(turns.union(more)), "chat"))
+    segments = settle(format_conversations(turns.union(more)), "chat")
+    return read_back(segments, settle(examples(segments), "chat-examples"))
 
 
 _ESCAPED = "regexp_replace(replace({0}, '~', '~0'), '<\\||<s>|</s>|\\[INST\\]|\\[/INST\\]', '~\\0', 'g')"

@@ -362,6 +362,24 @@ def test_chat(spark):
     assert chat.read_back(chat.format_conversations(turns.where("false"))).count() == 0
 
 
+def test_chat_examples_are_read_back(spark):
+    """Replies come from the examples' rows, and examples of any length are written out in pieces."""
+    turns = spark.createDataFrame([(c, k, "assistant" if k % 2 else "user", f"é{k} " * (5 + k)) for c in (None, 1) for k in range(6)], "conv_id long, turn long, role string, text string")
+    segments = chat.format_conversations(turns)
+    made = chat.examples(segments)
+    some = {r.conv_id: r for r in chat.read_back(segments, made.where("position < 4")).collect()}
+    assert [some[c].n_examples for c in (None, 1)] == [2, 2] and some[1].loss_chars == len("é1 " * 6 + "é3 " * 8)
+    with pytest.raises(Exception, match="spans don't fit"):
+        chat.read_back(segments, made.withColumn("context_end", F.col("context_end") - 1)).collect()
+    pieces = {}
+    for r in chat.example_texts(segments, 50).collect():
+        assert len(r.text) <= 50
+        pieces.setdefault((r.conv_id, r.position), []).append((r.piece, r.text))
+    whole = {(r.conv_id, r.position): r.text for r in chat.example_texts(segments, 10_000).collect()}
+    assert len(whole) == 6 and {k: "".join(t for _, t in sorted(v)) for k, v in pieces.items()} == whole
+    assert all([n for n, _ in sorted(v)] == list(range(len(v))) for v in pieces.values()) and len(pieces[None, 5]) > 3
+
+
 def test_pipeline(spark, odd, docs, benchmark):
     base, kept = docs, []
     for _, stage in corpus_pipeline.STAGES[:-1]:
