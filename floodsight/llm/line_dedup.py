@@ -23,7 +23,7 @@ from floodsight.llm.frames import BROADCAST_ROWS, documents, map_texts
 from floodsight.llm.text import _STEP, find_words, hash_spans, mix, signed, text_bytes
 from floodsight.session import settle
 
-LEAST = 8
+LEAST = 3
 _UP = np.multiply.accumulate(np.r_[np.uint64(1), np.full(1 << 12, _STEP, np.uint64)])
 _DOWN = np.uint64(pow(_STEP, -1, 1 << 64))
 

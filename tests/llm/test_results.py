@@ -127,6 +127,15 @@ def test_line_dedup(spark, docs, nothing):
     assert line_dedup.repeated_lines(nothing).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Headers of three to seven words with one word changed, added or left out."""
+    texts = {1: "Page 1 of 9\nall rights reserved", 2: "Page 2 of 9\nall rights kept", 3: "Page 3 of 9\nall rights reserved here", 4: "Anat with by reen of nteres are.", 5: "Anat with by|reen of nteres are."}
+    texts |= {6: "Anat with by reen of atre are.", 7: "two words\nno, more words\nnone", 8: "two swords\nmore words\nsome"}
+    got = {(r.doc_id, r.line_no): (r.kept_doc_id, r.kept_line_no) for r in line_dedup.repeated_lines(table(spark, list(texts.items()))).collect()}
+    assert got == plain.near_lines(texts, 3, line_dedup.within_one)
+    assert got[2, 0] == got[3, 0] == (1, 0) and got[2, 1] == got[3, 1] == (1, 1) and got[6, 0] == (4, 0)
+
+
 def test_decontamination(spark, docs, benchmark, odd, nothing):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, "")], "item_id long, text string")
