@@ -11,6 +11,7 @@ from floodsight.llm.ngram_join import op9_ngram_jaccard
 from floodsight.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from floodsight.llm.pseudo_likelihood import op6_pseudo_likelihood
 from floodsight.llm.repeats import op5_repeated_passages
+from floodsight.llm.slots import OP12_SQL, op12_sharding
 
 QUERIES = {
     f.__name__: f
@@ -26,6 +27,7 @@ QUERIES = {
         op9_ngram_jaccard,
         op10_line_dedup,
         op11_prefix_trie,
+        op12_sharding,
     )
 }
-SQL = {"op7_mixing": OP7_SQL, "op8_chat_format": OP8_SQL, "op11_prefix_trie": OP11_SQL}
+SQL = {"op7_mixing": OP7_SQL, "op8_chat_format": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_sharding": OP12_SQL}
