@@ -8,6 +8,7 @@ from floodsight.llm.line_crf import op4_line_quality
 from floodsight.llm.line_dedup import op10_line_dedup
 from floodsight.llm.mixing import OP7_SQL, op7_mixing
 from floodsight.llm.ngram_join import op9_ngram_jaccard
+from floodsight.llm.permuterm import OP13_SQL, op13_spelling_variants
 from floodsight.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from floodsight.llm.pseudo_likelihood import op6_pseudo_likelihood
 from floodsight.llm.repeats import op5_repeated_passages
@@ -28,6 +29,13 @@ QUERIES = {
         op10_line_dedup,
         op11_prefix_trie,
         op12_sharding,
+        op13_spelling_variants,
     )
 }
-SQL = {"op7_mixing": OP7_SQL, "op8_chat_format": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_sharding": OP12_SQL}
+SQL = {
+    "op7_mixing": OP7_SQL,
+    "op8_chat_format": OP8_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_sharding": OP12_SQL,
+    "op13_spelling_variants": OP13_SQL,
+}
