@@ -23,6 +23,10 @@ TESTS = {
 }
 
 
+# Ending of the column that says whether a test is on.
+FIRST_COLUMN = {"range": "_lo", "compare": "_op", "flags": "_mask"}
+
+
 def in_range(value: Column, lo: Column, hi: Column) -> Column:
     """Closed range. Zero is never inside an enabled range."""
     return lo.isNull() | ((value != 0) & value.between(lo, hi))
@@ -41,13 +45,16 @@ def flags_match(value: Column, bits: Column, mask: Column) -> Column:
     return mask.isNull() | (value.bitwiseAND(mask) == bits)
 
 
-def rule_columns_match(rule_type: str, packet, rule) -> Column:
+def rule_columns_match(rule_type: str, packet, rule, used: set[str] | None = None) -> Column:
     """All tests of one list, with the rule given as columns.
 
-    `packet` and `rule` map a column name to a Column, e.g. ``lambda name: df[name]``.
+    `packet` and `rule` map a column name to a Column, e.g. ``lambda name: df[name]``. With `used` only the tests
+    whose first column it names are made.
     """
     result = packet("proto") == PROTO[rule_type]
     for kind, field, prefix in TESTS[rule_type]:
+        if used is not None and f"{prefix}{FIRST_COLUMN[kind]}" not in used:
+            continue
         value = packet(field)
         if kind == "range":
             result &= in_range(value, rule(f"{prefix}_lo"), rule(f"{prefix}_hi"))

@@ -3,10 +3,13 @@
 Small helpers for grouped maps: Spark cuts the segments, moves the rows and joins the results.
 """
 
+from bisect import bisect_right
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 LONG_AGO = -(2**40)
 
@@ -42,23 +45,63 @@ class TriggerState:
         return None
 
 
-def _scan(ticks, over, hidden, period, good, first):
-    """Walk rows in tick order from `good` (an array of possible last-good ticks). Yield what is due."""
+def exit_ages(ticks, over, hidden, period: int, first: int, last: int) -> list[tuple[int, int, int]]:
+    """The age at `last` for every age before `first`, as steps (age, exit, slope): from that age on the exit is
+    ``exit + slope * more``, up to the next step.
+
+    An age is how many ticks ago the rate was last good or an alarm fired, at most `period`: more is the same. Rows are ticks
+    above a threshold, in order; a tick between them was good. The possible last good ticks stand in a queue, oldest in
+    front, as runs of equal or of successive ones. A tick above the threshold takes those that have waited long enough from
+    the front and puts them at the end, so what is kept grows with the rows, and not with the period.
+    """
+    # runs of entries: the first, the last, the good tick of the first, and by how much the next one's is later
+    queue = deque([(0, period, first - 1 - period, 1)])
     expected = first
-    due = []
     for tick, is_over, is_hidden in zip(ticks, over, hidden):
         if tick > expected:
-            good = np.array([tick - 1])
+            queue = deque([(0, period, tick - 1, 0)])
         expected = tick + 1
-        fires = np.zeros(len(good), bool)
-        if not is_hidden:
-            if is_over:
-                fires = tick - good > period
-                good = np.where(fires, tick, good)
-            else:
-                good = np.array([tick])
-        due.append(bool(fires[0]))
-    return due, good
+        if is_hidden:
+            continue
+        if not is_over:
+            queue = deque([(0, period, tick, 0)])
+            continue
+        due = tick - period - 1
+        while queue[0][2] <= due:
+            a, b, good, slope = queue.popleft()
+            end = b if slope == 0 else min(b, a + due - good)
+            _fire(queue, a, end, tick)
+            if end < b:
+                queue.appendleft((end + 1, b, good + slope * (end + 1 - a), slope))
+    if expected != last + 1:
+        return [(0, 0, 0)]
+    steps = []
+    for a, b, good, slope in sorted(queue, reverse=True):
+        at, value = period - b, last - (good + slope * (b - a))
+        steps.append((at, min(value, period), slope if value < period else 0))
+        if slope and value < period < value + (b - a):
+            steps.append((at + period - value, period, 0))
+    return steps
+
+
+def _fire(queue: deque, a: int, b: int, tick: int) -> None:
+    if queue:
+        a0, b0, good, slope = queue[-1]
+        latest = good + slope * (b0 - a0)
+        if b0 + 1 == a and latest == tick and slope * (b0 - a0) == 0:
+            queue[-1] = (a0, b, tick, 0)
+            return
+        if b0 + 1 == a and a == b and latest + 1 == tick and (slope == 1 or a0 == b0):
+            queue[-1] = (a0, b, good, 1)
+            return
+    queue.append((a, b, tick, 0))
+
+
+def exit_age(steps: list[dict], age: int, period: int) -> int:
+    """The age that a segment ends with, if it begins with `age`."""
+    at = bisect_right(steps, age, key=lambda step: step["age"]) - 1
+    step = steps[at]
+    return min(step["exit"] + step["slope"] * (age - step["age"]), period)
 
 
 def _columns(pdf):
@@ -66,48 +109,41 @@ def _columns(pdf):
 
 
 def segment_exits(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
-    """Age at the end of the segment for every age at its start, or one age if it does not matter."""
+    """A row for the segment: how its exit age depends on the age at its start."""
     row = pdf.iloc[0]
-    period, segment = int(row["bps_period"]), int(row["_segment"])
-    first = max(segment, int(row["first_tick"]))
-    ticks, over, hidden = _columns(pdf)
-    _, good = _scan(ticks, over, hidden, period, first - 1 - np.arange(period + 1), first)
-    last = segment + width - 1
-    ages = np.minimum(last - good, period) if ticks[-1] == last else np.zeros(1, dtype=np.int64)
-    if (ages == ages[0]).all():
-        ages = ages[:1]
-    return pd.DataFrame(
-        {
-            "rule_id": [int(row["rule_id"])],
-            "_segment": [segment],
-            "bps_period": [period],
-            "first_tick": [int(row["first_tick"])],
-            "exits": [ages.astype(np.int64).tolist()],
-        }
-    )
-
-
-def segment_entries(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
-    """Age at the start of each segment of one rule."""
-    ages, before, age = [], None, 0
-    rows = zip(pdf["_segment"], pdf["bps_period"], pdf["first_tick"], pdf["exits"])
-    for segment, period, first_tick, exits in rows:
-        if first_tick >= segment:
-            age = period
-        elif before != segment - width:
-            age = 0
-        ages.append(int(age))
-        age = exits[min(int(age), len(exits) - 1)]
-        before = segment
-    return pd.DataFrame({"rule_id": pdf["rule_id"], "_segment": pdf["_segment"], "age": ages})
+    period, segment, first_tick = int(row["bps_period"]), int(row["_segment"]), int(row["first_tick"])
+    steps = exit_ages(*_columns(pdf), period, max(segment, first_tick), segment + width - 1)
+    exits = [{"age": age, "exit": value, "slope": slope} for age, value, slope in steps]
+    return pd.DataFrame({"rule_id": [int(row["rule_id"])], "_segment": [segment], "bps_period": [period], "first_tick": [first_tick], "exits": [exits]})
+
+
+def segment_entries(parts: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Age at the start of each segment, from the segments of rules in order. Only the age is kept from one to the next."""
+    rule, before, age = None, None, 0
+    for part in parts:
+        ages = []
+        for now, segment, period, first_tick, exits in zip(*(column.to_pylist() for column in part.columns)):
+            if now != rule or first_tick >= segment:
+                age = period if first_tick >= segment else 0
+            elif before != segment - width:
+                age = 0
+            ages.append(age)
+            age = exit_age(exits, age, period)
+            rule, before = now, segment
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ages, pa.int64())], ["rule_id", "_segment", "age"])
 
 
 def segment_fires(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The ticks at which the byte test is due, from the age at the segment's start."""
     row = pdf.iloc[0]
-    first = max(int(row["_segment"]), int(row["first_tick"]))
-    ticks, over, hidden = _columns(pdf)
-    good = np.array([first - 1 - int(row["age"])])
-    due, _ = _scan(ticks, over, hidden, int(row["bps_period"]), good, first)
-    return pd.DataFrame(
-        {"rule_id": pdf["rule_id"], "_segment": pdf["_segment"], "tick": pdf["tick"], "bps_due": due}
-    )
+    first, period = max(int(row["_segment"]), int(row["first_tick"])), int(row["bps_period"])
+    good, expected, due = first - 1 - int(row["age"]), first, []
+    for tick, is_over, is_hidden in zip(*_columns(pdf)):
+        if tick > expected:
+            good = tick - 1
+        expected = tick + 1
+        fires = is_over and not is_hidden and tick - good > period
+        if fires or not (is_over or is_hidden):
+            good = tick
+        due.append(fires)
+    return pd.DataFrame({"rule_id": pdf["rule_id"], "_segment": pdf["_segment"], "tick": pdf["tick"], "bps_due": due})

@@ -1,6 +1,6 @@
 """Packet and byte counters.
 
-The group keys hold `rule_id` (an INT), so map-side aggregation collapses a flood before the
+The group keys hold `rule_id` (a LONG), so map-side aggregation collapses a flood before the
 shuffle, however hot its rule or its destination is.
 """
 
@@ -87,9 +87,8 @@ def with_dst_text(df: DataFrame) -> DataFrame:
     return df.withColumn("dst", ip_text(F.coalesce(F.col("dst_ip"), F.lit(0).cast("bigint"))))
 
 
-def with_totals(per_rule: DataFrame, sums: list[str]) -> DataFrame:
-    """Rows per rule and a total per list (`rule_no` NULL) in one pass."""
-    rolled = per_rule.groupingSets(
-        [["rule_type", "rule_no"], ["rule_type"]], "rule_type", "rule_no"
-    ).agg(*[F.sum(name).alias(name) for name in sums])
-    return rolled
+def with_totals(per_rule: DataFrame, sums: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows per rule and a total per list (`rule_no` NULL) in one pass; `keys` (say, `book`) keep lists apart."""
+    lists = [*keys, "rule_type"]
+    rolled = per_rule.groupingSets([[*lists, "rule_no"], lists], *lists, "rule_no")
+    return rolled.agg(*[F.sum(name).alias(name) for name in sums])

@@ -1,10 +1,14 @@
 """Rule matching: first match wins, with fall-through past `next` rules.
 
+A rule is known by one LONG, its `rule_id`: the book it stands in, its list and its number. A book is one version of one
+ruleset. Each book is walked on its own, so rules of any number of rulesets and versions can lie in one table; a book with a
+time span meets the packets of that span only.
+
 Three ways with one answer, by size of the rule table:
 
 * compiled: rules become constants in generated code; row-local, no join, no shuffle;
-* indexed: rules lie in a broadcast index by destination block; row-local, no packet shuffle;
-* joined: for rule tables past the broadcast bound; shuffles by destination, block or salt, and by packet.
+* indexed: rules lie in broadcast tables by the prefix of their narrower side; row-local, no packet shuffle;
+* joined: for rule tables past the broadcast bound; shuffles by prefix or salt, and by packet.
 """
 
 from dataclasses import dataclass
@@ -15,46 +19,67 @@ from pyspark.sql import functions as F
 from floodsight.functions.predicates import any_type_matches, compiled_match, rule_columns_match
 from floodsight.operators.generated import own_method
 from floodsight.schemas import PROTO, RULE_TESTS, TYPE_ORDER
-from floodsight.session import broadcast_if_small
+from floodsight.session import broadcast_if_small, settle
 
-# rule_id = position of the list * LIST_SIZE + rule_no, so that ids sort as the lists do.
-LIST_SIZE = 1_000_000
+# rule_id = book, two bits for the list, 31 bits for the rule number, so that ids sort as books and lists do.
+LIST_SHIFT = 31
+BOOK_SHIFT = 33
+MOST_BOOKS = 2**30
 COMPILED_RULES = 256
 # Rules per generated projection.
 CHUNK = 32
 INDEX_ENTRIES = 200_000
-# Addresses per block of the index, and the widest destination range that is put into blocks.
-BLOCK = 256
-WIDEST = 256 * BLOCK
+# Levels of the index that a packet is looked up in, and the widest range that gets a place, in bits.
+LEVELS = 16
+WIDEST_BITS = 24
+# Rules of one key that are tested by generated code.
+LANES = 4
 # Keys per protocol over which the packets are spread that meet the rules without a place.
 SALTS = 64
 
 
-def rule_id_of(rule_type: Column, rule_no: Column) -> Column:
-    rank = F.lit(None).cast("int")
+def rule_id_of(rule_type: Column, rule_no: Column, book: Column | int = 0) -> Column:
+    rank = F.lit(None).cast("bigint")
     for position, name in enumerate(TYPE_ORDER):
-        rank = F.when(rule_type == name, F.lit(position)).otherwise(rank)
-    beyond = F.raise_error(F.concat(F.lit("rule number above the largest of a list: "), rule_no.cast("string")))
-    number = F.when(rule_no >= LIST_SIZE, beyond.cast("int")).otherwise(rule_no)
-    return (rank * LIST_SIZE + number).cast("int")
+        rank = F.when(rule_type == name, F.lit(position).cast("bigint")).otherwise(rank)
+    book = (F.lit(book) if isinstance(book, int) else book).cast("bigint")
+    beyond = F.raise_error(F.concat(F.lit("book number out of range: "), book.cast("string"))).cast("bigint")
+    book = F.when(book.between(0, MOST_BOOKS - 1), book).otherwise(beyond)
+    return F.shiftleft(book, BOOK_SHIFT) + F.shiftleft(rank, LIST_SHIFT) + rule_no.cast("bigint")
 
 
 def with_rule_id(rules: DataFrame) -> DataFrame:
-    return rules.withColumn("rule_id", rule_id_of(F.col("rule_type"), F.col("rule_no")))
+    book = F.col("book") if "book" in rules.columns else 0
+    return rules.withColumn("rule_id", rule_id_of(F.col("rule_type"), F.col("rule_no"), book))
+
+
+def book_of(rule_id: Column) -> Column:
+    return F.shiftright(rule_id, BOOK_SHIFT)
 
 
-def with_rule_names(df: DataFrame) -> DataFrame:
-    """`rule_id` back to `rule_type` and `rule_no`."""
-    rank = F.call_function("div", F.col("rule_id"), F.lit(LIST_SIZE)).cast("int")
+def with_rule_names(df: DataFrame, book: bool = False) -> DataFrame:
+    """`rule_id` back to `rule_type` and `rule_no`, and to `book` if that is wanted."""
+    rank = F.shiftright("rule_id", LIST_SHIFT).bitwiseAND(F.lit(3)).cast("int")
     names = F.array(*map(F.lit, TYPE_ORDER))
-    return df.withColumns(
-        {"rule_type": F.get(names, rank), "rule_no": (F.col("rule_id") % LIST_SIZE).cast("int")}
-    ).drop("rule_id")
+    columns = {"rule_type": F.get(names, rank), "rule_no": F.col("rule_id").bitwiseAND(F.lit(2**LIST_SHIFT - 1)).cast("int")}
+    if book:
+        columns["book"] = book_of(F.col("rule_id"))
+    return df.withColumns(columns).drop("rule_id")
+
+
+def spans(rule) -> bool:
+    return "from_us" in rule
+
+
+def in_force(ts: Column, from_us: Column, to_us: Column) -> Column:
+    """Whether a packet's time lies in the span of a book; a missing end is open."""
+    micros = F.unix_micros(ts)
+    return (from_us.isNull() | (micros >= from_us)) & (to_us.isNull() | (micros < to_us))
 
 
 @dataclass
 class RuleSet:
-    """The rules of one ruleset on the driver, in list order; at most `COMPILED_RULES` of them."""
+    """Rules on the driver, in list order; at most `COMPILED_RULES` of them."""
 
     rows: list[Row]
 
@@ -62,8 +87,17 @@ class RuleSet:
         return RuleSet([row for row in self.rows if row["rule_type"] == rule_type])
 
     def of_type(self, rule_type: str) -> list[tuple[int, Row]]:
-        first = TYPE_ORDER.index(rule_type) * LIST_SIZE
-        return [(first + row["rule_no"], row) for row in self.rows if row["rule_type"] == rule_type]
+        rank = TYPE_ORDER.index(rule_type)
+        return [((_book(row) << BOOK_SHIFT) + (rank << LIST_SHIFT) + row["rule_no"], row) for row in self.rows if row["rule_type"] == rule_type]
+
+    def books(self) -> "list[RuleSet]":
+        """One ruleset for each book."""
+        numbers = sorted({_book(row) for row in self.rows})
+        return [RuleSet([row for row in self.rows if _book(row) == number]) for number in numbers]
+
+
+def _book(row: Row) -> int:
+    return row["book"] if "book" in row else 0
 
 
 def collect_rules(rules: DataFrame, limit: int = COMPILED_RULES) -> RuleSet | None:
@@ -71,7 +105,7 @@ def collect_rules(rules: DataFrame, limit: int = COMPILED_RULES) -> RuleSet | No
     rows = rules.limit(limit + 1).collect()
     if len(rows) > limit:
         return None
-    return RuleSet(sorted(rows, key=lambda r: (TYPE_ORDER.index(r["rule_type"]), r["rule_no"])))
+    return RuleSet(sorted(rows, key=lambda r: (_book(r), TYPE_ORDER.index(r["rule_type"]), r["rule_no"])))
 
 
 def _by_proto(choices: dict[str, Column]) -> Column | None:
@@ -125,9 +159,22 @@ def _reachable(ruleset: RuleSet) -> Column:
                     hi = max(row[f"{side}_hi"] for row in rows)
                     test &= F.col(f"{side}_ip").between(lo, hi)
             result |= test
+    starts = [row["from_us"] for row in ruleset.rows if spans(row)]
+    if starts and len(starts) == len(ruleset.rows) and None not in starts:
+        result &= F.col("ts") >= F.timestamp_micros(F.lit(min(starts)))
     return result
 
 
+def _test(row: Row) -> Column:
+    """The tests of one rule as constants, with the span of its book."""
+    test = compiled_match(row, _packet_field)
+    if spans(row):
+        for bound, holds in ((row["from_us"], lambda t: F.col("ts") >= t), (row["to_us"], lambda t: F.col("ts") < t)):
+            if bound is not None:
+                test = holds(F.timestamp_micros(F.lit(bound))) & test
+    return test
+
+
 def route_proto(packets: DataFrame) -> DataFrame:
     """Add `rule_type`, the list a packet goes to; packets of other protocols go to none and are dropped."""
     rule_type = _by_proto({name: F.lit(name) for name in TYPE_ORDER})
@@ -135,27 +182,31 @@ def route_proto(packets: DataFrame) -> DataFrame:
 
 
 def with_stop(packets: DataFrame, ruleset: RuleSet) -> DataFrame:
-    """Add `stop_rule`: the id of the terminal rule that took the packet, or NULL."""
-    return _without_plain(_stop_column(_with_plain(packets), ruleset))
-
-
-def _stop_column(df: DataFrame, ruleset: RuleSet) -> DataFrame:
-    ends = {
-        name: [
-            (compiled_match(row, _packet_field), F.lit(i))
-            for i, row in ruleset.of_type(name)
-            if not row["next_rule"]
-        ]
-        for name in TYPE_ORDER
-    }
+    """Add `stop_rule`: the id of the terminal rule that took the packet, or NULL; with several books the first one's that took it."""
+    df, stops = _with_stops(_with_plain(packets), ruleset)
+    first = F.coalesce(*map(F.col, stops)) if stops else F.lit(None).cast("bigint")
+    return _without_plain(df.withColumn("stop_rule", first).drop(*stops))
+
+
+def _with_stops(df: DataFrame, ruleset: RuleSet) -> tuple[DataFrame, list[str]]:
+    """Add a column per book: the id of its terminal rule that took the packet."""
+    names = []
+    for n, book in enumerate(ruleset.books()):
+        names.append(f"_stop{n}")
+        df = _stop_column(df, book, names[-1], apart=len(ruleset.rows) > CHUNK)
+    return df, names
+
+
+def _stop_column(df: DataFrame, ruleset: RuleSet, column: str, apart: bool) -> DataFrame:
+    ends = {name: [(_test(row), F.lit(i)) for i, row in ruleset.of_type(name) if not row["next_rule"]] for name in TYPE_ORDER}
     chunks = _chunks(ends)
     if not chunks:
-        return df.withColumn("stop_rule", F.lit(None).cast("int"))
+        return df.withColumn(column, F.lit(None).cast("bigint"))
     for step, chunk in enumerate(chunks):
-        found = _by_proto({name: _chain(items) for name, items in chunk.items()}).cast("int")
+        found = _by_proto({name: _chain(items) for name, items in chunk.items()}).cast("bigint")
         if step:
-            found = F.when(F.col("stop_rule").isNotNull(), F.col("stop_rule")).otherwise(found)
-        df = own_method(df, {"stop_rule": found}) if len(chunks) > 1 else df.withColumn("stop_rule", found)
+            found = F.when(F.col(column).isNotNull(), F.col(column)).otherwise(found)
+        df = own_method(df, {column: found}) if apart else df.withColumn(column, found)
     return df
 
 
@@ -170,40 +221,35 @@ def _with_slots(df: DataFrame, tests: dict[str, list[Column]]) -> tuple[DataFram
         columns = {}
         for place in range(at, min(at + CHUNK, places)):
             choices = {name: items[place] for name, items in tests.items() if place < len(items)}
-            columns[names[place]] = _by_proto(choices).cast("int")
+            columns[names[place]] = _by_proto(choices).cast("bigint")
         df = own_method(df, columns) if places > CHUNK else df.withColumns(columns)
     return df, names
 
 
 def _explode_hits(df: DataFrame, columns: list[str]) -> DataFrame:
-    hits = df.withColumn("rule_id", F.explode(F.array(*columns))).filter("rule_id IS NOT NULL")
-    return _without_plain(hits.drop(*columns))
+    """A row for each column that holds an id. The array has no place for the others: ids are never negative."""
+    hits = F.array_remove(F.array(*[F.coalesce(name, F.lit(-1).cast("bigint")) for name in columns]), F.lit(-1).cast("bigint"))
+    return _without_plain(df.withColumn("rule_id", F.explode(hits)).drop(*columns))
 
 
 def first_match(packets: DataFrame, ruleset: RuleSet) -> DataFrame:
     """One row per (packet, rule that counts it), as `rule_id` next to the packet's columns."""
-    df = _stop_column(_with_plain(packets.filter(_reachable(ruleset))), ruleset)
-    stop = F.col("stop_rule")
-    passed = {
-        name: [
-            F.when((stop.isNull() | (stop > i)) & compiled_match(row, _packet_field), F.lit(i))
-            for i, row in ruleset.of_type(name)
-            if row["next_rule"]
-        ]
-        for name in TYPE_ORDER
-    }
+    df, stops = _with_stops(_with_plain(packets.filter(_reachable(ruleset))), ruleset)
+    passed: dict[str, list[Column]] = {name: [] for name in TYPE_ORDER}
+    for stop, book in zip(map(F.col, stops), ruleset.books()):
+        for name in TYPE_ORDER:
+            passed[name] += [
+                F.when((stop.isNull() | (stop > i)) & _test(row), F.lit(i)) for i, row in book.of_type(name) if row["next_rule"]
+            ]
     df, slots = _with_slots(df, passed)
-    if not slots:
-        return _without_plain(df.filter(stop.isNotNull()).withColumnRenamed("stop_rule", "rule_id"))
-    return _explode_hits(df, ["stop_rule", *slots])
+    if len(stops) == 1 and not slots:
+        return _without_plain(df.filter(F.col(stops[0]).isNotNull()).withColumnRenamed(stops[0], "rule_id"))
+    return _explode_hits(df, [*stops, *slots]) if stops else _without_plain(df.withColumn("rule_id", F.lit(None).cast("bigint")).limit(0))
 
 
 def all_matches(packets: DataFrame, ruleset: RuleSet) -> DataFrame:
     """One row per (packet, matching rule), as if every rule had `next`."""
-    tests = {
-        name: [F.when(compiled_match(row, _packet_field), F.lit(i)) for i, row in ruleset.of_type(name)]
-        for name in TYPE_ORDER
-    }
+    tests = {name: [F.when(_test(row), F.lit(i)) for i, row in ruleset.of_type(name)] for name in TYPE_ORDER}
     df, slots = _with_slots(_with_plain(packets.filter(_reachable(ruleset))), tests)
     return _explode_hits(df, slots)
 
@@ -221,92 +267,260 @@ def unmatched(packets: DataFrame, ruleset: RuleSet) -> DataFrame:
 
 # --- rule tables too long to compile -------------------------------------------------------
 
+_RULE_FIELDS = ["rule_id", "next_rule", *[f.name for f in RULE_TESTS.fields]]
+_PORT_BITS = 16
+
+
+@dataclass(frozen=True, order=True)
+class Level:
+    """A table of the index: rules keyed by `side` at the prefix that leaves `shift` bits, and by destination port if `port`."""
+
+    side: str
+    shift: int
+    port: bool
+
+    def key(self, address: Column, dport: Column, rank: Column) -> Column:
+        """Protocol, prefix and port in one LONG."""
+        key = F.shiftleft(rank.cast("bigint"), 32) + F.shiftright(address, self.shift)
+        return F.shiftleft(key, _PORT_BITS) + dport if self.port else key
+
+    def packet_key(self) -> Column:
+        return self.key(F.col(f"{self.side}_ip"), F.col("dport").cast("bigint"), F.col("proto"))
 
-def _candidates(rules: DataFrame) -> DataFrame:
-    """Rules with `proto`, `rule_id`, and where the index keeps them: at one `host`, in `blocks` of
-    destinations when narrow, or nowhere."""
+
+def placed_rules(rules: DataFrame) -> DataFrame:
+    """Rules with `proto`, `rule_id` and their place: the narrower side (`side`), how many bits its range spans (`shift`) and
+    whether they ask for one destination port (`port`). Rules that are wide on both sides have no side. Rules with an empty
+    range match nothing and are left out.
+    """
     df = with_rule_id(rules)
     proto = F.lit(None).cast("int")
     for name, number in PROTO.items():
         proto = F.when(F.col("rule_type") == name, F.lit(number)).otherwise(proto)
-    host = F.when(F.col("dst_lo") == F.col("dst_hi"), F.col("dst_lo"))
-    narrow = (F.col("dst_hi") - F.col("dst_lo")).between(1, WIDEST - 1)
-    blocks = F.when(narrow, F.sequence(F.shiftright("dst_lo", 8), F.shiftright("dst_hi", 8)))
-    return df.withColumns({"proto": proto, "host": host, "blocks": blocks})
+
+    def alive(side):
+        return F.col(f"{side}_lo").isNull() | ((F.col(f"{side}_hi") >= F.col(f"{side}_lo")) & (F.col(f"{side}_hi") > 0))
+
+    def bits(side):
+        wide = F.col(f"{side}_hi") - F.col(f"{side}_lo")
+        return F.when(F.col(f"{side}_lo").isNull(), F.lit(33)).when(wide > 0, F.length(F.bin(wide))).otherwise(F.lit(0))
+
+    df = df.filter(alive("src") & alive("dst")).withColumns({"proto": proto, "_src": bits("src"), "_dst": bits("dst")})
+    side = F.when(F.least("_src", "_dst") > WIDEST_BITS, F.lit(None)).when(F.col("_src") < F.col("_dst"), F.lit("src")).otherwise(F.lit("dst"))
+    port = F.coalesce((F.col("dport_lo") == F.col("dport_hi")) & (F.col("dport_lo") > 0), F.lit(False))
+    return df.withColumns({"side": side, "shift": F.least("_src", "_dst"), "port": port}).drop("_src", "_dst")
+
+
+def _levels(placed: DataFrame) -> tuple[list[Level], DataFrame]:
+    """The levels that occur, and the rules with the level (`level`) and the keys (`keys`) they are listed under.
+
+    A range that spans n bits lies under one or two prefixes that leave n. Beyond LEVELS levels the spans are rounded up to
+    whole bytes, which leaves LEVELS at most.
+    """
+    found = _occurring(placed)
+    if len(found) > LEVELS:
+        placed = placed.withColumn("shift", (F.ceil(F.col("shift") / 8) * 8).cast("int"))
+        found = _occurring(placed)
+    number, keys = F.lit(None).cast("int"), F.lit(None).cast("array<bigint>")
+    for n, level in enumerate(found):
+        here = (F.col("side") == level.side) & (F.col("shift") == level.shift) & (F.col("port") == level.port)
+        ends = [level.key(F.col(f"{level.side}_{end}"), F.col("dport_lo").cast("bigint"), F.col("proto")) for end in ("lo", "hi")]
+        number, keys = F.when(here, F.lit(n)).otherwise(number), F.when(here, F.array_distinct(F.array(*ends))).otherwise(keys)
+    return found, placed.withColumns({"level": number, "keys": keys})
+
+
+def _occurring(placed: DataFrame) -> list[Level]:
+    return sorted(Level(*row) for row in placed.filter("side IS NOT NULL").select("side", "shift", "port").distinct().collect())
 
 
 def index_entries(rules: DataFrame) -> int:
-    """Entries the broadcast index would hold."""
-    total = _candidates(rules).agg(F.sum(F.when(F.col("blocks").isNull(), 1).otherwise(F.size("blocks")))).first()[0]
-    return total or 0
+    """Entries of the broadcast index: one or two for each rule with a place."""
+    _, placed = _levels(placed_rules(rules).filter("side IS NOT NULL"))
+    return placed.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
 
 
-_RULE_FIELDS = ["rule_id", "next_rule", *[f.name for f in RULE_TESTS.fields]]
+def _unplaced(rules: DataFrame) -> DataFrame:
+    """The rules that are wide on both sides; they are looked at for every packet of their protocol."""
+    return placed_rules(rules).filter("side IS NULL").select(*rules.columns)
+
+
+def _code(rule_id: Column, next_rule: Column) -> Column:
+    """An id that goes on is written as its complement, which is negative."""
+    return F.when(next_rule, F.bitwise_not(rule_id)).otherwise(rule_id)
+
+
+def _id(code: Column) -> Column:
+    return F.when(code < 0, F.bitwise_not(code)).otherwise(code)
 
 
 def first_match_indexed(packets: DataFrame, rules: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """`first_match` against a rule table of at most `INDEX_ENTRIES` index entries (checked).
+    """`first_match` against a rule table of at most `INDEX_ENTRIES` index entries and `COMPILED_RULES` rules that are wide on
+    both sides (checked).
 
-    With `keys` (say, `version`) each packet meets the rules that agree with it on them.
+    A packet is looked up once for each level that occurs, by one LONG. The rules of a key are dealt to lanes, so that a lane
+    has one rule a key and its tests are generated code, with only the tests that occur there; a crowded key's rules beyond
+    the lanes come as a list. Wide rules are compiled. With `keys` (say, `version`) each packet meets the rules that agree
+    with it on them.
     """
-    entries = index_entries(rules)
-    if entries > INDEX_ENTRIES:
-        raise ValueError(f"{entries} index entries are too many to broadcast; use first_match_joined")
-    keys = [*(keys or []), "proto"]
-    df = _candidates(rules).withColumn("_rule", F.struct(*_RULE_FIELDS))
-    by_host = df.filter("host IS NOT NULL").withColumnRenamed("host", "dst_ip")
-    by_block = df.filter("blocks IS NOT NULL").withColumn("_block", F.explode("blocks"))
-    anywhere = df.filter("host IS NULL AND blocks IS NULL")
-    found = packets.withColumn("_block", F.shiftright("dst_ip", 8))
-    levels = {"_at_host": (by_host, ["dst_ip"]), "_in_block": (by_block, ["_block"]), "_anywhere": (anywhere, [])}
-    for name, (level, place) in levels.items():
-        listed = level.groupBy(*keys, *place).agg(F.collect_list("_rule").alias(name))
-        found = found.join(F.broadcast(listed), [*keys, *place], "left")
-
-    def hits(candidates: str):
-        def matches(rule):
-            result = F.lit(False)
-            for rule_type in TYPE_ORDER:
-                result |= rule_columns_match(rule_type, F.col, lambda name: rule[name])
-            return result
-
-        kept = F.filter(candidates, lambda rule: F.coalesce(matches(rule), F.lit(False)))
-        short = F.transform(
-            kept, lambda rule: F.struct(rule["rule_id"].alias("id"), rule["next_rule"].alias("next"))
-        )
-        return F.coalesce(short, F.array().cast("array<struct<id:int,next:boolean>>"))
-
-    found = found.withColumn("_hits", F.concat(*[hits(name) for name in levels]))
-    ends = F.transform(F.filter("_hits", lambda hit: ~hit["next"]), lambda hit: hit["id"])
-    found = found.withColumn("_stop", F.array_min(ends))
-    counted = F.filter("_hits", lambda hit: F.col("_stop").isNull() | (hit["id"] <= F.col("_stop")))
-    found = found.withColumn("rule_id", F.explode(F.transform(counted, lambda hit: hit["id"])))
-    return found.select(*packets.columns, "rule_id")
+    index = build_index(rules, keys)
+    if index is None:
+        raise ValueError("too many index entries or wide rules to broadcast; use first_match_joined")
+    return match_index(packets, index)
+
+
+@dataclass
+class RuleIndex:
+    """A stored table of rules by level, key and lane; what is known of each level; and the wide rules."""
+
+    levels: list[Level]
+    listed: DataFrame
+    about: dict[int, Row]
+    wide: RuleSet
+    keys: list[str]
+    fields: list[str]
+    timed: list[str]
+
+
+def build_index(rules: DataFrame, keys: list[str] | None = None) -> RuleIndex | None:
+    """The index of a rule table, or None if it would be too large to broadcast. It can be used for any number of matches."""
+    wide = collect_rules(_unplaced(rules))
+    if wide is None:
+        return None
+    keys = keys or []
+    timed = ["from_us", "to_us"] if "from_us" in rules.columns else []
+    fields = [*_RULE_FIELDS[2:], *timed]
+    levels, placed = _levels(placed_rules(rules).filter("side IS NOT NULL"))
+    listed = placed.select(*keys, "level", F.explode("keys").alias("_key"), _code(F.col("rule_id"), F.col("next_rule")).alias("code"), *fields)
+    if listed.limit(INDEX_ENTRIES + 1).count() > INDEX_ENTRIES:
+        return None
+    lane = F.row_number().over(Window.partitionBy(*keys, "level", "_key").orderBy(_id(F.col("code")))) - 1
+    listed = settle(listed.withColumn("lane", lane), "rule-index")
+    return RuleIndex(levels, listed, _about(listed, fields), wide, keys, fields, timed)
+
+
+def match_index(packets: DataFrame, index: RuleIndex) -> DataFrame:
+    """`first_match` against an index."""
+    levels, listed, about, wide = index.levels, index.listed, index.about, index.wide
+    keys, fields, timed = index.keys, index.fields, index.timed
+
+    def matches(used, rule):
+        test = _by_proto({name: rule_columns_match(name, F.col, rule, used) for name in TYPE_ORDER})
+        if timed and used & set(timed):
+            test &= in_force(F.col("ts"), *[rule(name) if name in used else F.lit(None).cast("bigint") for name in timed])
+        return F.coalesce(test, F.lit(False))
+
+    found, codes, lists = packets, [], []
+    for n, row in about.items():
+        here = listed.filter(F.col("level") == n)
+        used = {name for name in fields if row[name]}
+        found = found.withColumn("_key", levels[n].packet_key())
+        for lane in range(min(row["lanes"], LANES)):
+            table = here.filter(F.col("lane") == lane).select(*keys, "_key", *[F.col(name).alias(f"_r_{name}") for name in ("code", *sorted(used))])
+            found = found.join(F.broadcast(table), [*keys, "_key"], "left")
+            hit = F.when(F.col("_r_code").isNotNull() & matches(used, lambda name: F.col(f"_r_{name}")), F.col("_r_code"))
+            codes.append(f"_code{n}_{lane}")
+            found = own_method(found, {codes[-1]: hit}).drop(*[c for c in found.columns if c.startswith("_r_")])
+        if row["lanes"] > LANES:
+            rest = here.filter(F.col("lane") >= LANES).groupBy(*keys, "_key").agg(F.collect_list(F.struct("code", *sorted(used))).alias(f"_rest{n}"))
+            found = found.join(F.broadcast(rest), [*keys, "_key"], "left")
+            hits = F.filter(f"_rest{n}", lambda rule: matches(used, lambda name: rule[name]))
+            lists.append(F.when(F.col(f"_rest{n}").isNotNull(), F.transform(hits, lambda rule: rule["code"])))
+    found = found.drop("_key")
+    if wide.rows:
+        found, slots = _wide_codes(found, wide, keys)
+        codes += slots
+    numbers = {book for row in about.values() for book in (row["first_book"], row["last_book"])} | {_book(row) for row in wide.rows}
+    cut = _cut_codes(found, codes, len(numbers) > 1) if not lists and (len(numbers) <= 1 or len(codes) <= 2 * LEVELS) else _cut_lists(found, codes, lists)
+    return cut.select(*packets.columns, "rule_id")
+
+
+def _about(listed: DataFrame, fields: list[str]) -> dict[int, Row]:
+    """Of each level: how many lanes it has, between which books its rules lie, and which tests occur. At most LEVELS rows."""
+    book = book_of(_id(F.col("code")))
+    occur = [F.max(F.col(name).isNotNull()).alias(name) for name in fields]
+    rows = listed.groupBy("level").agg((F.max("lane") + 1).alias("lanes"), F.min(book).alias("first_book"), F.max(book).alias("last_book"), *occur).collect()
+    return {row["level"]: row for row in sorted(rows, key=lambda row: row["level"])}
+
+
+def _cut_codes(found: DataFrame, codes: list[str], many: bool) -> DataFrame:
+    """Hits in columns: each counts unless a terminal one of its book stands before it."""
+    if not codes:
+        return found.withColumn("rule_id", F.lit(None).cast("bigint")).limit(0)
+    found = own_method(found, {name: F.col(name) for name in codes})
+    ends = [F.when(F.col(name) >= 0, F.col(name)) for name in codes]
+    kept = {}
+    if many:
+        for name in codes:
+            own = _id(F.col(name))
+            before = F.lit(False)
+            for other in codes:
+                if other != name:
+                    before |= F.coalesce((F.col(other) >= 0) & (F.col(other) < own) & (book_of(F.col(other)) == book_of(own)), F.lit(False))
+            kept[name] = F.when(~before, own)
+    else:
+        found = found.withColumn("_end", F.least(*ends) if len(ends) > 1 else ends[0])
+        for name in codes:
+            own = _id(F.col(name))
+            kept[name] = F.when(F.col("_end").isNull() | (own <= F.col("_end")), own)
+    none = F.lit(-1).cast("bigint")
+    hits = F.array_remove(F.array(*[F.coalesce(column, none) for column in kept.values()]), none)
+    return found.withColumn("rule_id", F.explode(hits))
+
+
+def _cut_lists(found: DataFrame, codes: list[str], lists: list[Column]) -> DataFrame:
+    """The same with some hits in lists."""
+    none, nothing = F.array().cast("array<bigint>"), F.lit(-(2**63)).cast("bigint")
+    hits = [F.coalesce(part, none) for part in lists]
+    if codes:
+        hits.append(F.array_remove(F.array(*[F.coalesce(name, nothing) for name in codes]), nothing))
+    # A generator keeps what follows from being merged with it, which would work the hits out again for each use.
+    found = own_method(found, {"_hits": F.concat(*hits)}).filter(F.size("_hits") > 0)
+    found = own_method(found, {"_ends": F.filter("_hits", lambda code: code >= 0)})
+
+    def counts(code):
+        return ~F.exists("_ends", lambda end: (end < _id(code)) & (book_of(end) == book_of(_id(code))))
+
+    counted = F.when(F.size("_hits") == 1, F.col("_hits")).otherwise(F.filter("_hits", counts))
+    return found.withColumn("_code", F.explode(counted)).withColumn("rule_id", _id(F.col("_code")))
+
+
+def _wide_codes(df: DataFrame, wide: RuleSet, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    def test(row):
+        agrees = _test(row)
+        for key in keys:
+            agrees = (F.col(key) == row[key]) & agrees
+        return agrees
+
+    tests = {name: [F.when(test(row), F.lit(~i if row["next_rule"] else i)) for i, row in wide.of_type(name)] for name in TYPE_ORDER}
+    df, slots = _with_slots(_with_plain(df), tests)
+    return _without_plain(df), slots
 
 
 def first_match_joined(packets: DataFrame, rules: DataFrame) -> DataFrame:
     """`first_match` for rule tables of any size.
 
-    Packets are read once and meet rules in one join: those of one host by (protocol, destination),
-    other narrow ones by (protocol, destination block), and the few wide ones by protocol and salt.
-    Packets that met a rule are then grouped by a row number made for this, so `pkt_id` may repeat
-    or be absent, and no flood can skew it. Rules of a checked size are broadcast; the join with more
-    is left to Spark, whose adaptive joins split a flooded destination.
+    Packets are read once and meet rules in one join: at each level that occurs by its key, and the rules that are wide on
+    both sides by protocol and salt. Packets that met a rule are then grouped by a row number made for this, so `pkt_id` may
+    repeat or be absent, and no flood can skew it. Rules of a checked size are broadcast; the join with more is left to Spark,
+    whose adaptive joins split a flooded address.
     """
-    fields = _candidates(rules).select("proto", "rule_type", "host", "blocks", *_RULE_FIELDS)
-    renamed = fields.select(*[F.col(name).alias(f"r_{name}") for name in fields.columns])
+    levels, placed = _levels(placed_rules(rules))
+    timed = ["from_us", "to_us"] if "from_us" in rules.columns else []
+    at = lambda level, place: F.struct(F.lit(level).alias("level"), place.cast("bigint").alias("place"))
+    salted = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda salt: at(-1, salt + F.col("proto") * SALTS))
+    where = F.when(F.col("level").isNull(), salted).otherwise(F.transform("keys", lambda key: F.struct(F.col("level"), key.alias("place"))))
+    fields = ["rule_type", *_RULE_FIELDS, *timed]
+    listed = placed.select(F.explode(where).alias("r_at"), *[F.col(name).alias(f"r_{name}") for name in fields])
     condition = any_type_matches(F.col, lambda name: F.col(f"r_{name}"))
-    at = lambda level, place: F.struct(F.lit(level).alias("level"), place.cast("long").alias("place"))
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    where = F.when(F.col("r_host").isNotNull(), F.array(at(0, F.col("r_host"))))
-    where = where.when(F.col("r_blocks").isNotNull(), F.transform("r_blocks", lambda block: at(1, block)))
-    where = where.otherwise(F.transform(salts, lambda salt: at(2, salt)))
-    listed = broadcast_if_small(renamed.withColumn("r_at", F.explode(where)).drop("r_host", "r_blocks"))
-    numbered = packets.withColumn("_row", F.monotonically_increasing_id())
-    block, salt = F.shiftright("dst_ip", 8), F.pmod(F.xxhash64("_row"), F.lit(SALTS))
-    found = numbered.withColumn("_at", F.explode(F.array(at(0, F.col("dst_ip")), at(1, block), at(2, salt))))
-    met = found.join(listed, (F.col("proto") == F.col("r_proto")) & (F.col("_at") == F.col("r_at")) & condition)
-    stop = F.min(F.when(~F.col("r_next_rule"), F.col("r_rule_id"))).over(Window.partitionBy("_row"))
+    if timed:
+        condition &= in_force(F.col("ts"), F.col("r_from_us"), F.col("r_to_us"))
+    numbered = packets.filter(F.col("proto").isin(list(PROTO.values()))).withColumn("_row", F.monotonically_increasing_id())
+    places = [at(n, F.coalesce(level.packet_key(), F.lit(-1).cast("bigint"))) for n, level in enumerate(levels)]
+    places.append(at(-1, F.pmod(F.xxhash64("_row"), F.lit(SALTS)) + F.col("proto") * SALTS))
+    found = numbered.withColumn("_at", F.explode(F.array(*places)))
+    met = found.join(broadcast_if_small(listed), (F.col("_at") == F.col("r_at")) & condition)
+    of_book = Window.partitionBy("_row", book_of(F.col("r_rule_id")))
+    stop = F.min(F.when(~F.col("r_next_rule"), F.col("r_rule_id"))).over(of_book)
     met = met.withColumn("_stop", stop).filter("_stop IS NULL OR r_rule_id <= _stop")
     return met.select(*packets.columns, F.col("r_rule_id").alias("rule_id"))
 
@@ -316,6 +530,5 @@ def match_packets(packets: DataFrame, rules: DataFrame) -> DataFrame:
     ruleset = collect_rules(rules)
     if ruleset is not None:
         return first_match(packets, ruleset)
-    if index_entries(rules) <= INDEX_ENTRIES:
-        return first_match_indexed(packets, rules)
-    return first_match_joined(packets, rules)
+    index = build_index(rules)
+    return first_match_joined(packets, rules) if index is None else match_index(packets, index)

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from floodsight.operators.counters import with_totals
 from floodsight.operators.match import with_rule_id, with_rule_names
 from floodsight.schemas import TYPE_ORDER
 
@@ -34,7 +35,8 @@ def metric_points(
     rates: DataFrame, rules: DataFrame, period: int = MONITOR_PERIOD, epoch: int = 0, since: int | None = None
 ) -> DataFrame:
     """Points of every `period` seconds: the current rate of each rule (0 without traffic) and the
-    total of each list; bits per second. A list without rules has a total of type ``none``.
+    total of each list; bits per second. A list without rules has a total of type ``none``. Rules with a `book`
+    have points with one, and lists for each book.
 
     `rates` is a stored table: its first and last tick are looked up at once. `epoch` is the Unix
     time of tick 0; `since` starts the points earlier than the first rate.
@@ -48,10 +50,9 @@ def metric_points(
     points = grid.join(sampled, ["rule_id", "tick"], "left").select(
         "rule_id", "tick", F.coalesce("pps", zero).alias("pps"), (F.coalesce("bps", zero) * 8).alias("bps")
     )
-    points = with_rule_names(points)
-    rolled = points.groupingSets(
-        [["tick", "rule_type", "rule_no"], ["tick", "rule_type"]], "tick", "rule_type", "rule_no"
-    ).agg(F.sum("pps").alias("pps"), F.sum("bps").alias("bps"))
+    keys = ["book"] if "book" in rules.columns else []
+    points = with_rule_names(points, book=bool(keys))
+    rolled = with_totals(points, ["pps", "bps"], (*keys, "tick"))
     is_total = F.col("rule_no").isNull()
     shaped = rolled.select(
         F.timestamp_seconds(F.col("tick") + epoch).alias("time"),
@@ -60,7 +61,10 @@ def metric_points(
         F.when(is_total, F.col("rule_type")).alias("type"),
         "pps",
         "bps",
+        *keys,
     )
+    if keys:
+        return shaped
     present = {row[0] for row in rules.select("rule_type").distinct().collect()}
     times = grid.select("tick").distinct()
     for _ in range(len(TYPE_ORDER) - len(present)):

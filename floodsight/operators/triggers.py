@@ -2,7 +2,8 @@
 
 Input `rates`: (rule_id, tick, pps, bps in bytes/s[, dst_ip]), one row per rule and tick with
 traffic; an absent tick has rate 0. Rules carry thresholds and periods; rules are evaluated
-from `first_tick` on, when nothing has been "good" yet.
+from `first_tick` on, when nothing has been "good" yet. It is the second tick of the traffic, or of
+the version that a rule belongs to; there is no default for it here, as rates don't tell it.
 
 A threshold fires when its rate is above it and more than `period` ticks went by since the last
 good tick or the last firing. A rule with one threshold has a closed form over its runs of
@@ -22,18 +23,17 @@ from floodsight.session import broadcast_if_small
 _LIMITS = ["pps_th", "bps_th", "pps_period", "bps_period", "first_tick"]
 
 
-def with_limits(rates: DataFrame, rules: DataFrame, first_tick: int = 0) -> DataFrame:
-    """Join thresholds; rules may bring their own `first_tick`."""
-    limits = with_rule_id(rules)
-    if "first_tick" not in rules.columns:
-        limits = limits.withColumn("first_tick", F.lit(first_tick).cast("bigint"))
+def with_limits(rates: DataFrame, rules: DataFrame, first_tick: int) -> DataFrame:
+    """Join thresholds; rules that bring a `first_tick` of their own (see `with_books`) keep it."""
+    own = F.col("first_tick") if "first_tick" in rules.columns else F.lit(None)
+    limits = with_rule_id(rules).withColumn("first_tick", F.coalesce(own, F.lit(first_tick)).cast("bigint"))
     # By rule id alone a busy rule would be one task, so the rules come to the rates.
     limits = broadcast_if_small(limits.select("rule_id", *_LIMITS))
     joined = rates.join(limits, "rule_id")
     return joined.filter(F.col("tick") >= F.col("first_tick"))
 
 
-def above(rates: DataFrame, rules: DataFrame, first_tick: int = 0) -> DataFrame:
+def above(rates: DataFrame, rules: DataFrame, first_tick: int) -> DataFrame:
     """Rows above a threshold, with `pps_above` and `bps_above`; both comparisons are strict."""
     df = with_limits(rates, rules, first_tick)
     df = df.withColumns(
@@ -72,7 +72,7 @@ _BOTH = "pps_th > 0 AND bps_th > 0"
 
 
 def single_alarms(
-    rates: DataFrame, rules: DataFrame, first_tick: int = 0, width: int = SEGMENT_WIDTH
+    rates: DataFrame, rules: DataFrame, first_tick: int, width: int = SEGMENT_WIDTH
 ) -> DataFrame:
     """Due ticks of rules with one threshold; `trigger` is pps or bps."""
     due = _due(above(rates, rules, first_tick).filter(_ONE), width).filter("due")
@@ -80,7 +80,7 @@ def single_alarms(
 
 
 def dual_alarms(
-    rates: DataFrame, rules: DataFrame, first_tick: int = 0, width: int = SEGMENT_WIDTH
+    rates: DataFrame, rules: DataFrame, first_tick: int, width: int = SEGMENT_WIDTH
 ) -> DataFrame:
     """Due ticks of rules with both thresholds; at most one alarm per rule and tick."""
     rows = above(rates, rules, first_tick).filter(_BOTH)
@@ -97,31 +97,33 @@ def dual_alarms(
 
 def _walk_bytes(rows: DataFrame, width: int) -> DataFrame:
     """Add `bps_due`. Segments are walked apart; what a segment needs from the one before is its
-    `age`: ticks since the last good or fired one, from 0 to the period (more is the same)."""
+    `age`: ticks since the last good or fired one, from 0 to the period (more is the same). How a segment changes
+    the age is a step function, so a first pass sums up all segments apart from each other."""
     keys = ["rule_id", "_segment"]
     needed = rows.select(*keys, "tick", "bps_above", "pps_fired", "bps_period", "first_tick")
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
         return byte_walk.segment_exits(pdf.sort_values("tick"), width)
 
-    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        return byte_walk.segment_entries(pdf.sort_values("_segment"), width)
+    def entries(parts):
+        return byte_walk.segment_entries(parts, width)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         return byte_walk.segment_fires(pdf.sort_values("tick"))
 
     summary = needed.groupBy(*keys).applyInPandas(
-        exits, "rule_id int, _segment long, bps_period long, first_tick long, exits array<long>"
+        exits, "rule_id long, _segment long, bps_period long, first_tick long, exits array<struct<age:long,exit:long,slope:long>>"
     )
-    # One row per segment: a rule's whole history is few rows here.
-    started = summary.groupBy("rule_id").applyInPandas(entries, "rule_id int, _segment long, age long")
+    # A short row per segment, streamed in order: a year of ticks is some 60,000 of them.
+    ordered = summary.repartition("rule_id").sortWithinPartitions("rule_id", "_segment")
+    started = ordered.mapInArrow(entries, "rule_id long, _segment long, age long")
     flagged = needed.join(started, keys).groupBy(*keys).applyInPandas(
-        walk, "rule_id int, _segment long, tick long, bps_due boolean"
+        walk, "rule_id long, _segment long, tick long, bps_due boolean"
     )
     return rows.join(flagged, [*keys, "tick"])
 
 
-def alarms(rates: DataFrame, rules: DataFrame, first_tick: int = 0, width: int = SEGMENT_WIDTH) -> DataFrame:
+def alarms(rates: DataFrame, rules: DataFrame, first_tick: int, width: int = SEGMENT_WIDTH) -> DataFrame:
     """All alarms. An alarm that is due without a counted destination is swallowed."""
     due = single_alarms(rates, rules, first_tick, width).unionByName(
         dual_alarms(rates, rules, first_tick, width)

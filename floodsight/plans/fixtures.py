@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodsight.operators.match import RuleSet, collect_rules
+from floodsight.operators.rulesets import with_books
 from floodsight.schemas import PACKETS, RULE_TEXTS
 from floodsight.session import settle
 from floodsight.sources.rules import load_rules
@@ -12,6 +13,7 @@ from floodsight.sources.rules import load_rules
 EPOCH = 1704067200
 FIRST_TICK = 1
 RINGS = 12
+EVENT_KINDS = ("click", "error", "purchase", "signup", "view")
 
 RULE_LINES = [
     "TCP -d 203.0.113.0/28 --dport 80-443 --pps-th 10p --pps-th-period 3 --next",
@@ -44,6 +46,82 @@ def wide_rule_lines() -> list[str]:
     return lines
 
 
+def user_rule_texts(events: DataFrame) -> DataFrame:
+    """A rule for every user and kind of event, dealt to three rulesets: thousands of rules on either side of the traffic, with
+    and without ports, and a few that are wide on both sides."""
+    user, host = F.col("user_id"), (F.col("user_id") % 256).cast("string")
+    kinds = F.array(*map(F.lit, EVENT_KINDS))
+    kind = F.array_position(kinds, F.col("event_type")).cast("bigint")
+    number = user * len(EVENT_KINDS) + kind
+    dst, shape = (user % 16).cast("string"), number % 5
+    port = F.element_at(F.array(*map(F.lit, ("80", "443", "53", "22"))), (kind % 4 + 1).cast("int"))
+
+    def line(template, *values):
+        return F.format_string(template, *[value.cast("string") for value in values])
+
+    text = (
+        F.when((user < 4) & (shape == 0), line("TCP -d 0.0.0.0/0 --tcp-flag S:1 --win <%s --pps-th 3p --pps-th-period 2 --next", kind * 4096))
+        .when(shape == 0, line("TCP -s 198.51.100.%s/32 --dport %s --pps-th 1p --pps-th-period 2 --next", host, port))
+        .when(shape == 1, line("TCP -s 198.51.100.%s/30 -d 203.0.113.%s/31 --hlen >%s --bps-th 1Kb --bps-th-period 2", host, dst, 20 + kind))
+        .when(shape == 2, line("UDP -s 198.51.100.%s/28 --hlen >%s --bps-th 1Kb --bps-th-period 1", host, user % 100))
+        .when(shape == 3, line("ICMP -d 203.0.113.%s/32 --code =%s --pps-th 1p --pps-th-period 1 --next", dst, user % 3))
+        .otherwise(line("UDP -d 203.0.113.%s/32 --dport %s --pps-th 1p --pps-th-period 3", dst, port))
+    )
+    pairs = events.select("user_id", "event_type").distinct()
+    return pairs.select(F.concat(F.lit("set"), (user % 3).cast("string")).alias("ruleset_id"), number.alias("line_no"), text.alias("line"))
+
+
+def user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accepted rules of `user_rule_texts`, with books."""
+    accepted, _ = load_rules(user_rule_texts(spark.read.parquet(f"{sf_dir}/events.parquet")))
+    return settle(with_books(accepted), "user-rules")
+
+
+#: two rulesets that change with their version: thresholds go up by version modulo 3
+VERSIONED_LINES = {
+    "edge": [
+        "TCP -d 203.0.113.0/28 --dport 80-443 --pps-th %sp --pps-th-period 3 --next",
+        "TCP -d 0.0.0.0/0 --pps-th %sp --pps-th-period 4 --bps-th 16Kb --bps-th-period 6",
+        "UDP -d 203.0.113.0/24 --pps-th %sp --pps-th-period 1",
+    ],
+    "core": [
+        "TCP -s 198.51.100.0/25 --pps-th %sp --pps-th-period 2",
+        "ICMP -d 203.0.113.0/24 --pps-th %sp --pps-th-period 1",
+    ],
+}
+#: the first threshold of each line
+VERSIONED_BASE = {"edge": [6, 10, 2], "core": [5, 1]}
+#: seconds into a block of 2,000 packets at which a new version comes
+VERSIONED_START = {"edge": 50, "core": 109}
+
+
+def ruleset_versions(packets: DataFrame) -> DataFrame:
+    """(ruleset_id, version, valid_from, book): a new version of each ruleset in every block of packets; the first is always there."""
+    blocks = packets.groupBy(F.call_function("div", "pkt_id", F.lit(2000)).alias("version")).agg(F.min("ts").alias("start"))
+    out = None
+    for n, (name, start) in enumerate(VERSIONED_START.items()):
+        later = F.when(F.col("version") > 0, F.col("start") + F.make_dt_interval(secs=F.lit(start)))
+        part = blocks.select(
+            F.lit(name).alias("ruleset_id"), F.col("version").cast("int").alias("version"), later.alias("valid_from"),
+            (F.col("version") * len(VERSIONED_START) + n).cast("bigint").alias("book"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def versioned_rules(spark: SparkSession, versions: DataFrame) -> DataFrame:
+    """The rules of every version, with books and the time in which they are in force."""
+    lines = [(name, n, line, VERSIONED_BASE[name][n]) for name, own in VERSIONED_LINES.items() for n, line in enumerate(own)]
+    table = spark.createDataFrame(lines, "ruleset_id string, line_no long, line string, base long")
+    texts = versions.select("ruleset_id", "version").join(F.broadcast(table), "ruleset_id")
+    line = F.replace("line", F.lit("%s"), (F.col("base") + F.col("version") % 3).cast("string"))
+    texts = texts.select(F.concat_ws("@", "ruleset_id", "version").alias("ruleset_id"), "line_no", line.alias("line"))
+    accepted, _ = load_rules(texts)
+    named = F.split("ruleset_id", "@")
+    accepted = accepted.withColumns({"version": named[1].cast("int"), "ruleset_id": named[0]})
+    return settle(with_books(accepted, versions, EPOCH), "versioned-rules")
+
+
 def packet_columns() -> dict[str, Column]:
     """Packet columns over an `events` table; `tick` starts at 0."""
     event, uid, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")

@@ -184,6 +184,67 @@ FROM (SELECT list_rank, CAST(sum(pps) AS BIGINT) AS pps, CAST(sum(bps) AS BIGINT
         CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes FROM per_rule GROUP BY list_rank)"""
 
 
+# A rule for every user and kind of event, in three rulesets.
+_USER_HITS = """
+pairs AS (SELECT DISTINCT user_id AS u, CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4
+    ELSE 5 END AS k FROM events),
+shaped AS (SELECT 'set' || u % 3 AS ruleset_id, u, k, u * 5 + k AS line_no, (u * 5 + k) % 5 AS shape, 3325256704 + u % 256 AS s,
+    3405803776 + u % 16 AS d, [80, 443, 53, 22][k % 4 + 1] AS port FROM pairs),
+user_rules AS (SELECT ruleset_id, proto, next_rule, u, k, s, d, port, shape,
+    row_number() OVER (PARTITION BY ruleset_id, proto ORDER BY line_no) - 1 AS rule_no
+  FROM (SELECT *, CASE WHEN shape IN (0, 1) THEN 6 WHEN shape = 3 THEN 1 ELSE 17 END AS proto, shape IN (0, 3) AS next_rule FROM shaped)),
+user_hits AS (SELECT p.pkt_id, r.ruleset_id, r.proto, r.rule_no, r.next_rule FROM packets p JOIN user_rules r ON p.proto = r.proto AND CASE
+    WHEN shape = 0 AND u < 4 THEN p.dst_ip <> 0 AND p.tcp_flags & 16 = 16 AND p.win < k * 4096
+    WHEN shape = 0 THEN p.src_ip = s AND p.dport = port
+    WHEN shape = 1 THEN p.src_ip BETWEEN s - s % 4 AND s - s % 4 + 3 AND p.dst_ip BETWEEN d - d % 2 AND d - d % 2 + 1 AND p.tcp_hlen > 20 + k
+    WHEN shape = 2 THEN p.src_ip BETWEEN s - s % 16 AND s - s % 16 + 15 AND p.udp_len > u % 100
+    WHEN shape = 3 THEN p.dst_ip = d AND p.icmp_code = u % 3
+    ELSE p.dst_ip = d AND p.dport = port END),
+user_stops AS (SELECT pkt_id, ruleset_id, min(rule_no) AS stop FROM user_hits WHERE NOT next_rule GROUP BY ALL)"""
+
+_USER_MATCHES = """SELECT pkt_id, ruleset_id, CASE proto WHEN 6 THEN 'tcp' WHEN 17 THEN 'udp' ELSE 'icmp' END AS rule_type, CAST(rule_no AS INTEGER) AS rule_no
+  FROM user_hits LEFT JOIN user_stops USING (pkt_id, ruleset_id) WHERE stop IS NULL OR rule_no <= stop"""
+
+# Two rulesets whose versions come and go: each version's rules are walked on their own, from the tick after they came.
+_VERSIONED = """
+base(ruleset_id, rule_type, rule_no, proto, side, lo, hi, dlo, dhi, pps_base, bps_th, pps_period, bps_period, next_rule) AS (VALUES
+ ('edge', 'tcp', 0, 6, 'd', 3405803776, 3405803791, 80, 443, 6, 0, 3, 10, TRUE),
+ ('edge', 'tcp', 1, 6, 'd', 1, 4294967295, NULL, NULL, 10, 2000, 4, 6, FALSE),
+ ('edge', 'udp', 0, 17, 'd', 3405803776, 3405804031, NULL, NULL, 2, 0, 1, 10, FALSE),
+ ('core', 'tcp', 0, 6, 's', 3325256704, 3325256831, NULL, NULL, 5, 0, 2, 10, FALSE),
+ ('core', 'icmp', 0, 1, 'd', 3405803776, 3405804031, NULL, NULL, 1, 0, 1, 10, FALSE)),
+versions AS (SELECT ruleset_id, version, since, lead(since) OVER (PARTITION BY ruleset_id ORDER BY version) AS until
+  FROM (SELECT v.ruleset_id, version, CASE WHEN version > 0 THEN start + v.later END AS since
+    FROM (SELECT CAST(pkt_id // 2000 AS INTEGER) AS version, min(tick) AS start FROM packets GROUP BY ALL), (VALUES ('edge', 50), ('core', 109)) v(ruleset_id, later))),
+book AS (SELECT b.*, v.version, v.since, v.until, b.pps_base + v.version % 3 AS pps_th FROM base b JOIN versions v USING (ruleset_id)),
+v_hits AS (SELECT p.pkt_id, p.tick, p.dst_ip, p.frame_len, r.ruleset_id, r.version, r.rule_type, r.rule_no, r.next_rule FROM packets p JOIN book r
+  ON p.proto = r.proto AND CASE WHEN side = 'd' THEN p.dst_ip ELSE p.src_ip END BETWEEN lo AND hi AND (dlo IS NULL OR p.dport BETWEEN dlo AND dhi)
+   AND (since IS NULL OR p.tick >= since) AND (until IS NULL OR p.tick < until)),
+v_stops AS (SELECT pkt_id, ruleset_id, version, min(rule_no) AS stop FROM v_hits WHERE NOT next_rule GROUP BY ALL),
+v_matched AS (SELECT h.* FROM v_hits h LEFT JOIN v_stops s USING (pkt_id, ruleset_id, version) WHERE stop IS NULL OR rule_no <= stop),
+v_ticks AS (SELECT ruleset_id, version, rule_type, rule_no, tick, count(*) AS pps, CAST(sum(frame_len) AS BIGINT) AS bps FROM v_matched GROUP BY ALL),
+v_top AS (SELECT ruleset_id, version, rule_type, rule_no, tick, arg_max(dst_ip, n * 4294967296 - dst_ip) AS dst_ip
+  FROM (SELECT ruleset_id, version, rule_type, rule_no, tick, dst_ip, count(*) AS n FROM v_matched GROUP BY ALL) GROUP BY ALL),
+v_grid AS (SELECT r.*, t.tick, coalesce(k.pps, 0) AS pps, coalesce(k.bps, 0) AS bps
+  FROM book r JOIN (SELECT unnest(range(0, (SELECT max(tick) + 1 FROM packets))) AS tick) t ON t.tick >= coalesce(since, 0) AND (until IS NULL OR t.tick < until)
+  LEFT JOIN v_ticks k USING (ruleset_id, version, rule_type, rule_no, tick)),
+v_walk AS (
+SELECT ruleset_id, version, rule_type, rule_no, CAST(coalesce(since, 0) AS BIGINT) AS tick, CAST(-1000000 AS BIGINT) AS pps_good,
+  CAST(-1000000 AS BIGINT) AS bps_good, CAST(NULL AS VARCHAR) AS fired FROM book
+UNION ALL
+SELECT ruleset_id, version, rule_type, rule_no, tick,
+  CASE WHEN pps <= pps_th OR pps_fires THEN tick ELSE pps_good END,
+  CASE WHEN bps_th > 0 AND NOT pps_fires AND (bps <= bps_th OR tick - bps_good > bps_period) THEN tick ELSE bps_good END,
+  CASE WHEN pps_fires THEN 'pps' WHEN bps_th > 0 AND bps > bps_th AND tick - bps_good > bps_period THEN 'bps' END
+FROM (SELECT g.*, w.pps_good, w.bps_good, g.pps > g.pps_th AND g.tick - w.pps_good > g.pps_period AS pps_fires
+  FROM v_walk w JOIN v_grid g ON g.ruleset_id = w.ruleset_id AND g.version = w.version AND g.rule_type = w.rule_type AND g.rule_no = w.rule_no AND g.tick = w.tick + 1))"""
+
+_VERSION_ALARMS = """SELECT w.ruleset_id, w.version, w.rule_type, w.rule_no, w.tick, w.fired AS trigger,
+    concat_ws('.', dst_ip // 16777216, dst_ip // 65536 % 256, dst_ip // 256 % 256, dst_ip % 256) AS dst, pps, bps * 8 AS bps
+  FROM v_walk w JOIN v_ticks USING (ruleset_id, version, rule_type, rule_no, tick) JOIN v_top USING (ruleset_id, version, rule_type, rule_no, tick)
+  WHERE w.fired IS NOT NULL"""
+
+
 # The rule lines made from `events`, and what each must become.
 def _made(newer: bool) -> str:
     bump = "CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END" if newer else "0"
@@ -305,6 +366,9 @@ SQL = {
     "join_rules_first": _over("matched", _FIRST),
     "join_rules_first_indexed": _over("matched", _FIRST),
     "join_rules_first_joined": _over("matched", _FIRST),
+    "join_rules_sets": _over("packets", _USER_MATCHES, _USER_HITS),
+    "join_rules_sets_indexed": _over("packets", _USER_MATCHES, _USER_HITS),
+    "join_rules_sets_joined": _over("packets", _USER_MATCHES, _USER_HITS),
     "semi_captured": _over("matched", "SELECT pkt_id FROM stops"),
     "anti_unmatched": _over(
         "matched", "SELECT pkt_id FROM packets p WHERE NOT EXISTS (SELECT 1 FROM stops s WHERE s.pkt_id = p.pkt_id)"
@@ -366,7 +430,7 @@ SQL = {
     ),
     "trig_single": _over("alarms", _DUE + " WHERE pps_th = 0 OR bps_th = 0"),
     "trig_dual": _over("alarms", _DUE + " WHERE pps_th > 0 AND bps_th > 0"),
-    "trig_dst_guard": _over("alarms", _DUE + " WHERE pps_th = 0 OR bps_th = 0"),
+    "trig_dst_guard": _over("alarms", _DUE + " WHERE (pps_th = 0 OR bps_th = 0) AND tick % 3 <> 0"),
     "top_dst": _over("ticks", "SELECT rule_type, rule_no, tick, dst FROM top_dst"),
     "ord_rules": _over("grid", _totals("packets", "bytes"), _PER_RULE),
     "topk_dst": _over(
@@ -390,6 +454,7 @@ SQL = {
     ),
     "ruleset_diff": _DIFF,
     "rep_show_rules": _over("grid", _SHOW, _PER_RULE),
+    "rep_alarms_versions": _over("packets", _VERSION_ALARMS, _VERSIONED),
     "rep_alarms": _over(
         "alarms",
         """SELECT tick, rule_type, rule_no, trigger, dst, pps, bps * 8 AS bps, comment, 'syslog' AS action_type,

@@ -13,6 +13,7 @@ from floodsight.operators.capture import CAPTURE_SECONDS, interval_capture
 from floodsight.operators.counters import dst_counts, tick_profile, with_dst_text, with_totals
 from floodsight.operators.match import match_packets, with_rule_id, with_rule_names
 from floodsight.operators.rates import tick_rates
+from floodsight.operators.rulesets import with_books
 from floodsight.operators.triggers import alarms
 from floodsight.schemas import PROTO, TYPE_ORDER
 from floodsight.session import broadcast_if_small, settle
@@ -23,10 +24,15 @@ def rule_tick_rates(packets: DataFrame, rules: DataFrame) -> DataFrame:
     return tick_rates(tick_profile(dst_counts(match_packets(packets, rules))))
 
 
-def alarm_report(rates: DataFrame, rules: DataFrame, first_tick: int = 0, epoch: int = 0, **options) -> DataFrame:
+def alarm_report(rates: DataFrame, rules: DataFrame, first_tick: int, epoch: int = 0, **options) -> DataFrame:
     """One row per alarm, with what is written about it. `bps` is in bits. `epoch` is the time of tick 0."""
-    due = alarms(rates, rules, first_tick, **options)
-    about = with_rule_id(rules).select("rule_id", "comment", "action_type", "action_param")
+    return written_alarms(alarms(rates, rules, first_tick, **options), rules, epoch)
+
+
+def written_alarms(due: DataFrame, rules: DataFrame, epoch: int = 0) -> DataFrame:
+    """Due alarms (rule_id, tick, pps, bps in bytes, dst_ip, trigger) with what is written about them."""
+    version = F.col("version") if "version" in rules.columns else F.lit(None)
+    about = with_rule_id(rules).select("rule_id", "ruleset_id", version.cast("int").alias("version"), "comment", "action_type", "action_param")
     report = with_dst_text(with_rule_names(due.join(about, "rule_id")))
     return report.select(
         "tick",
@@ -42,16 +48,21 @@ def alarm_report(rates: DataFrame, rules: DataFrame, first_tick: int = 0, epoch:
         "action_type",
         "action_param",
         alarm_text(F.col("rule_type"), F.col("dst"), F.col("comment")).alias("text"),
+        "ruleset_id",
+        "version",
     )
 
 
-def traffic_alarms(packets: DataFrame, rules: DataFrame, first_tick: int | None = None, epoch: int = 0) -> DataFrame:
+def traffic_alarms(
+    packets: DataFrame, rules: DataFrame, first_tick: int | None = None, epoch: int = 0, versions: DataFrame | None = None
+) -> DataFrame:
     """Packets to the alarm report. Without `first_tick`, rules are evaluated from the second tick of the packets on.
 
-    A table with several rulesets raises ValueError: rules are known by list and number, which those would share.
+    Each ruleset of the table meets all packets. With `versions` (see `with_books`) a ruleset's version meets the packets of
+    its time, and starts afresh: its first tick isn't evaluated.
     """
-    if len(rules.select("ruleset_id").distinct().take(2)) > 1:
-        raise ValueError("give the rules of one ruleset at a time")
+    if "book" not in rules.columns:
+        rules = settle(with_books(rules, versions, epoch), "rules")
     if first_tick is None:
         earliest = packets.agg(F.min("tick")).first()[0]
         first_tick = 0 if earliest is None else earliest + 1
@@ -90,22 +101,25 @@ def list_rank(rule_type: Column) -> Column:
 
 
 def ordered_rules(per_rule: DataFrame, sums: list[str]) -> DataFrame:
-    """Rows per rule (`rule_type`, `rule_no`, sums), list by list, each list ended by its total."""
-    rows = with_totals(per_rule, sums)
-    return rows.orderBy(list_rank(F.col("rule_type")), F.col("rule_no").asc_nulls_last())
+    """Rows per rule (`rule_type`, `rule_no`, sums), list by list, each list ended by its total; book by book where there are books."""
+    keys = ["book"] if "book" in per_rule.columns else []
+    rows = with_totals(per_rule, sums, tuple(keys))
+    return rows.orderBy(*keys, list_rank(F.col("rule_type")), F.col("rule_no").asc_nulls_last())
 
 
 def show_rules(counters: DataFrame, rates_now: DataFrame, rules: DataFrame) -> DataFrame:
     """The rule listing as (list_rank, position, line): a heading, the rules and a total per list.
 
-    `counters`: (rule_id, packets, bytes); `rates_now`: (rule_id, pps, bps in bytes) of one tick.
+    `counters`: (rule_id, packets, bytes); `rates_now`: (rule_id, pps, bps in bytes) of one tick. Rules with a `book` have a
+    listing for each book.
     """
     zero = F.lit(0).cast("bigint")
-    listed = with_rule_id(rules).select("rule_id", "rule_type", "rule_no", "text_rule")
+    keys = ["book"] if "book" in rules.columns else []
+    listed = with_rule_id(rules).select("rule_id", "rule_type", "rule_no", "text_rule", *keys)
     rows = listed.join(counters, "rule_id", "left").join(rates_now.select("rule_id", "pps", "bps"), "rule_id", "left")
     rows = rows.withColumns({name: F.coalesce(name, zero) for name in ("packets", "bytes", "pps", "bps")})
-    longest = listed.groupBy("rule_type").agg(F.max(F.length("text_rule")).alias("_width"))
-    rows = rows.join(longest, "rule_type")
+    longest = listed.groupBy(*keys, "rule_type").agg(F.max(F.length("text_rule")).alias("_width"))
+    rows = rows.join(longest, [*keys, "rule_type"])
 
     def amounts():
         return F.concat(
@@ -121,20 +135,25 @@ def show_rules(counters: DataFrame, rates_now: DataFrame, rules: DataFrame) -> D
         F.concat(number, F.lit(":   "), F.rpad("text_rule", F.col("_width"), " "), F.lit("  : "), amounts()).alias(
             "line"
         ),
+        *keys,
     )
     lists = rules.sparkSession.createDataFrame([(name,) for name in TYPE_ORDER], "rule_type string")
-    sums = rows.groupBy("rule_type").agg(*[F.sum(name).alias(name) for name in ("packets", "bytes", "pps", "bps")])
-    totals = lists.join(sums, "rule_type", "left")
+    if keys:
+        lists = listed.select(*keys).distinct().crossJoin(F.broadcast(lists))  # three lists a book
+    sums = rows.groupBy(*keys, "rule_type").agg(*[F.sum(name).alias(name) for name in ("packets", "bytes", "pps", "bps")])
+    totals = lists.join(sums, [*keys, "rule_type"], "left")
     totals = totals.withColumns({name: F.coalesce(name, zero) for name in ("packets", "bytes", "pps", "bps")})
     last = F.lit(2**31).cast("bigint")
     total_lines = totals.select(
         list_rank(F.col("rule_type")).alias("list_rank"),
         last.alias("position"),
         F.concat(F.lit("Total: "), amounts()).alias("line"),
+        *keys,
     )
     headings = lists.select(
         list_rank(F.col("rule_type")).alias("list_rank"),
         F.lit(-1).cast("bigint").alias("position"),
         F.concat(F.upper("rule_type"), F.lit(" rules (num, rule, counter):")).alias("line"),
+        *keys,
     )
-    return headings.unionByName(rule_lines).unionByName(total_lines).orderBy("list_rank", "position")
+    return headings.unionByName(rule_lines).unionByName(total_lines).orderBy(*keys, "list_rank", "position")

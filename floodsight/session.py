@@ -3,10 +3,12 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -33,7 +35,19 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(stored: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a stored table for broadcast if it has at most `rows` rows; else leave the join to Spark,
-    whose adaptive joins split skewed keys. The count is a job over the (small, stored) table."""
-    return F.broadcast(stored) if stored.count() <= rows else stored
+def broadcast_if_small(stored: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a stored table for broadcast if it has at most `rows` rows and `size` bytes; else leave the join to Spark,
+    whose adaptive joins split skewed keys. Both are measured in a job over the (small, stored) table."""
+    found = stored.agg(F.count("*"), F.coalesce(F.sum(row_bytes(stored)), F.lit(0))).first()
+    return F.broadcast(stored) if found[0] <= rows and found[1] <= size else stored
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """What a row takes in Spark's row format: eight bytes a column, and the bytes of texts and lists."""
+    size = F.lit(8 * (1 + len(df.columns))).cast("bigint")
+    for field in df.schema.fields:
+        if isinstance(field.dataType, StringType | BinaryType):
+            size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, ArrayType | StructType):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0))
+    return size

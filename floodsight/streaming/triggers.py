@@ -11,7 +11,7 @@ from floodsight.streaming.ticks import tick_profile
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STATE = "pps_good bigint, bps_good bigint, last_tick bigint"
-_ALARMS = "rule_id int, tick bigint, pps bigint, bps bigint, dst_ip bigint, trigger string"
+_ALARMS = "rule_id long, tick bigint, pps bigint, bps bigint, dst_ip bigint, trigger string"
 
 
 class TriggerProcessor(StatefulProcessor):

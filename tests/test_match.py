@@ -3,6 +3,7 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 import walks
 from floodsight.operators import match
@@ -112,14 +113,48 @@ def test_match_packets_falls_back_by_size(spark, monkeypatch):
     rules = frame(spark, [random_rule(rng, "udp", n) for n in range(6)], RULES)
     traffic = frame(spark, [random_packet(rng, n) for n in range(100)], PACKETS)
     compiled = pairs(match.match_packets(traffic, rules))
-    monkeypatch.setattr(match, "collect_rules", lambda table: None)
+    monkeypatch.setattr(match, "first_match", None)
+    collect, calls = match.collect_rules, []
+    monkeypatch.setattr(match, "collect_rules", lambda table: calls.append(1) or (None if len(calls) % 2 else collect(table)))
     assert pairs(match.match_packets(traffic, rules)) == compiled
     monkeypatch.setattr(match, "INDEX_ENTRIES", 0)
+    calls.append(1)
     with pytest.raises(ValueError, match="too many"):
         match.first_match_indexed(traffic, rules)
     assert pairs(match.match_packets(traffic, rules)) == compiled
 
 
+@pytest.mark.parametrize("lanes", [0, 1, 4])
+def test_index_with_many_rules_at_a_key_books_and_spans(spark, monkeypatch, lanes):
+    """Rules of both sides, several books, each with a span of time, a few keys with very many rules."""
+    rng = random.Random(9)
+    rules = []
+    for book in range(3):
+        for kind in ("tcp", "udp", "icmp"):
+            for number in range(30):
+                rule = random_rule(rng, kind, number)
+                side = rng.choice(["src", "dst"])
+                if number < 27:
+                    rule[f"{side}_lo"] = rng.choice([1, 254, 256, 400])
+                    rule[f"{side}_hi"] = rule[f"{side}_lo"] + rng.choice([0, 0, 1, 200])
+                rules.append(rule | {"book": book, "from_us": [None, 100, 250][book], "to_us": [150, None, 10_000][book]})
+    packets = [random_packet(rng, n) for n in range(300)]
+    expected = []
+    for packet in packets:
+        for book in range(3):
+            mine = [r for r in rules if r["book"] == book and walks.PROTO[r["rule_type"]] == packet["proto"]]
+            if mine and (mine[0]["from_us"] or 0) <= packet["pkt_id"] < (mine[0]["to_us"] or 10**9):
+                expected += [(packet["pkt_id"], book, *hit) for hit in walks.first_match(mine, packet)[0]]
+    schema = RULES.fieldNames()
+    table = spark.createDataFrame([tuple(r[n] for n in schema) + (r["book"], r["from_us"], r["to_us"]) for r in rules],
+        StructType([*RULES.fields, *(StructField(n, LongType()) for n in ("book", "from_us", "to_us"))]))
+    traffic = frame(spark, packets, PACKETS).withColumn("ts", F.timestamp_micros("pkt_id"))
+    monkeypatch.setattr(match, "LANES", lanes)
+    for way in (match.first_match_indexed, match.first_match_joined, lambda p, r: match.first_match(p, match.collect_rules(r, 1000))):
+        named = with_rule_names(way(traffic, table).select("pkt_id", "rule_id"), book=True)
+        assert sorted((r.pkt_id, r.book, r.rule_type, r.rule_no) for r in named.collect()) == sorted(expected)
+
+
 def test_compiled_match_neither_shuffles_nor_leaves_the_jvm(spark):
     rng = random.Random(7)
     ruleset = match.collect_rules(frame(spark, [random_rule(rng, "tcp", n) for n in range(40)], RULES))

@@ -1,7 +1,7 @@
-import pytest
 from pyspark.sql import functions as F
 
-from floodsight.operators.match import index_entries
+from floodsight.operators.match import first_match_indexed, first_match_joined, index_entries, match_packets, with_rule_id, with_rule_names
+from floodsight.operators.rulesets import with_books
 from floodsight.plans import fixtures, reports
 from floodsight.sinks import alarm_log
 from floodsight.sources.rules import load_rules
@@ -35,7 +35,18 @@ def test_rules_are_evaluated_from_the_second_tick_on(spark):
     assert reports.traffic_alarms(packets.limit(0), rules).count() == 0
 
 
-def test_several_rulesets_are_refused(spark):
-    rules = fixtures.rules(spark)
-    with pytest.raises(ValueError):
-        reports.traffic_alarms(None, rules.union(rules.withColumn("ruleset_id", F.lit("other"))))
+def test_each_ruleset_of_a_table_meets_all_packets(spark):
+    packets, rules = fixtures.packets(spark, "/root/testdata/sf0.01"), fixtures.rules(spark)
+    other = fixtures.rules(spark, fixtures.RULE_LINES[2:5]).withColumn("ruleset_id", F.lit("other"))
+    alone = [match_packets(packets, table).count() for table in (rules, other)]
+    both = with_books(rules.unionByName(other))
+    assert [match_packets(packets, both).count(), first_match_indexed(packets, both).count(), first_match_joined(packets, both).count()] == [sum(alone)] * 3
+    report = reports.traffic_alarms(packets, rules.unionByName(other), fixtures.FIRST_TICK, fixtures.EPOCH)
+    counts = {row["ruleset_id"]: row["count"] for row in report.groupBy("ruleset_id").count().collect()}
+    assert counts["main"] == 103 and counts["other"] > 0
+
+
+def test_rule_numbers_above_a_million_and_books(spark):
+    rules = spark.createDataFrame([("tcp", 2_000_000_000, 5), ("icmp", 1_000_001, 2**30 - 1)], "rule_type string, rule_no int, book long")
+    named = with_rule_names(with_rule_id(rules).select("rule_id"), book=True)
+    assert sorted(map(tuple, named.select("rule_type", "rule_no", "book").collect())) == sorted(map(tuple, rules.collect()))
