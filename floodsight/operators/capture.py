@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from floodsight.session import broadcast_if_small, settle
+
 # A capture ends after this many packets or seconds.
 CAPTURE_PACKETS = 1000
 CAPTURE_SECONDS = 60
@@ -33,6 +35,23 @@ def _bucket(column: str, seconds: int):
     return F.call_function("div", F.unix_seconds(column), F.lit(seconds))
 
 
+def first_captured(packets: DataFrame, alarms: DataFrame, k: int = CAPTURE_PACKETS, seconds: int = CAPTURE_SECONDS) -> DataFrame:
+    """`limit_capture(interval_capture(..))` without joining a flood to its alarms.
+
+    Packets of attacked hosts are first cut to the first k of each protocol, host and second; no alarm can take more of a second
+    than these. So at most k packets for each of its seconds meet an alarm, however large the flood is and however many alarms
+    overlap. Alarms are of whole seconds (others fail the job). `alarms` is a stored table.
+    """
+    micros = F.unix_micros("ts")
+    odd = F.raise_error(F.lit("an alarm is not at a whole second")).cast("bigint")
+    second = F.when(micros % 1_000_000 == 0, F.unix_seconds("ts")).otherwise(odd)
+    attacked = alarms.select("proto", "dst_ip", F.explode(F.sequence(second, second + seconds)).alias("_second")).distinct()
+    busy = packets.withColumn("_second", F.unix_seconds("ts")).join(broadcast_if_small(settle(attacked, "attacked")), ["proto", "dst_ip", "_second"], "left_semi")
+    order = Window.partitionBy("proto", "dst_ip", "_second").orderBy("ts", "pkt_id")
+    first = busy.withColumn("_turn", F.row_number().over(order)).filter(F.col("_turn") <= k).select(*packets.columns)
+    return limit_capture(interval_capture(first, broadcast_if_small(alarms), seconds), k)
+
+
 def limit_capture(captured: DataFrame, k: int = CAPTURE_PACKETS) -> DataFrame:
     """The first k packets of each alarm.
 

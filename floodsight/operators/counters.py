@@ -4,7 +4,7 @@ The group keys hold `rule_id` (a LONG), so map-side aggregation collapses a floo
 shuffle, however hot its rule or its destination is.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodsight.functions.addresses import ip_text
@@ -67,13 +67,17 @@ def tick_profile(counts: DataFrame, keys: tuple[str, ...] = ("rule_id", "tick"))
     Ties go to the lowest address. Count and address are packed into one LONG, which keeps this a hash
     aggregate with map-side combine. A destination with 2^31 packets or more at one key fails the job.
     """
+    return counts.groupBy(*keys).agg(
+        F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), busiest().alias("dst_ip")
+    )
+
+
+def busiest() -> Column:
+    """The aggregate that finds the destination with most `packets`."""
     beyond = F.raise_error(F.lit("2^31 packets or more to one destination at one key")).cast("bigint")
     count = F.when(F.col("packets") < 2**31, F.col("packets")).otherwise(beyond)
     packed = count * ADDRESSES + (ADDRESSES - 1 - F.col("dst_ip"))
-    busiest = ADDRESSES - 1 - F.pmod(F.max(packed), F.lit(ADDRESSES))
-    return counts.groupBy(*keys).agg(
-        F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), busiest.alias("dst_ip")
-    )
+    return ADDRESSES - 1 - F.pmod(F.max(packed), F.lit(ADDRESSES))
 
 
 def top_destinations(counts: DataFrame, k: int) -> DataFrame:

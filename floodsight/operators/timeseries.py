@@ -32,18 +32,18 @@ def sample_grid(rules: DataFrame, first: int, last: int, period: int) -> DataFra
 
 
 def metric_points(
-    rates: DataFrame, rules: DataFrame, period: int = MONITOR_PERIOD, epoch: int = 0, since: int | None = None
+    rates: DataFrame, rules: DataFrame, period: int = MONITOR_PERIOD, epoch: int = 0, since: int | None = None, until: int | None = None
 ) -> DataFrame:
     """Points of every `period` seconds: the current rate of each rule (0 without traffic) and the
     total of each list; bits per second. A list without rules has a total of type ``none``. Rules with a `book`
     have points with one, and lists for each book.
 
     `rates` is a stored table: its first and last tick are looked up at once. `epoch` is the Unix
-    time of tick 0; `since` starts the points earlier than the first rate.
+    time of tick 0; `since` and `until` start and end the points elsewhere than with the first and last rate.
     """
     ends = rates.agg(F.min("tick").alias("first"), F.max("tick").alias("last")).first()
     first, last = (0, -1) if ends["first"] is None else (ends["first"], ends["last"])
-    first = first if since is None else since
+    first, last = first if since is None else since, last if until is None or ends["first"] is None and since is None else until
     grid = sample_grid(rules, first, last, period)
     sampled = rates.filter(F.pmod("tick", F.lit(period)) == 0).select("rule_id", "tick", "pps", "bps")
     zero = F.lit(0).cast("bigint")

@@ -20,16 +20,19 @@ from floodsight.operators.match import with_rule_id
 from floodsight.operators.segments import SEGMENT_WIDTH, island_start, segment_of
 from floodsight.session import broadcast_if_small
 
-_LIMITS = ["pps_th", "bps_th", "pps_period", "bps_period", "first_tick"]
+LIMITS = ["pps_th", "bps_th", "pps_period", "bps_period", "first_tick"]
 
 
-def with_limits(rates: DataFrame, rules: DataFrame, first_tick: int) -> DataFrame:
-    """Join thresholds; rules that bring a `first_tick` of their own (see `with_books`) keep it."""
+def limits_of(rules: DataFrame, first_tick: int) -> DataFrame:
+    """(rule_id, thresholds, periods, first_tick); rules that bring a `first_tick` of their own (see `with_books`) keep it."""
     own = F.col("first_tick") if "first_tick" in rules.columns else F.lit(None)
-    limits = with_rule_id(rules).withColumn("first_tick", F.coalesce(own, F.lit(first_tick)).cast("bigint"))
+    return with_rule_id(rules).withColumn("first_tick", F.coalesce(own, F.lit(first_tick)).cast("bigint")).select("rule_id", *LIMITS)
+
+
+def with_limits(rates: DataFrame, rules: DataFrame, first_tick: int) -> DataFrame:
+    """Join thresholds."""
     # By rule id alone a busy rule would be one task, so the rules come to the rates.
-    limits = broadcast_if_small(limits.select("rule_id", *_LIMITS))
-    joined = rates.join(limits, "rule_id")
+    joined = rates.join(broadcast_if_small(limits_of(rules, first_tick)), "rule_id")
     return joined.filter(F.col("tick") >= F.col("first_tick"))
 
 

@@ -10,24 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodsight.functions.predicates import compare, flags_match, in_range
-from floodsight.operators import capture, counters, match, rates, rulesets, timeseries, triggers
+from floodsight.operators import counters, match, rates, rulesets, timeseries, triggers
 from floodsight.operators.match import with_rule_names
 from floodsight.plans import fixtures, reports
-from floodsight.schemas import PACKETS, RULE_TEXTS, TYPE_ORDER
+from floodsight.schemas import FRAMES, PACKETS, RULE_TEXTS, TYPE_ORDER
 from floodsight.session import broadcast_if_small, scratch_path, settle
 from floodsight.sinks import alarm_log, line_protocol
 from floodsight.sinks.capture import write_capture
 from floodsight.sources import frames
-from floodsight.sources.packets import read_packets, store_packets
+from floodsight.sources.packets import read_packets, store_packets, with_tick
 from floodsight.sources.rules import load_rules
-from floodsight.streaming import monitor, ticks
-from floodsight.streaming.triggers import stream_alarms
+from floodsight.streaming import monitor, ticks, watermarks
+from floodsight.streaming.captures import stream_captures
+from floodsight.streaming.triggers import alarms_of_counts, closing_alarms, stream_alarms
 
 Query = Callable[[SparkSession, str], DataFrame]
 SAMPLE_PERIOD = 10
 TOP = 3
 CAPTURED = 50
 UNCOUNTED = 3
+BATCHES = 4
 
 QUERIES: dict[str, Query] = {}
 
@@ -68,7 +70,7 @@ def _stream(spark, sf_dir):
     """The `events` table as a stream of packets."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return fixtures.packets_of(events)
+    return _by_time(fixtures.packets_of(events))
 
 
 def _seconds(column):
@@ -168,12 +170,11 @@ def sink_event_lp(spark, sf_dir):
     return _written_lines(spark, line_protocol.event_lines(_alarm_report(spark, sf_dir)), "event-lines")
 
 
-def _captured(spark, sf_dir):
-    """Packets after alarms. The alarm table is stored, so its size is known before it is broadcast."""
+def _targets(spark, sf_dir):
+    """The alarms as a stored table, so its size is known before it is broadcast."""
     rules = fixtures.rules(spark)
     due = triggers.alarms(_rates(spark, sf_dir), rules, fixtures.FIRST_TICK)
-    targets = settle(reports.alarm_targets(due, rules, fixtures.EPOCH), "alarms")
-    return reports.captured_packets(_packets(spark, sf_dir), targets)
+    return settle(reports.alarm_targets(due, rules, fixtures.EPOCH), "alarms")
 
 
 def _capture_columns(captured):
@@ -186,7 +187,7 @@ def _capture_columns(captured):
 @query
 def sink_capture(spark, sf_dir):
     path = scratch_path(spark, "capture")
-    write_capture(capture.limit_capture(_captured(spark, sf_dir)), path)
+    write_capture(reports.first_captured_packets(_packets(spark, sf_dir), _targets(spark, sf_dir)), path)
     return _capture_columns(spark.read.parquet(path))
 
 
@@ -323,7 +324,7 @@ def asof_ruleset(spark, sf_dir):
 
 @query
 def interval_capture(spark, sf_dir):
-    return _capture_columns(_captured(spark, sf_dir))
+    return _capture_columns(reports.captured_packets(_packets(spark, sf_dir), _targets(spark, sf_dir)))
 
 
 # --- aggregates ---------------------------------------------------------------------------
@@ -477,7 +478,7 @@ def topk_dst(spark, sf_dir):
 
 @query
 def limit_capture(spark, sf_dir):
-    return _capture_columns(capture.limit_capture(_captured(spark, sf_dir), CAPTURED))
+    return _capture_columns(reports.first_captured_packets(_packets(spark, sf_dir), _targets(spark, sf_dir), CAPTURED))
 
 
 @query
@@ -509,6 +510,18 @@ def rep_show_rules(spark, sf_dir):
     return reports.show_rules(totals, now, rules)
 
 
+@query
+def rep_alarms_frames(spark, sf_dir):
+    """From stored frames, some of them no packets at all, to the alarm report."""
+    path = scratch_path(spark, "frames")
+    packed = fixtures.frames_of(_packets(spark, sf_dir)).select(FRAMES.fieldNames())
+    odd = packed.filter(F.unix_seconds("ts") % 5 == 0).withColumn("frame", F.substring("frame", 1, 30))
+    packed.unionByName(odd).write.parquet(path)
+    packets = with_tick(frames.frame_packets(frames.read_frames(spark, path)))
+    report = reports.traffic_alarms(packets, fixtures.rules(spark), _FIRST)
+    return _from_epoch(report).drop("time", "type", "ruleset_id", "version")
+
+
 @query
 def rep_alarms_versions(spark, sf_dir):
     """Two rulesets, each with a new version in every block of packets: counters and triggers start afresh with each."""
@@ -527,43 +540,146 @@ def rep_alarms(spark, sf_dir):
 
 
 def _drained(spark, start, name):
-    """Run a streaming job over all there is, then read what it wrote."""
-    path = scratch_path(spark, name)
-    start(path, scratch_path(spark, f"{name}-progress")).awaitTermination()
-    return spark.read.parquet(path)
+    """Run a streaming job over all there is, then read what it wrote; and where it left its progress."""
+    path, progress = scratch_path(spark, name), scratch_path(spark, f"{name}-progress")
+    start(path, progress).awaitTermination()
+    return spark.read.parquet(path), progress
+
+
+def _by_time(packets):
+    """Packets with Unix seconds as their tick, as streams have them."""
+    return with_tick(packets.drop("tick"))
+
+
+def _left_open(spark, sf_dir, progress):
+    """The packets, in batch, that a finished stream has left open."""
+    return watermarks.open_packets(_by_time(_packets(spark, sf_dir)), progress)
+
+
+def _from_epoch(df):
+    return df.withColumn("tick", F.col("tick") - fixtures.EPOCH)
+
+
+_FIRST = fixtures.EPOCH + fixtures.FIRST_TICK
 
 
 @query
 def st_tick_counts(spark, sf_dir):
-    counts = ticks.tick_counts(_stream(spark, sf_dir), fixtures.ruleset(spark), "0 seconds")
-    table = _drained(spark, lambda path, progress: monitor.run_to_table(counts, path, progress), "ticks")
-    return with_rule_names(table).withColumn("tick", F.col("tick") - fixtures.EPOCH)
+    ruleset = fixtures.ruleset(spark)
+    counts = ticks.tick_counts(_stream(spark, sf_dir), ruleset, "0 seconds")
+    table, progress = _drained(spark, lambda path, progress: monitor.run_to_table(counts, path, progress), "ticks")
+    closing = counters.rule_ticks(match.first_match(_left_open(spark, sf_dir, progress), ruleset))
+    return _from_epoch(with_rule_names(table.unionByName(closing)))
+
+
+def _stream_due(spark, sf_dir, rules):
+    """Alarms of the stream, closed."""
+    due = stream_alarms(_stream(spark, sf_dir), rules, "0 seconds", _FIRST)
+    table, progress = _drained(spark, lambda path, progress: monitor.run_to_table(due, path, progress), "alarms")
+    matched = match.match_packets(_left_open(spark, sf_dir, progress), rules)
+    rest = rates.tick_rates(counters.tick_profile(counters.dst_counts(matched)))
+    return table.unionByName(closing_alarms(triggers.with_limits(rest, rules, _FIRST), progress))
 
 
 @query
 def st_triggers(spark, sf_dir):
-    first = fixtures.EPOCH + fixtures.FIRST_TICK
-    due = stream_alarms(_stream(spark, sf_dir), fixtures.ruleset(spark), "0 seconds", first)
-    table = _drained(spark, lambda path, progress: monitor.run_to_table(due, path, progress), "alarms")
-    named = with_rule_names(counters.with_dst_text(table)).withColumn("tick", F.col("tick") - fixtures.EPOCH)
-    return named.select("rule_type", "rule_no", "tick", "pps", "bps", "dst", "trigger")
+    due = _stream_due(spark, sf_dir, fixtures.rules(spark))
+    return _from_epoch(with_rule_names(counters.with_dst_text(due))).select("rule_type", "rule_no", "tick", "pps", "bps", "dst", "trigger")
+
+
+def _event_files(spark, sf_dir):
+    """The events in BATCHES files, one after the other in time; the path, and the last second of each."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    path = scratch_path(spark, "event-files")
+    size = events.agg(F.max("event_id")).first()[0] // BATCHES + 1
+    for n in range(BATCHES):
+        part = events.filter(F.call_function("div", "event_id", F.lit(size)) == n)
+        part.coalesce(1).write.mode("append").parquet(path)
+    ends = fixtures.packets_of(events).groupBy(F.call_function("div", "pkt_id", F.lit(size)).alias("n")).agg(F.max("ts").alias("until"))
+    return path, [row["until"] for row in ends.select("n", F.unix_micros("until").alias("until")).orderBy("n").collect()]
+
+
+def _reloaded_counts(spark, sf_dir):
+    """Counts of a stream of several files while versions of the rules come in: before each batch those that its packets can
+    meet are announced."""
+    files, ends = _event_files(spark, sf_dir)
+    versions = settle(fixtures.ruleset_versions(_packets(spark, sf_dir)), "versions")
+    calls = []
+
+    def read_rules():
+        calls.append(1)
+        until = ends[min(len(calls), BATCHES) - 1]
+        return fixtures.versioned_rules(spark, versions.filter(F.col("valid_from").isNull() | (F.unix_micros("valid_from") <= until)), epoch=0)
+
+    schema = spark.read.parquet(files).schema
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(files)
+    packets = _by_time(fixtures.packets_of(events))
+
+    def start(path, progress):
+        return monitor.reloading_counts(packets, read_rules, path, progress, _FIRST)
+
+    counts, _ = _drained(spark, start, "partials")
+    return counts.drop("batch"), versions
 
 
 @query
 def st_ruleset_reload(spark, sf_dir):
-    def start(path, progress):
-        return monitor.reloading_counts(_stream(spark, sf_dir), lambda: fixtures.rules(spark), path, progress)
+    """Two rulesets whose versions come in while the stream goes on; each version counts on its own."""
+    partials, versions = _reloaded_counts(spark, sf_dir)
+    rules = fixtures.versioned_rules(spark, versions)
+    merged = counters.merge_partials([partials], ["rule_id", "tick"], rules)
+    named = with_rule_names(merged, book=True).join(broadcast_if_small(rulesets.book_names(rules)), "book").drop("book")
+    return _from_epoch(named)
 
-    partials = _drained(spark, start, "partials").drop("batch")
-    return with_rule_names(counters.merge_partials([partials], ["rule_id", "tick"], fixtures.rules(spark)))
+
+@query
+def st_alarms_reload(spark, sf_dir):
+    """Alarms of the stream of counts that `st_ruleset_reload` makes: the limits come with the counts."""
+    partials, versions = _reloaded_counts(spark, sf_dir)
+    stored = scratch_path(spark, "partials")
+    partials.write.parquet(stored)
+    due = alarms_of_counts(spark.readStream.schema(partials.schema).parquet(stored), "0 seconds")
+    table, progress = _drained(spark, lambda path, progress: monitor.run_to_table(due, path, progress), "alarms")
+    summed = partials.groupBy("rule_id", "tick", "dst_ip", *triggers.LIMITS).agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
+    rest = rates.tick_rates(counters.tick_profile(summed, ("rule_id", "tick", *triggers.LIMITS)))
+    report = reports.written_alarms(table.unionByName(closing_alarms(rest, progress)), fixtures.versioned_rules(spark, versions))
+    return _from_epoch(report).select("ruleset_id", "version", "rule_type", "rule_no", "tick", "trigger", "dst", "pps", "bps")
 
 
 @query
 def st_monitor(spark, sf_dir):
-    counts = ticks.tick_counts(_stream(spark, sf_dir), fixtures.ruleset(spark), "0 seconds")
+    ruleset, rules = fixtures.ruleset(spark), fixtures.rules(spark)
+    counts = ticks.tick_counts(_stream(spark, sf_dir), ruleset, "0 seconds")
 
     def start(path, progress):
-        return monitor.publish_rates(counts, fixtures.rules(spark), path, progress, SAMPLE_PERIOD)
+        return monitor.publish_rates(counts, rules, path, progress, SAMPLE_PERIOD)
 
-    points = _drained(spark, start, "points")
+    points, progress = _drained(spark, start, "points")
+    rest = settle(rates.tick_rates(counters.rule_ticks(match.first_match(_left_open(spark, sf_dir, progress), ruleset))), "rule-ticks")
+    points = points.drop("batch").unionByName(monitor.closing_points(rest, rules, progress, SAMPLE_PERIOD))
     return points.select(_tick("time"), "measurement", "rule", "type", "pps", "bps")
+
+
+@query
+def st_alarm_log(spark, sf_dir):
+    """Alarms of the stream as log lines, each batch in a folder that it replaces."""
+    rules = fixtures.rules(spark)
+    due = settle(_stream_due(spark, sf_dir, rules), "due")
+    stream = spark.readStream.schema(due.schema).parquet(due.inputFiles()[0].rpartition("/")[0])
+    path = scratch_path(spark, "alarm-log")
+    write = monitor.batches_into(path, alarm_log.write_alarm_log, lambda batch: reports.written_alarms(batch, rules))
+    monitor.publish(stream, write, scratch_path(spark, "log-progress")).awaitTermination()
+    return alarm_log.read_alarm_log(spark, path)
+
+
+@query
+def st_capture(spark, sf_dir):
+    """Packets and alarms as streams, joined by time."""
+    rules = fixtures.rules(spark)
+    path = scratch_path(spark, "targets")
+    due = triggers.alarms(_rates(spark, sf_dir), rules, fixtures.FIRST_TICK)
+    reports.alarm_targets(due, rules, fixtures.EPOCH).write.parquet(path)
+    targets = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    met = stream_captures(_stream(spark, sf_dir), targets, "10 seconds", "2 minutes")
+    table, _ = _drained(spark, lambda path, progress: monitor.run_to_table(met, path, progress), "captures")
+    return _capture_columns(_from_epoch(table))

@@ -109,8 +109,8 @@ def ruleset_versions(packets: DataFrame) -> DataFrame:
     return out
 
 
-def versioned_rules(spark: SparkSession, versions: DataFrame) -> DataFrame:
-    """The rules of every version, with books and the time in which they are in force."""
+def versioned_rules(spark: SparkSession, versions: DataFrame, epoch: int = EPOCH) -> DataFrame:
+    """The rules of every version, with books and the time in which they are in force; `epoch` is the Unix time of tick 0."""
     lines = [(name, n, line, VERSIONED_BASE[name][n]) for name, own in VERSIONED_LINES.items() for n, line in enumerate(own)]
     table = spark.createDataFrame(lines, "ruleset_id string, line_no long, line string, base long")
     texts = versions.select("ruleset_id", "version").join(F.broadcast(table), "ruleset_id")
@@ -119,7 +119,7 @@ def versioned_rules(spark: SparkSession, versions: DataFrame) -> DataFrame:
     accepted, _ = load_rules(texts)
     named = F.split("ruleset_id", "@")
     accepted = accepted.withColumns({"version": named[1].cast("int"), "ruleset_id": named[0]})
-    return settle(with_books(accepted, versions, EPOCH), "versioned-rules")
+    return settle(with_books(accepted, versions, epoch), "versioned-rules")
 
 
 def packet_columns() -> dict[str, Column]:

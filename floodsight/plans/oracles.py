@@ -461,15 +461,15 @@ SQL = {
              '' AS action_param,
              rule_type || '|' || dst || CASE WHEN comment = '' THEN '' ELSE '|' || comment END AS text FROM alarms""",
     ),
-    # Streams: what the watermark has closed, which is every tick but the last.
-    "st_tick_counts": _over(
-        "ticks", "SELECT rule_type, rule_no, tick, packets, bytes FROM ticks WHERE tick < (SELECT max(tick) FROM packets)"
+    # Streams: all there is, as in batch.
+    "st_tick_counts": _over("ticks", "SELECT rule_type, rule_no, tick, packets, bytes FROM ticks"),
+    "st_triggers": _over("alarms", "SELECT rule_type, rule_no, tick, pps, bps, dst, trigger FROM alarms"),
+    "st_ruleset_reload": _over(
+        "packets", "SELECT ruleset_id, version, rule_type, rule_no, tick, pps AS packets, bps AS bytes FROM v_ticks", _VERSIONED
     ),
-    "st_triggers": _over(
-        "alarms",
-        """SELECT rule_type, rule_no, tick, pps, bps, dst, trigger FROM alarms
-           WHERE tick < (SELECT max(tick) FROM packets)""",
-    ),
-    "st_ruleset_reload": _over("ticks", "SELECT rule_type, rule_no, tick, packets, bytes FROM ticks"),
-    "st_monitor": _over("points", _POINT_COLUMNS + " WHERE tick < (SELECT max(tick) FROM packets)"),
+    "st_alarms_reload": _over("packets", _VERSION_ALARMS, _VERSIONED),
+    "st_monitor": _over("points", _POINT_COLUMNS),
+    "st_capture": _over("alarms", f"SELECT {_CAPTURE_COLUMNS} FROM captured", _CAPTURE),
 }
+SQL["st_alarm_log"] = SQL["sink_alarm_log"]
+SQL["rep_alarms_frames"] = SQL["rep_alarms"]

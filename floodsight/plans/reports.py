@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from floodsight.functions.rule_text import alarm_text
 from floodsight.functions.sizes import size_text
-from floodsight.operators.capture import CAPTURE_SECONDS, interval_capture
+from floodsight.operators.capture import CAPTURE_PACKETS, CAPTURE_SECONDS, first_captured, interval_capture
 from floodsight.operators.counters import dst_counts, tick_profile, with_dst_text, with_totals
 from floodsight.operators.match import match_packets, with_rule_id, with_rule_names
 from floodsight.operators.rates import tick_rates
@@ -17,6 +17,7 @@ from floodsight.operators.rulesets import with_books
 from floodsight.operators.triggers import alarms
 from floodsight.schemas import PROTO, TYPE_ORDER
 from floodsight.session import broadcast_if_small, settle
+from floodsight.sources.packets import packets_between
 
 
 def rule_tick_rates(packets: DataFrame, rules: DataFrame) -> DataFrame:
@@ -86,14 +87,20 @@ def captured_packets(packets: DataFrame, targets: DataFrame, seconds: int = CAPT
     `targets` is a stored table: its time span is looked up and limits the packet scan, and it is
     broadcast if it is small.
     """
+    return interval_capture(_near_targets(packets, targets, seconds), broadcast_if_small(targets), seconds)
+
+
+def first_captured_packets(packets: DataFrame, targets: DataFrame, k: int = CAPTURE_PACKETS, seconds: int = CAPTURE_SECONDS) -> DataFrame:
+    """The first k packets after each alarm, with their `position`."""
+    return first_captured(_near_targets(packets, targets, seconds), targets, k, seconds)
+
+
+def _near_targets(packets: DataFrame, targets: DataFrame, seconds: int) -> DataFrame:
     micros = F.unix_micros("ts")  # a collected timestamp would pass through the driver's time zone
     span = targets.agg(F.min(micros).alias("first"), F.max(micros).alias("last")).first()
     if span["first"] is None:
-        packets = packets.limit(0)
-    else:
-        first, last = (F.timestamp_micros(F.lit(x)) for x in (span["first"], span["last"] + seconds * 1_000_000))
-        packets = packets.filter(F.col("ts").between(first, last))
-    return interval_capture(packets, broadcast_if_small(targets), seconds)
+        return packets.limit(0)
+    return packets_between(packets, span["first"], span["last"] + seconds * 1_000_000)
 
 
 def list_rank(rule_type: Column) -> Column:

@@ -21,6 +21,6 @@ def write_alarm_log(alarms: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_alarm_log(spark: SparkSession, path: str) -> DataFrame:
-    """The lines with their action; an action without a target has an empty one."""
-    lines = spark.read.schema(_LOG).text(path)
+    """The lines with their action, of all batches; an action without a target has an empty one."""
+    lines = spark.read.schema(_LOG).text(path).select(_LOG.fieldNames())
     return lines.withColumn("action_param", F.coalesce("action_param", F.lit("")))

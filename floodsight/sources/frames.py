@@ -1,10 +1,10 @@
 """Raw Ethernet frames to packets, with built-in functions only."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from floodsight.operators.generated import own_method
-from floodsight.schemas import PACKETS
+from floodsight.schemas import FRAMES, PACKETS
 
 # Fixed values of the wire formats: byte offsets from 0, sizes, and flag bits of the TCP header.
 ETHERTYPE_IPV4 = 0x0800
@@ -80,9 +80,39 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     )
 
 
-def frame_packets(frames: DataFrame) -> DataFrame:
-    """The packets of `frames`; `pkt_id` is kept when the frames have one."""
-    decoded = decode_frames(frames).filter("reject IS NULL")
+# Why a frame is no packet for the rules.
+REJECTS = ["short frame", "not IPv4", "other protocol"]
+
+
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """A table of frames (schema FRAMES) with a `pkt_id` from file and row, the same at every reading."""
+    return _with_row_ids(spark.read.schema(FRAMES).parquet(path))
+
+
+def stream_frames(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(FRAMES)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return _with_row_ids(reader.parquet(path))
+
+
+def _with_row_ids(frames: DataFrame) -> DataFrame:
+    """31 bits of the file's name, 32 bits for the row: rows of a file keep their order."""
+    file = F.xxhash64("_metadata.file_name").bitwiseAND(F.lit(2**31 - 1))
+    return frames.select(*FRAMES.fieldNames(), (F.shiftleft(file, 32) + F.col("_metadata.row_index")).alias("pkt_id"))
+
+
+def frame_packets(frames: DataFrame, observe: Observation | str | None = None) -> DataFrame:
+    """The packets of `frames`; `pkt_id` is kept when the frames have one.
+
+    With `observe` (an Observation, or a name where `frames` is a stream) the job counts `frames`, and the rejected ones by
+    reason as `short_frame`, `not_IPv4` and `other_protocol`, on the way.
+    """
+    decoded = decode_frames(frames)
+    if observe is not None:
+        rejected = [F.count_if(F.col("reject") == reason).alias(reason.replace(" ", "_")) for reason in REJECTS]
+        decoded = decoded.observe(observe, F.count(F.lit(1)).alias("frames"), *rejected)
+    decoded = decoded.filter("reject IS NULL")
     names = [f.name for f in PACKETS.fields if f.name in decoded.columns]
     return decoded.select(*names)
 

@@ -1,6 +1,6 @@
 """Rule texts to a rules table and a table of rejected lines."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from floodsight.functions.addresses import cidr_range, port_range
@@ -16,7 +16,7 @@ from floodsight.functions.rule_text import (
 from floodsight.functions.sizes import compare_parse, size_parse
 from floodsight.operators.segments import running_sum
 from floodsight.schemas import RULE_REJECTS, RULES, TYPE_ORDER
-from floodsight.session import settle
+from floodsight.session import broadcast_if_small, settle
 
 DEFAULT_PERIOD = 10
 DEFAULT_ACTION = "syslog"
@@ -27,12 +27,23 @@ _COMPARED = {"seq": _WORD, "ack": _WORD, "win": _SHORT, "hlen": _SHORT, "type":
 
 
 def read_rule_files(spark: SparkSession, path: str) -> DataFrame:
-    """Rule files to (ruleset_id = file name, line_no, line). A file is read whole for exact line numbers."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(
+    """Rule files to (ruleset_id = file name, line_no, line), lines numbered from 0.
+
+    A large file is read by many tasks. Each line is stored with the split it is in and its place there; the lines before a
+    split are the sum of the splits before it.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(
         F.col("_metadata.file_name").alias("ruleset_id"),
-        F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"),
-    ).select("ruleset_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("place"),
+        F.regexp_replace("value", "\r$", "").alias("line"),
+    )
+    lines = settle(lines, "rule-lines")
+    splits = lines.groupBy("ruleset_id", "split").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("ruleset_id").orderBy("split")) - F.col("n")
+    numbered = lines.join(broadcast_if_small(settle(splits.withColumn("before", before), "rule-splits")), ["ruleset_id", "split"])
+    return numbered.select("ruleset_id", (F.col("before") + F.col("place") - F.col("first")).alias("line_no"), "line")
 
 
 def parse_rules(texts: DataFrame) -> DataFrame:

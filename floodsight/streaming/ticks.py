@@ -5,10 +5,12 @@ batch's ``numRowsDroppedByWatermark``. A tick comes out once, when the watermark
 give a `delay` that covers how late packets may come.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floodsight.operators.counters import ADDRESSES
+from floodsight.operators.counters import busiest
 from floodsight.operators.match import RuleSet, first_match
 
 SECOND = "1 second"
@@ -37,16 +39,15 @@ def tick_profile(packets: DataFrame, ruleset: RuleSet, delay: str) -> DataFrame:
     Two windowed counts in a row: by destination, then over them; destinations never meet in
     one task, only their counts do.
     """
-    counts = tick_dst_counts(packets, ruleset, delay)
-    packed = F.col("packets") * ADDRESSES + (ADDRESSES - 1 - F.col("dst_ip"))
-    profile = counts.groupBy(F.window(F.window_time("window"), SECOND).alias("second"), "rule_id").agg(
-        F.sum("packets").alias("pps"),
-        F.sum("bytes").alias("bps"),
-        (ADDRESSES - 1 - F.pmod(F.max(packed), F.lit(ADDRESSES))).alias("dst_ip"),
-    )
-    return profile.select(
-        F.window_time("second").alias("ts"), _tick("second"), "rule_id", "pps", "bps", "dst_ip"
+    return profile_of_counts(tick_dst_counts(packets, ruleset, delay))
+
+
+def profile_of_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The profile from counts by (window, rule_id, dst_ip, keys); `keys` are the same for all rows of a rule."""
+    profile = counts.groupBy(F.window(F.window_time("window"), SECOND).alias("second"), "rule_id", *keys).agg(
+        F.sum("packets").alias("pps"), F.sum("bytes").alias("bps"), busiest().alias("dst_ip")
     )
+    return profile.select(F.window_time("second").alias("ts"), _tick("second"), "rule_id", "pps", "bps", "dst_ip", *keys)
 
 
 def _tick(window: str):

@@ -1,65 +1,141 @@
 """Streaming triggers: per-rule state over the ticks that the watermark has closed."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from floodsight.operators.byte_walk import TriggerState
-from floodsight.operators.match import RuleSet
-from floodsight.schemas import TYPE_ORDER
-from floodsight.streaming.ticks import tick_profile
+from floodsight.operators.match import collect_rules
+from floodsight.operators.triggers import LIMITS, limits_of
+from floodsight.streaming.ticks import profile_of_counts, tick_dst_counts
+from floodsight.streaming.watermarks import committed_watermark
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_STATE = "pps_good bigint, bps_good bigint, last_tick bigint"
+STATE_NAME = "good"
+# What a rule remembers, and its limits: a timer comes without rows.
+_STATE = f"pps_good bigint, bps_good bigint, last_tick bigint, {', '.join(f'{name} bigint' for name in LIMITS)}"
+_ROW = ["tick", "pps", "bps", "dst_ip"]
 _ALARMS = "rule_id long, tick bigint, pps bigint, bps bigint, dst_ip bigint, trigger string"
+# Ticks that are held under one key of the state.
+HELD = 60
 
 
 class TriggerProcessor(StatefulProcessor):
-    """Keeps the last good ticks of a rule. Ticks of a batch are closed, so sorting them is enough."""
+    """Walks a rule's ticks in order.
 
-    def __init__(self, limits: dict, first_tick: int):
-        self.limits = limits
-        self.first_tick = first_tick
+    Rows of a batch come in any order, so they are put into the state chunk by chunk, a minute of ticks under each key, with a
+    timer for the last of them. Timers come in order of time, after all rows of the batch; each takes its minute's ticks out of
+    the state. So however long a rule's backlog is, a chunk and a minute of it are in memory.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("good", _STATE)
+        self.handle = handle
+        self.state = handle.getValueState(STATE_NAME, _STATE)
+        self.held = handle.getMapState("held", "minute bigint", "ticks binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        frame = pd.concat(list(rows)).sort_values("tick")
-        frame = frame[frame["tick"] >= self.first_tick]
-        state = TriggerState(last_tick=self.first_tick - 1)
-        if self.state.exists():
-            state = TriggerState(*(int(value) for value in self.state.get()))
-        limits = self.limits[int(key[0])]
-        fired = [
-            state.step(int(tick), pps, bps, *limits)
-            for tick, pps, bps in zip(frame["tick"], frame["pps"], frame["bps"])
-        ]
-        self.state.update((state.pps_good, state.bps_good, state.last_tick))
-        frame = frame.assign(trigger=fired)
-        frame = frame[frame["trigger"].notna()]
-        yield frame[["rule_id", "tick", "pps", "bps", "dst_ip", "trigger"]]
+        for chunk in rows:
+            if not self.state.exists():
+                first = chunk.iloc[0]
+                self.state.update((*_fresh(int(first["first_tick"])), *(int(first[name]) for name in LIMITS)))
+            chunk = chunk[chunk["tick"] >= chunk["first_tick"]]
+            for minute, part in chunk.groupby(chunk["tick"] // HELD):
+                minute, packed = int(minute), part[_ROW].to_numpy(np.int64).tobytes()
+                if self.held.containsKey((minute,)):
+                    packed = bytes(self.held.getValue((minute,))[0]) + packed
+                self.held.updateValue((minute,), (packed,))
+                self.handle.registerTimer(int(part["tick"].max()) * 1000 + 999)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        last = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        minute = last // HELD
+        if not self.held.containsKey((minute,)):
+            return
+        rows = np.frombuffer(bytes(self.held.getValue((minute,))[0]), np.int64).reshape(-1, len(_ROW))
+        rows = rows[np.argsort(rows[:, 0])]
+        due, later = rows[rows[:, 0] <= last], rows[rows[:, 0] > last]
+        if len(later):
+            self.held.updateValue((minute,), (later.tobytes(),))
+        else:
+            self.held.removeKey((minute,))
+        value = [int(x) for x in self.state.get()]
+        state, fired = walk(value, due)
+        self.state.update((state.pps_good, state.bps_good, state.last_tick, *value[3:]))
+        if fired:
+            yield pd.DataFrame([(int(key[0]), *row) for row in fired], columns=["rule_id", *_ROW, "trigger"])
 
     def close(self) -> None:
         pass
 
 
-def stream_alarms(packets: DataFrame, ruleset: RuleSet, delay: str, first_tick: int = 0) -> DataFrame:
+def _fresh(first_tick: int) -> tuple[int, int, int]:
+    return TriggerState.pps_good, TriggerState.bps_good, first_tick - 1
+
+
+def walk(value: list[int], rows: np.ndarray) -> tuple[TriggerState, list[tuple]]:
+    """Go on from a stored state over ticks in order; what fired as (tick, pps, bps, dst_ip, trigger)."""
+    state, limits, fired = TriggerState(*value[:3]), value[3:7], []
+    for tick, pps, bps, dst_ip in rows.tolist():
+        if tick <= state.last_tick:
+            raise ValueError(f"tick {tick} came after tick {state.last_tick}")
+        trigger = state.step(tick, pps, bps, *limits)
+        if trigger:
+            fired.append((tick, pps, bps, dst_ip, trigger))
+    return state, fired
+
+
+def stream_alarms(packets: DataFrame, rules: DataFrame, delay: str, first_tick: int) -> DataFrame:
     """Alarms of a stream of packets: (rule_id, tick, pps, bps in bytes, dst_ip, trigger).
 
-    The state is three numbers per rule. `first_tick` is the first tick that is evaluated.
+    Rules may have books (`with_books`): a version meets the packets of its time, and its state is its own, so it starts afresh.
+    `first_tick` is the first tick that is evaluated, but for rules that bring their own. The rules are those of the start;
+    where they change while the stream goes on, use `reloading_counts` and `alarms_of_counts`.
     """
-    spark = packets.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    limits = {
-        rule_id: (row["pps_th"], row["bps_th"], row["pps_period"], row["bps_period"])
-        for rule_type in TYPE_ORDER
-        for rule_id, row in ruleset.of_type(rule_type)
-    }
-    profile = tick_profile(packets, ruleset, delay)
-    return profile.groupBy("rule_id").transformWithStateInPandas(
-        statefulProcessor=TriggerProcessor(limits, first_tick),
-        outputStructType=_ALARMS,
-        outputMode="Append",
-        timeMode="EventTime",
+    ruleset = collect_rules(rules)
+    if ruleset is None:
+        raise ValueError("too many rules to compile; use reloading_counts and alarms_of_counts")
+    return _triggered(profile_of_counts(tick_dst_counts(packets, ruleset, delay)), limits_of(rules, first_tick))
+
+
+def alarms_of_counts(counts: DataFrame, delay: str) -> DataFrame:
+    """Alarms of a stream of counts by destination that carry their rules' limits, as `reloading_counts` stores them."""
+    counts = counts.withWatermark("ts", delay)
+    keys = [F.window("ts", "1 second"), "rule_id", "dst_ip", *LIMITS]
+    summed = counts.groupBy(*keys).agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
+    return _triggered(profile_of_counts(summed, LIMITS), None)
+
+
+def _triggered(profile: DataFrame, limits: DataFrame | None) -> DataFrame:
+    profile.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    rows = profile if limits is None else profile.join(F.broadcast(limits), "rule_id")
+    return rows.groupBy("rule_id").transformWithStateInPandas(
+        statefulProcessor=TriggerProcessor(), outputStructType=_ALARMS, outputMode="Append", timeMode="EventTime"
     )
+
+
+def closing_alarms(rates: DataFrame, checkpoint: str) -> DataFrame:
+    """Alarms of the ticks that a finished stream has left open.
+
+    `rates`: (rule_id, tick, pps, bps, dst_ip, limits), all of the ticks from the last committed watermark on; earlier ones
+    are left out. Each rule goes on from its state in the stream's checkpoint.
+    """
+    spark = rates.sparkSession
+    first = committed_watermark(spark, checkpoint) // 1000
+    operators = spark.read.format("state-metadata").load(checkpoint)
+    number = operators.filter(F.col("operatorName").startswith("transformWithState")).agg(F.max("operatorId")).first()[0]
+    stored = spark.read.format("statestore").option("operatorId", number).option("stateVarName", STATE_NAME).load(checkpoint)
+    stored = stored.select(F.col("key").getField("rule_id").alias("rule_id"), F.col("value").alias("state"))
+    rows = rates.filter((F.col("tick") >= first) & (F.col("tick") >= F.col("first_tick"))).join(stored, "rule_id", "left")
+    rows = rows.select("rule_id", *_ROW, "first_tick", *LIMITS[:-1], *[F.col(f"state.{name}").alias(f"s_{name}") for name in ("pps_good", "bps_good", "last_tick")])
+
+    def go_on(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        state = _fresh(int(row["first_tick"])) if pd.isna(row["s_last_tick"]) else tuple(int(row[f"s_{name}"]) for name in ("pps_good", "bps_good", "last_tick"))
+        value = [*state, *(int(row[name]) for name in LIMITS[:-1])]
+        _, fired = walk(value, pdf.sort_values("tick")[_ROW].to_numpy(np.int64))
+        return pd.DataFrame([(int(row["rule_id"]), *x) for x in fired], columns=["rule_id", *_ROW, "trigger"])
+
+    return rows.groupBy("rule_id").applyInPandas(go_on, _ALARMS)
