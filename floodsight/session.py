@@ -1,7 +1,12 @@
 """Where a job stores its intermediate tables, and size-checked broadcasts."""
 
+import io
+import os
+import sysconfig
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +33,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, where it is neither installed nor on their path: it is zipped into the shared
+    folder and added to the session once."""
+    root = Path(__file__).resolve().parent.parent
+    paths = {Path(p or ".").resolve() for p in (*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd(), sysconfig.get_path("purelib"))}
+    if root in paths or spark.sparkContext.applicationId in _shipped:
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(root.glob("floodsight/**/*.py")):
+            archive.write(file, file.relative_to(root))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_path(spark, 'code')}/floodsight.zip")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    out.write(packed.getvalue())
+    out.close()
+    spark.sparkContext.addPyFile(path.toString())
+    _shipped.add(spark.sparkContext.applicationId)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Store `df` as a table and read it back: it is worked out once, and outlives lost executors."""
     path = scratch_path(df.sparkSession, name)
