@@ -2,7 +2,7 @@
 mixing to target weights, token output. Every stage but the last returns the columns of its input.
 
 Nulls, empty and long texts, repeated rows, empty tables and other columns are handled as the operators say;
-documents with a null doc_id pass the near-duplicate stage, as they have no name to be kept by.
+documents with a null doc_id pass the near-duplicate stage, as they have no name to be kept by. doc_ids are whole numbers.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,7 @@ from floodsight.llm.decontaminate import clean_documents
 from floodsight.llm.frames import broadcast_checked
 from floodsight.llm.language import known_language, learn
 from floodsight.llm.mixing import mix
-from floodsight.llm.ngram_join import ngram_components
+from floodsight.llm.ngram_join import text_components
 from floodsight.session import settle
 
 
@@ -23,14 +23,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): that with the smallest doc_id. Of rows
-    with one doc_id one stays."""
-    found = ngram_components(docs, size=5, percent=80).where("doc_id = component_id")
-    kept = settle(found.select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    out = docs.join(broadcast_checked(kept), docs.doc_id == F.col("kept_id"), "left_semi")
-    if docs.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").take(1):
-        out = out.dropDuplicates(["doc_id"])
-    return out.union(docs.where("doc_id IS NULL"))
+    """One document of each group of near copies (five-word shingles, similarity 0.8): that with the smallest doc_id. Of
+    texts in one group that share this doc_id, that with the smallest hash stays, and of rows equal in doc_id and text one,
+    any of them."""
+    found = settle(text_components(docs, size=5, percent=80).where("doc_id IS NOT NULL"), "components")
+    grouped = found.where("component IS NOT NULL AND doc_id = component_id").groupBy("component", "doc_id")
+    kept = grouped.agg(F.min("text_key").alias("text_key")).select("doc_id", "text_key")
+    kept = kept.union(found.where("component IS NULL").select("doc_id", "text_key")).distinct()
+    kept = settle(kept.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")), "kept")
+    own = docs.select(F.struct("*").alias("doc")).withColumns({"own_id": F.col("doc.doc_id").cast("long"), "own_key": F.xxhash64(F.col("doc.text").cast("string"))})
+    same = (F.col("own_id") == F.col("kept_id")) & (F.col("own_key") == F.col("kept_key"))
+    out = own.join(broadcast_checked(kept), same, "left_semi")
+    if found.groupBy("doc_id", "text_key").count().where("count > 1").take(1):
+        out = out.dropDuplicates(["own_id", "own_key"])
+    return out.select("doc.*").union(docs.where(F.col("doc_id").cast("long").isNull()))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
