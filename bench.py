@@ -12,11 +12,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from floodsight.operators.counters import dst_counts, rule_ticks, tick_profile
-from floodsight.operators.match import first_match, first_match_indexed
+from floodsight.operators.match import first_match, first_match_indexed, first_match_joined
 from floodsight.plans import fixtures
 from floodsight.plans.catalog import QUERIES
+from floodsight.schemas import FRAMES
 from floodsight.session import scratch_path
-from floodsight.sources.packets import read_packets
+from floodsight.sources.frames import frame_packets, read_frames
+from floodsight.sources.packets import read_packets, with_tick
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -41,6 +43,9 @@ HEADLINES = [
     "rep_alarms",
     "st_tick_counts",
 ]
+# On either side of the traffic, most of them beside it.
+MIXED_RULES = [f"TCP -d 203.{n // 256}.{n % 256}.0/28 --pps-th 1p" for n in range(1000)]
+MIXED_RULES += [f"TCP -s 198.{n // 256}.{n % 256}.0/28 --pps-th 1p" for n in range(1000)]
 
 
 def timed(run) -> float:
@@ -87,6 +92,16 @@ def main():
         }
         for name, job in jobs.items():
             speeds[name] = round(count / min(timed(job), timed(job)))
+    mixed = fixtures.rules(spark, MIXED_RULES)
+    for way in (first_match_indexed, first_match_joined):
+        job = lambda way=way: rule_ticks(way(packets, mixed))
+        speeds[f"rule_ticks_{way.__name__.removeprefix('first_match_')}_2000_rules"] = round(count / min(timed(job), timed(job)))
+    some = packets.filter(F.col("pkt_id") < count // 10)
+    path = scratch_path(spark, "bench-frames")
+    fixtures.frames_of(some).select(FRAMES.fieldNames()).write.parquet(path)
+    ruleset = fixtures.ruleset(spark)
+    job = lambda: rule_ticks(first_match(with_tick(frame_packets(read_frames(spark, path))), ruleset))
+    speeds["frames_to_ticks_8_rules"] = round(count // 10 / min(timed(job), timed(job)))
     result = {
         "metric": "sum of headline query times",
         "value": round(sum(times.values()), 3),

@@ -312,13 +312,23 @@ def anti_unmatched(spark, sf_dir):
 @query
 def asof_ruleset(spark, sf_dir):
     """A new version comes 50 seconds into every block of 2,000 packets."""
+    return _asof(spark, sf_dir)
+
+
+@query
+def asof_ruleset_by_hour(spark, sf_dir):
+    """The same, with versions met by hour as where there are many."""
+    return _asof(spark, sf_dir, compiled=0)
+
+
+def _asof(spark, sf_dir, **options):
     packets = _packets(spark, sf_dir)
     blocks = packets.groupBy(F.call_function("div", "pkt_id", F.lit(2000)).alias("block"))
     starts = blocks.agg(F.min("ts").alias("start")).select(
         F.col("block").cast("int").alias("version"),
         (F.col("start") + F.expr("INTERVAL 50 SECONDS")).alias("valid_from"),
     )
-    versioned = rulesets.asof_ruleset(packets, settle(starts, "versions"))
+    versioned = rulesets.asof_ruleset(packets, settle(starts, "versions"), **options)
     return versioned.select("pkt_id", "tick", "version", "evaluated")
 
 

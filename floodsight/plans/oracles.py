@@ -473,3 +473,4 @@ SQL = {
 }
 SQL["st_alarm_log"] = SQL["sink_alarm_log"]
 SQL["rep_alarms_frames"] = SQL["rep_alarms"]
+SQL["asof_ruleset_by_hour"] = SQL["asof_ruleset"]
