@@ -213,6 +213,7 @@ def text_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, h
     classes = settle(rows.where(linked).groupBy(*key, "node").agg(F.min("doc_id").alias("rep")), "classes")
     # a group is named by one of its classes
     groups = prefixes.where(linked).groupBy(*key).agg(F.min("node").alias("g"), F.first("prefix").alias("prefix"))
+    groups = settle(groups, "groups")
     # the smaller or equal set of a pair is found by its first `low` shingles
     entries = groups.select(F.posexplode("prefix").alias("pos", "token"), "g", F.col("n_shingles").alias("n"))
     entries = entries.select("token", "g", "n", "pos", (F.col("pos") < low("n")).alias("lower"))
