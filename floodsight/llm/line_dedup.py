@@ -2,7 +2,7 @@
 
 A line is what stands between \\n characters; its words are runs of characters other than space and 0x09-0x0D.
 Lines with equal words are one class. Classes of `least` words or more are also near if one word more, less or
-changed makes them equal. A line goes if the same or a near line stands earlier, by (doc_id, line number).
+changed makes them equal. A line goes if the same line, or a near one that stays, stands earlier by (doc_id, line number).
 
 Only classes that can have a near one emit their neighbourhood: one edit leaves the first or the last half of the
 shorter line whole, so a class must share one of its halves with another. Each of these emits itself and all
@@ -10,6 +10,10 @@ variants with one word left out, as fingerprints. Two classes with equal variant
 word; a class that equals another's variant differs by a missing word. For each variant only the earliest class is
 looked for, so a family of very many lines is reduced to its first before the shuffle and no pairs within it are made.
 The edit distance of what is found is verified on the words.
+
+Near isn't the same as equal: of a chain of lines, each near the next, the earliest may be near the second alone. So a class
+goes only when one that is sure to stay is near, and what is open after that is decided in further rounds without the classes
+that went. A round looks only at the variants of open classes; each decides at least the earliest of a chain.
 """
 
 from __future__ import annotations
@@ -139,7 +143,7 @@ def _neighbourhoods(docs: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, line_no, kept_doc_id, kept_line_no) of every line that goes, and the earliest line it repeats.
+    """(doc_id, line_no, kept_doc_id, kept_line_no) of every line that goes, and the earliest line that stays and that it repeats.
 
     Lines are counted from 0 in each text of `docs(doc_id, text, ...)`. Null and empty texts and lines without words take
     no part. A null doc_id counts as the smallest. Rows with equal doc_id are read as one text each; a line they have in common is
@@ -159,22 +163,51 @@ def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     near = docs.join(live, F.col("doc_id").eqNullSafe(F.col("at"))).select("doc_id", "text", "wanted")
     near = settle(_neighbourhoods(near), "variants")
 
+    earliest = _nearest_kept(near)
+    kept = classes.select("h", "n", "first", "copies").join(earliest, "h", "left").where("copies > 1 OR near IS NOT NULL")
+    kept = kept.select("h", "n", F.coalesce("near", "first").alias("kept"))
+    out = _line_rows(docs, False, least).join(kept, ["h", "n"]).where(~F.col("kept").eqNullSafe(here))
+    return out.select("doc_id", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"))
+
+
+def _earlier(near: DataFrame, texts: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(h, best): for each variant of a class (of those in `asked`) the earliest other class that has it, if that is earlier."""
     named = F.struct("doc_id", "line_no", "h")
     changed = near.where("i >= 0").groupBy("v", "i").agg(F.min(named).alias("best"), F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y")
-    found = near.join(changed.select("v", "i", "best"), ["v", "i"]).select("h", named.alias("own"), "best")
     missing = near.groupBy("v").agg(F.min(F.when(F.col("i") < 0, named)).alias("whole"), F.min(F.when(F.col("i") >= 0, named)).alias("less"))
     missing = missing.where("whole IS NOT NULL AND less IS NOT NULL")
-    found = found.union(near.join(missing, "v").select("h", named, F.when(F.col("i") < 0, F.col("less")).otherwise(F.col("whole"))))
+    own = near if asked is None else near.join(asked, "h", "left_semi")
+    found = own.join(changed.select("v", "i", "best"), ["v", "i"]).select("h", named.alias("own"), "best")
+    found = found.union(own.join(missing, "v").select("h", named, F.when(F.col("i") < 0, F.col("less")).otherwise(F.col("whole"))))
     found = found.where("best < own AND best.h <> h").select("h", "best").distinct()
+    pairs = found.withColumn("other", F.col("best.h")).join(texts, "h").join(texts.toDF("other", "others"), "other")
+    verified = pairs.select("h", "best", "words", "others").mapInArrow(_verify, "h long, best struct<doc_id:long,line_no:long,h:long>")
+    return verified.select("h", "best", F.col("best.h").alias("of"))
+
 
+def _nearest_kept(near: DataFrame) -> DataFrame:
+    """(h, near): each class that goes, and the earliest class that stays and is near it."""
     texts = near.where("i < 0").groupBy("h").agg(F.min("words").alias("words"))
-    pairs = found.withColumn("other", F.col("best.h")).join(texts, "h").join(texts.toDF("other", "others"), "other")
-    near_pairs = pairs.select("h", "best", "words", "others").mapInArrow(_verify, "h long, best struct<doc_id:long,line_no:long,h:long>")
-    earliest = near_pairs.groupBy("h").agg(F.min(F.struct("best.doc_id", "best.line_no")).alias("near"))
-    kept = classes.select("h", "n", "first", "copies").join(earliest, "h", "left").where("copies > 1 OR near IS NOT NULL")
-    kept = kept.select("h", "n", F.coalesce("near", "first").alias("kept"))
-    out = _line_rows(docs, False, least).join(kept, ["h", "n"]).where(~F.col("kept").eqNullSafe(here))
-    return out.select("doc_id", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"))
+    narrow = near.drop("words")
+    pairs = settle(_earlier(narrow, texts), "near-lines")
+    gone, going = None, []
+    while True:
+        # a class without an earlier near one stays
+        waiting = pairs.select(F.col("h").alias("of")).distinct()
+        sure = pairs.join(waiting, "of", "left_anti").groupBy("h").agg(F.min(F.struct("best.doc_id", "best.line_no")).alias("near"))
+        going.append(settle(sure, "gone-lines"))
+        now = going[-1].select("h")
+        gone = now if gone is None else settle(gone.union(now), "gone")
+        still = settle(pairs.select("h").distinct().join(now, "h", "left_anti"), "open-lines")
+        if not still.take(1):
+            break
+        keys = narrow.join(still, "h", "left_semi").select("v").distinct()
+        left = settle(narrow.join(keys, "v", "left_semi").join(gone, "h", "left_anti"), "open-variants")
+        pairs = settle(_earlier(left, texts, still), "near-lines")
+    out = going[0]
+    for more in going[1:]:
+        out = out.union(more)
+    return out
 
 
 def _verify(parts):
