@@ -62,9 +62,11 @@ def newest(slot_map: DataFrame) -> DataFrame:
 
 
 def _released(current: DataFrame, target: Column) -> DataFrame:
-    """`current` with `moves`: a shard keeps its largest slots as long as they fit into its share, and releases the rest."""
-    held = F.sum("bytes").over(Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot").rowsBetween(Window.unboundedPreceding, 0))
-    return current.withColumn("moves", held > target)
+    """`current` with `moves`: a shard keeps its largest slot, and further ones as long as they fit into its share, and releases the
+    rest."""
+    order = Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot")
+    held = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return current.withColumns({"moves": held > target, "_turn": F.row_number().over(order)}).withColumn("moves", F.expr("moves AND _turn > 1")).drop("_turn")
 
 
 def rebalanced(slot_map: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -163,7 +165,8 @@ OP12_SQL = f"""WITH RECURSIVE {CRC_SQL},
   measured AS (SELECT doc_id, octet_length(encode(text)) + 1 AS size, {crc32_sql("text")} AS text_crc32 FROM texts, crc),
   records AS (SELECT *, ('0x' || left(md5(concat_ws('-', coalesce(doc_id::VARCHAR, ''), size, text_crc32)), 7))::BIGINT % {SLOTS * PARTS} AS place FROM measured),
   loads AS (SELECT s::INT AS virtual_slot, coalesce(sum(size), 0)::BIGINT AS bytes, (s % {SHARDS})::INT AS shard FROM range({SLOTS}) r(s) LEFT JOIN records ON place // {PARTS} = s GROUP BY s),
-  parted AS (SELECT *, sum(bytes) OVER (PARTITION BY shard ORDER BY bytes DESC, virtual_slot ROWS UNBOUNDED PRECEDING) > (SELECT ceil(sum(bytes) / {SHARDS}) FROM loads) AS moves FROM loads),
+  parted AS (SELECT *, sum(bytes) OVER by_size > (SELECT ceil(sum(bytes) / {SHARDS}) FROM loads) AND row_number() OVER by_size > 1 AS moves FROM loads
+    WINDOW by_size AS (PARTITION BY shard ORDER BY bytes DESC, virtual_slot ROWS UNBOUNDED PRECEDING)),
   pool AS (SELECT row_number() OVER (ORDER BY bytes DESC, virtual_slot) AS step, virtual_slot, bytes FROM parted WHERE moves),
   kept AS (SELECT list(bytes ORDER BY shard) AS loads FROM (SELECT shard, coalesce(sum(bytes) FILTER (NOT moves), 0)::BIGINT AS bytes FROM parted GROUP BY shard)),
   deal AS (SELECT 0::BIGINT AS step, loads, -1 AS virtual_slot, -1::BIGINT AS shard FROM kept
