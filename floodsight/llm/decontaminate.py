@@ -7,6 +7,9 @@ first; a match that overlaps a tile is cut back, and counts again if `seed` word
 may lie anywhere in the text, so passages whose sentences were moved around are covered as well. An item
 is in a text if the tiles cover at least `share` of its words.
 
+Where seeds of a text stand in very many places of the items, as in repetitive texts, their pairs are not written out: items are
+tiled one by one, by the length of the longest match that is left. The tiles are the same.
+
 Items go to the tasks in blocks of bounded bytes, and the texts are read once for each block, without
 a shuffle.
 """
@@ -25,6 +28,7 @@ from floodsight.llm.frames import documents, map_texts
 from floodsight.llm.text import find_runs, hash_runs, hash_spans, inside, text_bytes
 
 SEED, SHARE = 5, 0.5
+MOST_PAIRS = 1 << 19  # of equal places that are written out at once
 BLOCK_BYTES = 8 << 20
 
 _WORD = np.zeros(256, bool)
@@ -55,10 +59,20 @@ class Items:
         start, text = inside(first, self.seed)
         grams = hash_runs(words, self.seed)[start] if len(words) >= self.seed else np.zeros(0, np.uint64)
         low, high = np.searchsorted(self.grams, grams), np.searchsorted(self.grams, grams, side="right")
+        out = []
+        for texts_here in _portions(text, high - low, len(first) - 1):
+            out += self._pairs(words, first, start, text, low, high, share, texts_here)
+        return out
+
+    def _pairs(self, words, first, start, text, low, high, share, here: slice) -> list[tuple[int, int, int, int, int]]:
+        """`found` for the seeds `here`: those of some texts with MOST_PAIRS places in all, or of one text with more."""
+        start, text, low, high = start[here], text[here], low[here], high[here]
         hit = np.flatnonzero(high > low)
         count = (high - low)[hit]
         if not len(hit):
             return []
+        if count.sum() > MOST_PAIRS:
+            return self._repetitive(words, first, int(text[0]), low[hit], high[hit], share)
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[hit], count)
         item, p = self.item[at], self.place[at]
         text, t = np.repeat(text[hit], count), np.repeat((start - first[:-1][text])[hit], count)
@@ -68,17 +82,101 @@ class Items:
         out = []
         for a, b in zip(pair, np.append(pair[1:], len(text))):
             size = int(self.first[item[a] + 1] - self.first[item[a]])
-            reach = np.zeros(size + 1, np.int64)
-            places = np.unique(p[a:b])
-            reach[places] += 1
-            reach[places + self.seed] -= 1
-            if (np.cumsum(reach[:-1]) > 0).sum() < share * size:
-                continue  # even all seeds together don't cover enough
+            if not self._reached(np.unique(p[a:b]), size, share):
+                continue
             covered, tiles = tile(t[a:b], p[a:b], self.seed)
             if covered >= share * size:
                 out.append((int(text[a]), int(item[a]), size, covered, tiles))
         return out
 
+    def _reached(self, places: np.ndarray, size: int, share: float) -> bool:
+        """Whether all seeds together cover enough of the item."""
+        reach = np.zeros(size + 1, np.int64)
+        reach[places] += 1
+        reach[places + self.seed] -= 1
+        return (np.cumsum(reach[:-1]) > 0).sum() >= share * size
+
+    def _repetitive(self, words, first, text: int, low, high, share) -> list[tuple[int, int, int, int, int]]:
+        """`found` for one text whose seeds stand in very many places: an item is looked at once, however often they do."""
+        _, once = np.unique(low, return_index=True)
+        low, count = low[once], (high - low)[once]
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+        order = np.lexsort((self.place[at], self.item[at]))
+        item, p = self.item[at][order], self.place[at][order]
+        begin = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
+        out, body = [], words[first[text] : first[text + 1]]
+        for a, b in zip(begin, np.append(begin[1:], len(item))):
+            own = self.words[self.first[item[a]] : self.first[item[a] + 1]]
+            if self._reached(p[a:b], len(own), share):
+                covered, tiles = tile_by_length(body, own, self.seed)
+                if covered >= share * len(own):
+                    out.append((text, int(item[a]), len(own), covered, tiles))
+        return out
+
+
+def _portions(text: np.ndarray, count: np.ndarray, texts: int):
+    """Slices of the seeds, whole texts each, with MOST_PAIRS places or one text."""
+    ends = np.searchsorted(text, np.arange(texts), side="right")
+    total = np.concatenate([[0], np.cumsum(count)])[ends]
+    done = 0
+    while done < texts:
+        begin = int(ends[done - 1]) if done else 0
+        so_far = total[done - 1] if done else 0
+        last = max(done + 1, int(np.searchsorted(total, so_far + MOST_PAIRS, side="right")))
+        yield slice(begin, int(ends[last - 1]))
+        done = last
+
+
+def tile_by_length(text: np.ndarray, item: np.ndarray, seed: int) -> tuple[int, int]:
+    """`tile` of two lists of words, in room that grows with their lengths and not with the pairs of equal places.
+
+    The longest match of what is free is searched for by its length: windows of that many words are compared by their
+    fingerprints. All matches of that length are marked, from left to right, before the next length is looked for.
+    """
+    free_t, free_p = np.ones(len(text), bool), np.ones(len(item), bool)
+
+    def windows(size):
+        sides = []
+        for words, free in ((text, free_t), (item, free_p)):
+            taken = np.concatenate([[0], np.cumsum(~free)])
+            at = np.flatnonzero(taken[size:] == taken[: len(words) - size + 1]) if len(words) >= size else np.zeros(0, np.int64)
+            sides += [at, hash_runs(words, size)[at] if len(at) else np.zeros(0, np.uint64)]
+        return sides
+
+    covered = tiles = 0
+    most = min(len(text), len(item))
+    while most >= seed:
+        low, high = seed - 1, most  # a match of `low` words is known, or low is too short to count
+        while low < high:
+            size = (low + high + 1) // 2
+            _, x, _, y = windows(size)
+            if np.isin(x, y).any():
+                low = size
+            else:
+                high = size - 1
+        if low < seed:
+            break
+        at, x, places, y = windows(low)
+        order = np.argsort(y, kind="stable")
+        places, y = places[order], y[order]
+        turn = np.searchsorted(y, np.unique(y)) if len(y) else np.zeros(0, np.int64)
+        names = np.unique(y)
+        ends = np.append(turn[1:], len(y))
+        where = np.searchsorted(names, x)
+        for here, name, group in zip(at.tolist(), x.tolist(), where.tolist()):
+            if group == len(names) or names[group] != name or not free_t[here : here + low].all():
+                continue
+            while turn[group] < ends[group]:
+                there = places[turn[group]]
+                if free_p[there : there + low].all():
+                    free_t[here : here + low] = False
+                    free_p[there : there + low] = False
+                    covered, tiles = covered + low, tiles + 1
+                    break
+                turn[group] += 1
+        most = low - 1
+    return covered, tiles
+
 
 def tile(t: np.ndarray, p: np.ndarray, seed: int) -> tuple[int, int]:
     """Words covered and number of tiles. t, p: places of the seeds in the text and the item, by diagonal t - p, then t."""
@@ -123,8 +221,9 @@ def _blocks(benchmark: DataFrame, seed: int):
 def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, item_words, covered_words, n_tiles) for every text that holds an item.
 
-    Null and empty texts hold nothing; an item of fewer than `seed` words, or null, is never found. Repeated
-    rows are reported each. Other columns are ignored. An empty table on either side gives no rows.
+    Null and empty texts hold nothing; an item of fewer than `seed` words, or null, is never found. Of matches of equal length
+    that with the smaller place in the text is marked first, then in the item. Texts may be long and repetitive: a task holds
+    some MB for MOST_PAIRS equal places, and a few numbers for each word of one text. Repeated rows are reported each. Other columns are ignored. An empty table on either side gives no rows.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, item_words long, covered_words long, n_tiles long"
