@@ -51,17 +51,17 @@ def stripped(texts, window):
 
 
 def near_lines(texts, least, distance):
-    """texts: {id: text}; {(id, line): kept (id, line)}."""
+    """texts: {id: text}; {(id, line): kept (id, line)}. From the earliest line on, one goes if a near line was kept."""
     lines = [(d, i, tuple(words(x))) for d, t in sorted(texts.items()) for i, x in enumerate((t or "").split("\n")) if words(x)]
     first = {}
     for d, i, w in lines:
         first.setdefault(w, (d, i))
-    best = dict(first)
-    kinds = [w for w in first if len(w) >= least]
-    for x in kinds:
-        for y in kinds:
-            if distance(list(x), list(y)) < 2:
-                best[x] = min(best[x], first[y])
+    best, kept = {}, []
+    for x, place in sorted(first.items(), key=lambda one: one[1]):
+        near = [first[y] for y in kept if min(len(x), len(y)) >= least and distance(list(x), list(y)) < 2]
+        best[x] = min(near, default=place)
+        if not near:
+            kept.append(x)
     return {(d, i): best[w] for d, i, w in lines if best[w] != (d, i)}
 
 
@@ -75,3 +75,23 @@ def base_counts(text):
     runs = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
     again = {j for i in range(len(w) - 4) if runs[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
     return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", text or "")), dup, len(again)
+
+
+def tiles(text, item, seed):
+    """Greedy string tiling of two lists of words: (words covered, tiles)."""
+    free_t, free_p = [True] * len(text), [True] * len(item)
+    covered = count = 0
+    while True:
+        best = (0, 0, 0)
+        for x in range(len(text)):
+            for y in range(len(item)):
+                n = 0
+                while x + n < len(text) and y + n < len(item) and text[x + n] == item[y + n] and free_t[x + n] and free_p[y + n]:
+                    n += 1
+                best = max(best, (n, -x, -y))
+        n, x, y = best[0], -best[1], -best[2]
+        if n < seed:
+            return covered, count
+        free_t[x : x + n] = [False] * n
+        free_p[y : y + n] = [False] * n
+        covered, count = covered + n, count + 1
