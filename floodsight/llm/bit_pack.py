@@ -174,7 +174,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     """Write the ids of all texts, `end_id` after each, in ascending doc_id order as a table of blocks at `path`.
 
     Null text: only the end id. Null doc_id: first. Rows with equal doc_id stand together, in the order of a
-    fingerprint of their text. Other columns are left out. An empty table gives a table without blocks.
+    fingerprint of their text. Other columns are left out. An empty table gives a table without blocks. A text of any length is
+    encoded piece by piece and lies in one block, which then is larger than others.
     """
     small_arrow_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))

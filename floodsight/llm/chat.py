@@ -60,7 +60,8 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
     `conversations(conv_id, turn, role, text)`; null role or text: empty; null conv_id: one more conversation; null turn:
     before all others. Turns with equal numbers are ordered by role and text, and repeated rows are turns of their own.
-    Other columns are ignored. A task reads a conversation turn by turn and holds one Arrow batch of it.
+    Other columns are ignored. A task reads a conversation turn by turn and holds one Arrow batch of it. An empty table gives no
+    rows.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), text("role"), text("text"))

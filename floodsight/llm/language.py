@@ -197,8 +197,9 @@ def predictions(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) of each row, from its text alone.
 
     lang_pred is `und`, score 0 and rejected true for a null text, a text without a letter, or when there was
-    nothing to learn from. A null doc_id is not held out. Repeated rows come back as often; other columns are
-    ignored.
+    nothing to learn from. Of equally near centroids that of the first language by name counts. A text of any length is one
+    vector of counts. A null doc_id is not held out. Repeated rows come back as often; other columns are ignored. An empty
+    table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -213,7 +214,8 @@ def predictions(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def known_language(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of `docs`, all columns, that aren't rejected."""
+    """The rows of `docs`, all columns, that aren't rejected (see `predictions`): null, empty and letterless texts go, and rows
+    are looked at one by one, so null or repeated ids don't matter."""
     at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

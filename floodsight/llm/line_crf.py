@@ -200,7 +200,9 @@ def line_quality(docs: DataFrame, model: Crf, share: float = SHARE) -> DataFrame
     base_failed, kept, content_share).
 
     Words are runs of characters other than space and 0x09-0x0D. Null, empty and blank texts have counts of 0, fail the base
-    rules and have a content_share of 0. Repeated rows come back as often; null doc_ids stay null; other columns are ignored.
+    rules and have a content_share of 0. Where content and boilerplate score alike, a line is boilerplate. Lines of a text are
+    decoded whole, however many there are. Repeated rows come back as often; null doc_ids stay null; other columns are ignored.
+    An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -9,7 +9,7 @@ A leaf's quota is a number of whole epochs and a rest. For the rest, its texts a
 the next epoch and taken from the front while their tokens fit. To find the cut without ordering a whole leaf in
 one task, tokens are summed by slices of the order; only the slice that holds the cut is ordered by text.
 
-All of it is DataFrame operations on integers, so it is exact.
+All of it is DataFrame operations; budgets and quotas are integers.
 """
 
 from __future__ import annotations
@@ -83,7 +83,8 @@ def mix(docs: DataFrame, budget: Column, epochs: int = EPOCHS, seed: int = SEED,
     `docs(doc_id, text, lang, source, ...)`. Tokens are the words of the text: runs of other characters than space and
     0x09-0x0D. `budget` is an expression over `all_tokens`. Null lang or source counts as ''. Texts without words take no
     budget; they are in wherever the cut comes after them. Rows that agree in doc_id and text have the same place in the
-    order and stay or go together. An empty table gives no rows.
+    order and stay or go together. A text is taken whole, however long it is. An empty table gives no rows. Siblings are filled in
+    the order of capacity per weight as a double; ratios that differ only beyond its 53 bits go by name.
     """
     weights = {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS} if weights is None else weights
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

@@ -2,16 +2,21 @@
 
 A network in numpy predicts each word from the SIDE words before and after it, the word itself being hidden: one embedding
 table for each place of the window, a hidden layer, and a softmax over symbols. A text's score is the sum of the log
-probabilities of all its words. Symbols are the `TOP` most frequent words of the corpus, counted over all texts, and
-TAIL buckets for the others by their fingerprint. A word of a bucket has the bucket's probability times its own share of the
-bucket's words, from the counts of all words of the corpus: n / (N + 1), and 1 / (N + 1) for a word that wasn't counted.
+probabilities of all its words. Symbols are the words that occur LEARNED times or more in all texts, up to MOST_WORDS of them
+by frequency, and TAIL buckets for the others by their fingerprint. A word of a bucket has the bucket's probability times its
+own share of the bucket's words, from the counts of all words of the corpus: n / (N + 1), and 1 / (N + 1) for a word that
+wasn't counted.
+
+The softmax has two steps, so that a word costs the square root of the vocabulary: symbols are put into classes by frequency,
+and a symbol's probability is its class's times its own within the class.
 
 The table of shares grows with the corpus. Words counted twice or more go to the tasks as arrays, the most frequent ones up to
 HELD_WORDS; what is left of them is joined by fingerprint. Any other word was counted once or not at all, which is the same share.
 
-Training reads all texts: each task trains its own copy of the starting weights on its texts, every word being a target and
-the words around it its context; the copies are averaged, weighted by their targets, first on the executors and
-then over one row for each shuffle partition. Weights have a fixed size, whatever the corpus.
+Training reads all texts, every word being a target and the words around it its context. Texts are dealt by their hash to
+shards of about SHARD_WORDS words, so their number grows with the corpus and doesn't depend on how rows lie; in a shard they
+stand in the order of the hash. Each shard trains its own copy of the starting weights; the copies are averaged, weighted by
+their targets, first on the executors and then over one row for each shuffle partition.
 """
 
 from __future__ import annotations
@@ -27,11 +32,11 @@ from floodsight.llm.frames import BROADCAST_ROWS, documents, map_texts, small_ar
 from floodsight.llm.text import batches, find_words, hash_spans, signed, text_bytes
 from floodsight.session import settle
 
-TOP, TAIL, SIDE, HIDDEN = 192, 64, 3, 24
-SYMBOLS = TOP + TAIL
-BATCH, RATE = 1024, 0.05
-CHUNK = 1 << 11
-LARGEST = 2.5
+LEARNED, MOST_WORDS, TAIL, SIDE, HIDDEN = 50, 1984, 64, 3, 16
+BATCH, RATE = 8192, 0.05
+LARGEST = 3.0  # of the weights behind the hidden layer, so that no exponential overflows
+CHUNK = 1 << 12
+SHARD_WORDS = 1 << 21
 HELD = 2_000_000
 HELD_WORDS = BROADCAST_ROWS
 
@@ -40,14 +45,22 @@ HELD_WORDS = BROADCAST_ROWS
 class Vocabulary:
     words: np.ndarray  # fingerprints in ascending order
     symbol: np.ndarray
-    counts: np.ndarray  # of each symbol over the corpus
+    counts: np.ndarray  # of each symbol over the corpus; words by frequency, then the buckets
+
+    @property
+    def size(self) -> int:
+        return len(self.counts)
+
+    @property
+    def top(self) -> int:
+        return len(self.words)
 
     def symbols(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         hashes, first = fingerprints(texts)
         return self.of(hashes), first
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        out = TOP + (hashes % np.uint64(TAIL)).astype(np.int64)
+        out = self.top + (hashes % np.uint64(TAIL)).astype(np.int64)
         if len(self.words):
             at = np.searchsorted(self.words, hashes)
             at[at == len(self.words)] = 0
@@ -112,15 +125,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
-    """The most frequent words of all texts, and how often each symbol occurs."""
+    """The frequent words of all texts, and how often each symbol occurs. Of words that occur equally often at the bound, those
+    with the smaller fingerprints are in."""
     counts = word_counts(docs) if counts is None else counts
-    top = counts.orderBy(F.desc("n"), "word").limit(TOP).toPandas()
+    top = counts.where(F.col("n") >= LEARNED).orderBy(F.desc("n"), "word").limit(MOST_WORDS).toPandas()
     words = top.word.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
-    tally = np.zeros(SYMBOLS)
-    tally[: len(top)] = top.n
-    tally[TOP:] = ((counts.agg(F.sum("n")).first()[0] or 0) - top.n.sum()) / TAIL
-    return Vocabulary(words[order], order, tally)
+    rest = ((counts.agg(F.sum("n")).first()[0] or 0) - top.n.sum()) / TAIL
+    return Vocabulary(words[order], order, np.concatenate([top.n.to_numpy(float), np.full(TAIL, float(rest))]))
 
 
 def shares(counts: DataFrame, words: Vocabulary, most: int = HELD_WORDS) -> Shares:
@@ -142,17 +154,39 @@ def shares(counts: DataFrame, words: Vocabulary, most: int = HELD_WORDS) -> Shar
     return Shares(hashes[order], held["n"].to_numpy()[order], np.log(total + 1), again.where(F.col("n") < least) if size > most else None)
 
 
+def _errors(logits: np.ndarray, chosen: np.ndarray, size: int) -> np.ndarray:
+    """The slope of the logits: probabilities less one for what was chosen, over `size`."""
+    np.exp(logits, out=logits)
+    logits *= (1 / (logits @ np.ones(logits.shape[1], np.float32)) / size)[:, None]
+    logits[np.arange(len(chosen)), chosen] -= 1 / size
+    return logits
+
+
+def _log_chosen(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    own = logits[np.arange(len(chosen)), chosen].astype(np.float64)
+    np.exp(logits, out=logits)
+    return own - np.log(logits @ np.ones(logits.shape[1], np.float32))
+
+
 class Net:
-    """place: [2 SIDE, SYMBOLS + 1, HIDDEN], the last symbol standing for what is beyond the text."""
+    """Weights: place [2 SIDE, symbols + 1, HIDDEN], the last symbol standing for what is beyond the text; a bias of the hidden
+    layer; out and base of the classes; out and base of the symbols in each class, filled up to whole classes."""
 
     def __init__(self, counts: np.ndarray, seed: int = 11):
         random = np.random.default_rng(seed)
-        share = (counts + 1) / (counts + 1).sum()
+        symbols = len(counts)
+        self.width = width = int(np.ceil(np.sqrt(symbols)))
+        classes = -(-symbols // width)
+        share = np.full((classes, width), 1e-9)
+        share.reshape(-1)[:symbols] = (counts + 1) / (counts + 1).sum()
+        each = share.sum(axis=1, keepdims=True)
         self.parts = [
-            random.normal(0, 0.3, (2 * SIDE, SYMBOLS + 1, HIDDEN)).astype(np.float32),
+            random.normal(0, 0.3, (2 * SIDE, symbols + 1, HIDDEN)).astype(np.float32),
             np.zeros(HIDDEN, np.float32),
-            np.zeros((HIDDEN, SYMBOLS), np.float32),  # so that it starts from the frequencies
-            np.log(share).astype(np.float32),
+            np.zeros((HIDDEN, classes), np.float32),  # so that it starts from the frequencies
+            np.log(each[:, 0]).astype(np.float32),
+            np.zeros((classes, HIDDEN, width), np.float32),
+            np.log(share / each).astype(np.float32),
         ]
 
     def bytes(self) -> bytes:
@@ -163,7 +197,6 @@ class Net:
         for k, x in enumerate(self.parts):
             self.parts[k] = flat[at : at + x.size].astype(np.float32).reshape(x.shape)
             at += x.size
-        np.clip(self.parts[2], -LARGEST, LARGEST, out=self.parts[2])  # so that no exponential overflows
         return self
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
@@ -173,44 +206,68 @@ class Net:
             total += place[k][context[k]]
         return np.tanh(total, out=total)
 
+    def _by_class(self, target: np.ndarray):
+        """(class, the rows of its targets) of each class that occurs."""
+        kind = (target // self.width).astype(np.int16)
+        order = np.argsort(kind, kind="stable")  # by radix
+        ordered = kind[order]
+        begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(order)]):
+            yield int(ordered[a]), order[a:b]
+
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        logits = self.hidden(context) @ self.parts[2]
-        logits += self.parts[3]
-        own = logits[np.arange(len(target)), target].astype(np.float64)
-        np.exp(logits, out=logits)
-        return own - np.log(logits @ np.ones(SYMBOLS, np.float32))
+        _, _, out, base, inner_out, inner_base = self.parts
+        hidden = self.hidden(context)
+        result = _log_chosen(hidden @ out + base, target // self.width)
+        for kind, rows in self._by_class(target):
+            result[rows] += _log_chosen(hidden[rows] @ inner_out[kind] + inner_base[kind], target[rows] % self.width)
+        return result
 
     def learn(self, context: np.ndarray, target: np.ndarray, seen: list[np.ndarray]) -> None:
-        """One Adagrad step on a batch."""
-        place, bias, out, base = self.parts
-        hidden = self.hidden(context)
-        logits = hidden @ out + base
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        logits[np.arange(len(target)), target] -= 1
-        logits /= len(target)
-        inner = (logits @ out.T) * (1 - hidden**2)
-        slope = np.zeros_like(place)
+        """One Adagrad step on a batch; only the weights that it touches change."""
+        place, bias, out, base, inner_out, inner_base = self.parts
+        hidden, size = self.hidden(context), len(target)
+        error = hidden @ out
+        error += base
+        error = _errors(error, target // self.width, size)
+        back = error @ out.T
+        for kind, rows in self._by_class(target):
+            own = hidden[rows]
+            wrong = own @ inner_out[kind]
+            wrong += inner_base[kind]
+            wrong = _errors(wrong, target[rows] % self.width, size)
+            back[rows] += wrong @ inner_out[kind].T
+            _step(inner_out[kind], own.T @ wrong, seen[4][kind], LARGEST)
+            _step(inner_base[kind], wrong.sum(axis=0), seen[5][kind])
+        back *= 1 - hidden**2
         for k in range(2 * SIDE):
-            order = np.argsort(context[k].astype(np.int16), kind="stable")  # by radix
+            order = np.argsort(context[k].astype(np.int16), kind="stable")
             ordered = context[k][order]
             at = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-            slope[k][ordered[at]] = np.add.reduceat(inner[order], at, axis=0)
-        for value, step, sums in zip(self.parts, (slope, inner.sum(axis=0), hidden.T @ logits, logits.sum(axis=0)), seen):
-            sums += step**2
-            value -= RATE * step / np.sqrt(sums)
+            rows, slope = ordered[at], np.add.reduceat(back[order], at, axis=0)
+            seen[0][k][rows] += slope**2
+            place[k][rows] -= RATE * slope / np.sqrt(seen[0][k][rows])
+        _step(bias, back.sum(axis=0), seen[1])
+        _step(out, hidden.T @ error, seen[2], LARGEST)
+        _step(base, error.sum(axis=0), seen[3])
+
 
+def _step(weights: np.ndarray, slope: np.ndarray, seen: np.ndarray, largest: float | None = None) -> None:
+    seen += slope**2
+    weights -= RATE * slope / np.sqrt(seen)
+    if largest:
+        np.clip(weights, -largest, largest, out=weights)
 
-def contexts(symbols: np.ndarray, first: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Symbols at the 2 SIDE places around each target word, in its own text."""
+
+def contexts(symbols: np.ndarray, first: np.ndarray, target: np.ndarray, beyond: int) -> np.ndarray:
+    """Symbols at the 2 SIDE places around each target word, in its own text; `beyond` outside of it."""
     text = np.searchsorted(first, target, side="right") - 1
     low, high = first[text], first[text + 1]
     out = np.empty((2 * SIDE, len(target)), np.int64)
     for k, shift in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         at = target + shift
         inside = (at >= low) & (at < high)
-        out[k] = np.where(inside, symbols[np.where(inside, at, 0)], SYMBOLS)
+        out[k] = np.where(inside, symbols[np.where(inside, at, 0)], beyond)
     return out
 
 
@@ -218,20 +275,31 @@ def train(docs: DataFrame, words: Vocabulary) -> Net:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(words)
     size = sum(x.size for x in Net(words.counts).parts)
+    shards = max(1, round(words.counts.sum() / SHARD_WORDS))
 
     def local(parts):
-        net = Net(shared.value.counts)
-        seen = [np.full_like(x, 1e-4) for x in net.parts]
-        targets = 0
+        net, seen, targets, now = None, [], 0, None
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([targets], pa.int64()), pa.array([net.bytes()], pa.binary())], ["n", "weights"])
+
         for part in parts:
             for piece in batches(part):
-                symbols, first = shared.value.symbols(piece.column(0))
-                for a in range(0, len(symbols), BATCH):
-                    target = np.arange(a, min(a + BATCH, len(symbols)))
-                    net.learn(contexts(symbols, first, target), symbols[target], seen)
-                targets += len(symbols)
+                shard = piece.column(0).to_numpy()
+                begin = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+                for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(shard)]):
+                    if shard[a] != now:
+                        if targets:
+                            yield done()
+                        net, targets, now = Net(shared.value.counts), 0, shard[a]
+                        seen = [np.full_like(x, 1e-4) for x in net.parts]
+                    symbols, first = shared.value.symbols(piece.column(1).slice(a, b - a))
+                    for c in range(0, len(symbols), BATCH):
+                        target = np.arange(c, min(c + BATCH, len(symbols)))
+                        net.learn(contexts(symbols, first, target, shared.value.size), symbols[target], seen)
+                    targets += len(symbols)
         if targets:
-            yield pa.RecordBatch.from_arrays([pa.array([targets], pa.int64()), pa.array([net.bytes()], pa.binary())], ["n", "weights"])
+            yield done()
 
     def average(parts):
         total, n = np.zeros(size), 0
@@ -242,7 +310,10 @@ def train(docs: DataFrame, words: Vocabulary) -> Net:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["n", "weights"])
 
-    copies = docs.select("text").mapInArrow(local, "n long, weights binary")
+    key = F.xxhash64("text")
+    dealt = docs.where("text IS NOT NULL").select(F.pmod(key, F.lit(shards)).alias("shard"), "text", key.alias("key"))
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "key").select("shard", "text")
+    copies = dealt.mapInArrow(local, "n long, weights binary")
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = copies.repartition(groups).mapInArrow(average, "n long, weights binary").toLocalIterator()
     total, n = np.zeros(size), 0
@@ -256,8 +327,8 @@ def scores(docs: DataFrame, words: Vocabulary, net: Net, within: Shares | None =
     """(doc_id, n_tokens, log_prob, mean_log_prob) for each row of `docs(doc_id, text, ...)`.
 
     Words are runs of characters other than space and 0x09-0x0D. Null, empty and blank texts have 0 tokens, a log_prob of 0 and
-    a null mean. Repeated rows come back as often; null doc_ids stay null; other columns are ignored. Without `within` the
-    log probabilities are those of the symbols alone.
+    a null mean. Texts of any length are scored CHUNK words at a time. Repeated rows come back as often; null doc_ids stay null;
+    other columns are ignored; an empty table gives no rows. Without `within` the log probabilities are those of the symbols alone.
     """
     joined = within is not None and within.rest is not None
     held = within and Shares(within.words, within.counts, within.base, None)
@@ -270,10 +341,10 @@ def scores(docs: DataFrame, words: Vocabulary, net: Net, within: Shares | None =
         each = np.empty(len(symbols))
         for a in range(0, len(symbols), CHUNK):
             target = np.arange(a, min(a + CHUNK, len(symbols)))
-            each[target] = model.log_probability(contexts(symbols, first, target), symbols[target])
+            each[target] = model.log_probability(contexts(symbols, first, target, known.size), symbols[target])
         other = np.zeros(len(symbols), bool)
         if share:
-            tail = np.flatnonzero(symbols >= TOP)
+            tail = np.flatnonzero(symbols >= known.top)
             own, other[tail] = share.of(hashes[tail])
             each[tail] += own
         sums = np.concatenate([[0.0], np.cumsum(each)])
