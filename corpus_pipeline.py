@@ -18,7 +18,7 @@ from floodsight.session import settle
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised."""
+    """Documents whose language is recognised. Null, empty and letterless texts go."""
     return known_language(docs, learn(docs))
 
 
@@ -40,17 +40,18 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none."""
     return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Four fifths of the tokens, by the weights of domains and languages, each document once at most."""
+    """Four fifths of the tokens, by the weights of domains and languages, each document once at most. Texts without words cost
+    nothing; rows equal in doc_id and text stay or go together."""
     return mix(docs, F.expr("all_tokens * 4 div 5"), epochs=1).select("doc.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' ids, written in blocks and read back: a digest of each."""
+    """The documents' ids, written in blocks and read back: a digest of each row, those with a null or repeated doc_id too."""
     return token_digests(docs)
 
 
