@@ -70,13 +70,16 @@ def test_every_tcp_flag_of_a_frame(spark):
     assert got == wire
 
 
+UDP = 1 << 31  # the first id of the second list
+
+
 def test_merge_partials_adds_rings_and_refuses_unknown_rules(spark):
     rules = rule_table(spark, "TCP -d 203.0.113.1 --pps-th 1p", "UDP -d 203.0.113.1 --pps-th 1p")
-    schema = "rule_id int, packets long, bytes long"
-    one = spark.createDataFrame([(0, 5, 500), (1_000_000, 1, 60)], schema)
+    schema = "rule_id long, packets long, bytes long"
+    one = spark.createDataFrame([(0, 5, 500), (UDP, 1, 60)], schema)
     two = spark.createDataFrame([(0, 7, 700)], schema)
     merged = counters.merge_partials([one, two], ["rule_id"], rules)
-    assert sorted(map(tuple, merged.collect())) == [(0, 12, 1200), (1_000_000, 1, 60)]
+    assert sorted(map(tuple, merged.collect())) == [(0, 12, 1200), (UDP, 1, 60)]
     stray = spark.createDataFrame([(1, 5, 500)], schema)
     with pytest.raises(Exception, match="unknown rule: 1"):
         counters.merge_partials([one, stray], ["rule_id"], rules).collect()
@@ -86,7 +89,7 @@ def test_merge_partials_adds_rings_and_refuses_unknown_rules(spark):
 
 def test_busiest_destination_ties_go_to_the_lowest_address(spark):
     rows = [(0, 1, 4294967295, 3, 1), (0, 1, 9, 3, 1), (0, 1, 10, 3, 1), (0, 1, 1, 2, 1), (0, 2, 4294967295, 1, 1)]
-    counts = spark.createDataFrame(rows, "rule_id int, tick long, dst_ip long, packets long, bytes long")
+    counts = spark.createDataFrame(rows, "rule_id long, tick long, dst_ip long, packets long, bytes long")
     got = sorted((r.tick, r.dst_ip, r.packets) for r in counters.tick_profile(counts).collect())
     assert got == [(1, 9, 11), (2, 4294967295, 1)]
     ranked = counters.top_destinations(counts, 2)
@@ -98,7 +101,7 @@ def test_busiest_destination_ties_go_to_the_lowest_address(spark):
 
 def test_rates_round_halves_up_and_skip_resets(spark):
     rows = [(0, 1000, 10, 5), (0, 3000, 13, 1005), (0, 5000, 3, 2007), (1, 400, 1, 1)]
-    samples = spark.createDataFrame(rows, "rule_id int, sample_ms long, packets long, bytes long")
+    samples = spark.createDataFrame(rows, "rule_id long, sample_ms long, packets long, bytes long")
     got = {(r.rule_id, r.sample_ms): (r.pps, r.bps) for r in rates.rate_delta(samples, width=1000).collect()}
     assert got == {(0, 1000): (10, 5), (0, 3000): (2, 500), (0, 5000): (None, 501), (1, 400): (3, 3)}
 
@@ -144,7 +147,7 @@ def test_ruleset_diff_sees_tests_and_places_but_not_texts(spark):
 
 def test_capture_takes_the_first_packets_within_the_span(spark, tmp_path):
     alarms = spark.createDataFrame(
-        [(0, 6, 5, NOON), (1, 6, 5, NOON + dt.timedelta(seconds=59))], "rule_id int, proto int, dst_ip long, ts timestamp"
+        [(0, 6, 5, NOON), (1, 6, 5, NOON + dt.timedelta(seconds=59))], "rule_id long, proto int, dst_ip long, ts timestamp"
     )
     rows = [(n, NOON + dt.timedelta(milliseconds=500 * n - 2000), 6 if n % 3 else 17, 5 if n % 5 else 6) for n in range(400)]
     packets = spark.createDataFrame(rows, "pkt_id long, ts timestamp, proto int, dst_ip long")
@@ -171,7 +174,7 @@ def test_capture_takes_the_first_packets_within_the_span(spark, tmp_path):
 
 def points_of(spark):
     rows = [(0, 10, 5, 100), (0, 11, 6, 100), (0, 20, 7, 200), (1, 40, 1, 10)]
-    table = settle(spark.createDataFrame(rows, "rule_id int, tick long, pps long, bps long"), "rates")
+    table = settle(spark.createDataFrame(rows, "rule_id long, tick long, pps long, bps long"), "rates")
     rules = rule_table(spark, "TCP -d 203.0.113.1 --pps-th 1p", "TCP -d 203.0.113.2 --pps-th 1p", "ICMP -d 203.0.113.2 --pps-th 1p")
     return timeseries.metric_points(table, rules, 10), rules
 
@@ -245,8 +248,8 @@ def test_listing_of_rules(spark):
         spark, "TCP -s 198.51.100.32/27 --bps-th 3Kb", "TCP --dport 8000-8100 -d 203.0.113.64/26 --pps-th 40p", "ICMP -d 203.0.113.7 --pps-th 2p --next"
     )
     icmp = with_rule_id(rules).where("rule_type = 'icmp'").first().rule_id
-    counted = spark.createDataFrame([(0, 512, 40960), (1, 7, 777), (icmp, 3, 252)], "rule_id int, packets long, bytes long")
-    now = spark.createDataFrame([(0, 2500, 200000), (1, 7, 777)], "rule_id int, pps long, bps long")
+    counted = spark.createDataFrame([(0, 512, 40960), (1, 7, 777), (icmp, 3, 252)], "rule_id long, packets long, bytes long")
+    now = spark.createDataFrame([(0, 2500, 200000), (1, 7, 777)], "rule_id long, pps long, bps long")
     lines = [r.line for r in reports.show_rules(counted, now, rules).collect()]
     # fixed values: the headings, the word order and the padding of the listing
     assert lines == [

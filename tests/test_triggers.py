@@ -39,7 +39,7 @@ def make(seed, count=12):
 @pytest.mark.parametrize("seed, width", [(1, 1), (1, 7), (2, 16), (3, 64), (4, 512)])
 def test_alarms_equal_the_walk(spark, seed, width):
     rules, rows, expected = make(seed)
-    rates = spark.createDataFrame(rows, "rule_id int, tick long, pps long, bps long, dst_ip long")
+    rates = spark.createDataFrame(rows, "rule_id long, tick long, pps long, bps long, dst_ip long")
     table = spark.createDataFrame(rules, RULES)
     got = triggers.alarms(rates, table, FIRST, width)
     assert sorted((r.rule_id, r.tick, r.trigger) for r in got.collect()) == expected
@@ -66,7 +66,7 @@ def test_uncounted_destination_swallows_the_alarm_but_restarts_the_wait(spark):
     rule = dict(zip(RULES.fieldNames(), rules[0])) | {"pps_th": 10, "bps_th": 0, "pps_period": 2}
     table = spark.createDataFrame([tuple(rule.values())], RULES)
     rows = [(0, tick, 20, 0, None if tick == 1 else 5) for tick in range(1, 9)]
-    rates = spark.createDataFrame(rows, "rule_id int, tick long, pps long, bps long, dst_ip long")
+    rates = spark.createDataFrame(rows, "rule_id long, tick long, pps long, bps long, dst_ip long")
     assert sorted(r.tick for r in triggers.alarms(rates, table, FIRST).collect()) == [4, 7]
     due = triggers.single_alarms(rates.drop("dst_ip"), table, FIRST)
     counted = rates.filter("dst_ip IS NOT NULL")
@@ -80,7 +80,7 @@ def test_uncounted_packet_alarm_does_not_hide_the_byte_test(spark):
     table = spark.createDataFrame([tuple(rule.values())], RULES)
     rates = spark.createDataFrame(
         [(0, 1, 20, 20, 5), (0, 2, 20, 20, 5), (0, 3, 20, 20, 5), (0, 4, 20, 20, 5), (0, 5, 20, 20, None)],
-        "rule_id int, tick long, pps long, bps long, dst_ip long",
+        "rule_id long, tick long, pps long, bps long, dst_ip long",
     )
     got = {(r.tick, r.trigger) for r in triggers.alarms(rates, table, FIRST).collect()}
     # Tick 1 fires on packets and hides the bytes; they are due at tick 2 instead.
