@@ -18,49 +18,63 @@ STATE_NAME = "good"
 _STATE = f"pps_good bigint, bps_good bigint, last_tick bigint, {', '.join(f'{name} bigint' for name in LIMITS)}"
 _ROW = ["tick", "pps", "bps", "dst_ip"]
 _ALARMS = "rule_id long, tick bigint, pps bigint, bps bigint, dst_ip bigint, trigger string"
-# Ticks that are held under one key of the state.
-HELD = 60
+# Ticks that are held under one key of the state, and rows of a backlog that are put into it at once.
+HELD = 3600
+BACKLOG = 1 << 20
 
 
 class TriggerProcessor(StatefulProcessor):
     """Walks a rule's ticks in order.
 
-    Rows of a batch come in any order, so they are put into the state chunk by chunk, a minute of ticks under each key, with a
-    timer for the last of them. Timers come in order of time, after all rows of the batch; each takes its minute's ticks out of
-    the state. So however long a rule's backlog is, a chunk and a minute of it are in memory.
+    Rows of a batch come in any order, so they are put into the state BACKLOG rows at a time, an hour of ticks under each key, with
+    a timer for the last of them. Timers come in order of time, after all rows of the batch; each takes its hour's ticks out of
+    the state. So however long a rule's backlog is, BACKLOG rows and an hour of it are in memory, and an hour is written
+    once for each BACKLOG rows, not for each chunk that Spark hands over.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState(STATE_NAME, _STATE)
-        self.held = handle.getMapState("held", "minute bigint", "ticks binary")
+        self.held = handle.getMapState("held", "hour bigint", "ticks binary")
 
     def handleInputRows(self, key, rows, timerValues):
+        backlog, size = [], 0
         for chunk in rows:
             if not self.state.exists():
                 first = chunk.iloc[0]
                 self.state.update((*_fresh(int(first["first_tick"])), *(int(first[name]) for name in LIMITS)))
             chunk = chunk[chunk["tick"] >= chunk["first_tick"]]
-            for minute, part in chunk.groupby(chunk["tick"] // HELD):
-                minute, packed = int(minute), part[_ROW].to_numpy(np.int64).tobytes()
-                if self.held.containsKey((minute,)):
-                    packed = bytes(self.held.getValue((minute,))[0]) + packed
-                self.held.updateValue((minute,), (packed,))
-                self.handle.registerTimer(int(part["tick"].max()) * 1000 + 999)
+            backlog.append(chunk[_ROW].to_numpy(np.int64))
+            size += len(chunk)
+            if size >= BACKLOG:
+                self._hold(np.concatenate(backlog))
+                backlog, size = [], 0
+        if size:
+            self._hold(np.concatenate(backlog))
         return iter(())
 
+    def _hold(self, rows: np.ndarray) -> None:
+        rows = rows[np.argsort(rows[:, 0])]
+        hours = rows[:, 0] // HELD
+        for part in np.split(rows, np.flatnonzero(np.diff(hours)) + 1):
+            hour, packed = int(part[0, 0]) // HELD, part.tobytes()
+            if self.held.containsKey((hour,)):
+                packed = bytes(self.held.getValue((hour,))[0]) + packed
+            self.held.updateValue((hour,), (packed,))
+            self.handle.registerTimer(int(part[-1, 0]) * 1000 + 999)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         last = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        minute = last // HELD
-        if not self.held.containsKey((minute,)):
+        hour = last // HELD
+        if not self.held.containsKey((hour,)):
             return
-        rows = np.frombuffer(bytes(self.held.getValue((minute,))[0]), np.int64).reshape(-1, len(_ROW))
+        rows = np.frombuffer(bytes(self.held.getValue((hour,))[0]), np.int64).reshape(-1, len(_ROW))
         rows = rows[np.argsort(rows[:, 0])]
         due, later = rows[rows[:, 0] <= last], rows[rows[:, 0] > last]
         if len(later):
-            self.held.updateValue((minute,), (later.tobytes(),))
+            self.held.updateValue((hour,), (later.tobytes(),))
         else:
-            self.held.removeKey((minute,))
+            self.held.removeKey((hour,))
         value = [int(x) for x in self.state.get()]
         state, fired = walk(value, due)
         self.state.update((state.pps_good, state.bps_good, state.last_tick, *value[3:]))
