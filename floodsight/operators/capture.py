@@ -23,15 +23,15 @@ def interval_capture(packets: DataFrame, alarms: DataFrame, seconds: int = CAPTU
         end.alias("alarm_end"),
         "proto",
         "dst_ip",
-        F.explode(F.sequence(_bucket("ts", seconds), _bucket("ts", seconds) + 1)).alias("_bucket"),
+        F.explode(F.sequence(bucket_of("ts", seconds), bucket_of("ts", seconds) + 1)).alias("_bucket"),
     )
-    keyed = packets.withColumn("_bucket", _bucket("ts", seconds))
+    keyed = packets.withColumn("_bucket", bucket_of("ts", seconds))
     joined = keyed.join(spans, ["proto", "dst_ip", "_bucket"])
     joined = joined.filter(F.col("ts").between(F.col("alarm_ts"), F.col("alarm_end")))
     return joined.select("alarm_rule_id", "alarm_ts", *packets.columns)
 
 
-def _bucket(column: str, seconds: int):
+def bucket_of(column: str, seconds: int):
     return F.call_function("div", F.unix_seconds(column), F.lit(seconds))
 
 
