@@ -6,7 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from floodsight.plans import catalog
+from floodsight.operators import match, rulesets
+from floodsight.plans import catalog, fixtures
+from floodsight.session import settle
+from floodsight.sources.rules import load_rules
 from floodsight.streaming import triggers as stream_triggers
 from floodsight.streaming.captures import stream_captures
 
@@ -87,3 +90,44 @@ def test_stream_captures_join_by_time_bucket(spark, tmp_path):
     alarms = "rule_id long, proto int, dst_ip long, ts timestamp"
     met = stream_captures(spark.readStream.schema(schema).parquet(str(tmp_path)), spark.readStream.schema(alarms).parquet(str(tmp_path)), "10 seconds")
     assert "bucket" in met._jdf.queryExecution().analyzed().toString()
+
+
+def _versioned(spark, blocks):
+    """Packets with and without time in blocks of 2,000, and the rules of their versions; some versions are never in force."""
+    kind = F.element_at(F.array(*map(F.lit, ("click", "error", "view", "purchase"))), (F.pmod(F.xxhash64("id"), F.lit(4)) + 1).cast("int"))
+    events = spark.range(2000 * blocks).select(F.col("id").alias("event_id"), (F.col("id") * 7 % 500).alias("user_id"), kind.alias("event_type"), (F.col("id") % 300).cast("double").alias("value"))
+    packets = fixtures.packets_of(events)
+    versions = fixtures.ruleset_versions(packets)
+    never = versions.filter("version = 2").withColumns({"version": F.lit(3).cast("int"), "book": F.col("book") + 1000})
+    rules = fixtures.versioned_rules(spark, settle(versions.filter("version <> 3").unionByName(never), "versions"))
+    early = F.when(F.col("pkt_id") % 900 == 0, F.lit(None)).when(F.col("pkt_id") % 901 == 0, F.timestamp_seconds(F.lit(-1.5))).otherwise(F.col("ts"))
+    return settle(packets.withColumn("ts", early).repartition(4), "packets"), rules
+
+
+def test_versions_in_an_index_and_a_join_equal_compiled_ones(spark):
+    packets, rules = _versioned(spark, 4)
+    want = sorted(match.first_match(packets, match.collect_rules(rules)).select("pkt_id", "rule_id").collect())
+    assert len(want) > 5000
+    for way in (match.first_match_indexed, match.first_match_joined):
+        assert sorted(way(packets, rules).select("pkt_id", "rule_id").collect()) == want
+
+
+def test_a_key_of_the_index_holds_the_rules_of_its_time_only(spark):
+    """However many versions there are, a packet meets few of them."""
+    _, rules = _versioned(spark, 20)
+    index = match.build_index(rules)
+    assert max(row["lanes"] for row in index.about.values()) <= 4 and len(index.wide.rows) <= 2
+
+
+def test_many_terminal_hits_of_several_books(spark):
+    lines = [f"TCP -d 203.0.113.7/32 --win <{2000 + n} --pps-th 1p {'--next' if n % 3 == 0 else ''}" for n in range(90)]
+    texts = fixtures.rule_texts(spark, lines, "a").unionByName(fixtures.rule_texts(spark, lines[::-1], "b"))
+    rules = settle(rulesets.with_books(match_rules(texts)), "rules")
+    rows = spark.range(60).select(F.col("id").alias("event_id"), F.lit(7).alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"))
+    packets = fixtures.packets_of(rows).withColumn("win", (1980 + F.col("pkt_id") * 2).cast("int"))
+    want = sorted(match.first_match(packets, match.collect_rules(rules)).select("pkt_id", "rule_id").collect())
+    assert want and sorted(match.first_match_indexed(packets, rules).select("pkt_id", "rule_id").collect()) == want
+
+
+def match_rules(texts):
+    return load_rules(texts)[0]
