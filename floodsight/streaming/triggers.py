@@ -1,5 +1,7 @@
 """Streaming triggers: per-rule state over the ticks that the watermark has closed."""
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,23 +21,23 @@ _STATE = f"pps_good bigint, bps_good bigint, last_tick bigint, {', '.join(f'{nam
 _ROW = ["tick", "pps", "bps", "dst_ip"]
 _ALARMS = "rule_id long, tick bigint, pps bigint, bps bigint, dst_ip bigint, trigger string"
 # Ticks that are held under one key of the state, and rows of a backlog that are put into it at once.
-HELD = 3600
+HELD = 240
 BACKLOG = 1 << 20
 
 
 class TriggerProcessor(StatefulProcessor):
     """Walks a rule's ticks in order.
 
-    Rows of a batch come in any order, so they are put into the state BACKLOG rows at a time, an hour of ticks under each key, with
-    a timer for the last of them. Timers come in order of time, after all rows of the batch; each takes its hour's ticks out of
-    the state. So however long a rule's backlog is, BACKLOG rows and an hour of it are in memory, and an hour is written
+    Rows of a batch come in any order, so they are put into the state BACKLOG rows at a time, four minutes of ticks under each key, compressed, with
+    a timer for the last of them. Timers come in order of time, after all rows of the batch; each takes its key's ticks out of
+    the state. So however long a rule's backlog is, BACKLOG rows and four minutes of it are in memory, and a key is written
     once for each BACKLOG rows, not for each chunk that Spark hands over.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState(STATE_NAME, _STATE)
-        self.held = handle.getMapState("held", "hour bigint", "ticks binary")
+        self.held = handle.getMapState("held", "span bigint", "ticks binary")
 
     def handleInputRows(self, key, rows, timerValues):
         backlog, size = [], 0
@@ -55,26 +57,26 @@ class TriggerProcessor(StatefulProcessor):
 
     def _hold(self, rows: np.ndarray) -> None:
         rows = rows[np.argsort(rows[:, 0])]
-        hours = rows[:, 0] // HELD
-        for part in np.split(rows, np.flatnonzero(np.diff(hours)) + 1):
-            hour, packed = int(part[0, 0]) // HELD, part.tobytes()
-            if self.held.containsKey((hour,)):
-                packed = bytes(self.held.getValue((hour,))[0]) + packed
-            self.held.updateValue((hour,), (packed,))
-            self.handle.registerTimer(int(part[-1, 0]) * 1000 + 999)
+        spans = rows[:, 0] // HELD
+        for part in np.split(rows, np.flatnonzero(np.diff(spans)) + 1):
+            span, last = int(part[0, 0]) // HELD, int(part[-1, 0])
+            if self.held.containsKey((span,)):
+                part = np.concatenate([_unpacked(self.held.getValue((span,))[0]), part])
+            self.held.updateValue((span,), (_packed(part),))
+            self.handle.registerTimer(last * 1000 + 999)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         last = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        hour = last // HELD
-        if not self.held.containsKey((hour,)):
+        span = last // HELD
+        if not self.held.containsKey((span,)):
             return
-        rows = np.frombuffer(bytes(self.held.getValue((hour,))[0]), np.int64).reshape(-1, len(_ROW))
+        rows = _unpacked(self.held.getValue((span,))[0])
         rows = rows[np.argsort(rows[:, 0])]
         due, later = rows[rows[:, 0] <= last], rows[rows[:, 0] > last]
         if len(later):
-            self.held.updateValue((hour,), (later.tobytes(),))
+            self.held.updateValue((span,), (_packed(later),))
         else:
-            self.held.removeKey((hour,))
+            self.held.removeKey((span,))
         value = [int(x) for x in self.state.get()]
         state, fired = walk(value, due)
         self.state.update((state.pps_good, state.bps_good, state.last_tick, *value[3:]))
@@ -85,6 +87,15 @@ class TriggerProcessor(StatefulProcessor):
         pass
 
 
+def _packed(rows: np.ndarray) -> bytes:
+    # Column by column, so that what is alike lies together.
+    return zlib.compress(rows.T.tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(bytes(packed)), np.int64).reshape(len(_ROW), -1).T
+
+
 def _fresh(first_tick: int) -> tuple[int, int, int]:
     return TriggerState.pps_good, TriggerState.bps_good, first_tick - 1
 
