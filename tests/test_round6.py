@@ -45,6 +45,22 @@ def test_an_index_of_rules_with_the_same_tests(spark, monkeypatch):
     assert _hits(match.first_match_indexed(packets, rules)) == want
 
 
+def test_a_packet_carries_no_ids_of_rules_with_the_same_tests(spark):
+    """What the join sorts for a packet doesn't grow with the rules that have the same tests."""
+    packets, rules = _alike(spark, 20)
+    listed = match._rule_lists(rules, match._RULE_FIELDS[2:])[0]
+    assert listed.agg(F.max(F.array_max(F.transform("_rules", lambda rule: F.size(rule["codes"]))))).first()[0] <= 2
+    assert _hits(match.first_match_joined(packets, rules)) == _hits(match.first_match(packets, match.collect_rules(rules, 1000)))
+
+
+def test_match_packets_uses_the_index_for_rules_with_the_same_tests(spark, monkeypatch):
+    packets, rules = _alike(spark, 60)
+    want = _hits(match.first_match(packets, match.collect_rules(rules, 1000)))
+    monkeypatch.setattr(match, "INDEX_ENTRIES", 30)
+    monkeypatch.setattr(match, "first_match_joined", None)
+    assert _hits(match.match_packets(packets, rules)) == want
+
+
 def test_ids_of_several_rules_are_not_folded(spark):
     """Two rulesets without books: an id is that of a rule of each, and what goes with it must not be given to the other."""
     one = [f"TCP -d 203.0.113.7/32 --win <{1990 + n // 2} --pps-th 1p --next" for n in range(6)]
